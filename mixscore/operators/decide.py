@@ -25,6 +25,12 @@ def search_needed(fit: PcaFit, threshold: float = THRESHOLD) -> bool:
     return bool(fit.k >= 2 and fit.cumulative[1] < threshold)
 
 
+def components_to(fit: PcaFit, threshold: float = THRESHOLD) -> int:
+    """First component at which the running ratio reaches the threshold, else the last."""
+    reached = np.flatnonzero(fit.cumulative >= threshold)
+    return int(reached[0]) + 1 if len(reached) else fit.k
+
+
 def decision(variance: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: headline percentages, search decision, components to the threshold."""
     component, ratio, cumulative = F.col("component"), F.col("ratio"), F.col("cumulative")
