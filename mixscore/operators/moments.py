@@ -16,6 +16,11 @@ from mixscore.operators.prepare import centred, column_stats
 from mixscore.sources.shared import small_frame
 
 
+# Up to this many features the products are plain sums, 78 at most: they fit one
+# generated loop, several times faster than filling vectors. Beyond it Spark
+# would give up whole-stage code generation for the aggregate.
+SUMMED_FEATURES = 12
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -45,20 +50,40 @@ def correlation_of(covariance: np.ndarray) -> np.ndarray:
 
 
 def moments(df: DataFrame, features, weight: str | None = None) -> Moments:
-    """Two passes over the feature columns: means, then centred products.
+    """Two passes over the feature columns: means, then products of centred values.
 
-    The second pass is MLlib's Gram matrix, a tree aggregation inside the JVM
-    that ships one packed p x p triangle per task whatever the number of rows.
-    A row standing for ``weight`` equal rows enters scaled by its square root.
+    ``weight`` names a column of row multiplicities.
     """
     stats = column_stats(df, features, weight)
-    scale = "" if weight is None else f" * sqrt(CAST({quoted(weight)} AS DOUBLE))"
     names = [f"c{i}" for i in range(len(stats.features))]
-    rows = df.selectExpr(*[f"{c}{scale} AS {n}" for c, n in zip(centred(stats), names)])
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows).select("v")
+    rows = df.selectExpr(
+        *[f"{c} AS {n}" for c, n in zip(centred(stats), names)],
+        "1.0D AS w" if weight is None else f"CAST({quoted(weight)} AS DOUBLE) AS w",
+    )
+    products = _summed_products if len(names) <= SUMMED_FEATURES else _gram_matrix
+    return Moments(stats.features, stats.n, np.array(stats.mean), products(rows, names) / stats.n)
+
+
+def _summed_products(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """One sum per pair, all in one generated loop."""
+    p = len(names)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    row = rows.selectExpr(*[f"sum({names[i]} * {names[j]} * w)" for i, j in pairs]).first()
+    out = np.zeros((p, p))
+    for (i, j), value in zip(pairs, row):
+        out[i, j] = out[j, i] = value
+    return out
+
+
+def _gram_matrix(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """MLlib's Gram matrix: a tree aggregation that ships one packed triangle per task.
+
+    A row standing for ``w`` equal rows enters scaled by its square root.
+    """
+    scaled = rows.selectExpr(*[f"{n} * sqrt(w) AS {n}" for n in names])
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(scaled).select("v")
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v"), numCols=len(names))
-    gram = matrix.computeGramianMatrix().toArray()
-    return Moments(stats.features, stats.n, np.array(stats.mean), gram / stats.n)
+    return matrix.computeGramianMatrix().toArray()
 
 
 def correlation_frame(spark: SparkSession, m: Moments) -> DataFrame:

@@ -20,7 +20,8 @@ LINE_WEIGHTS = {"l_quantity": 1.5, "l_extendedprice": 0.05, "l_discount": 0.7}
 
 def r6(value: Column | str) -> Column:
     """Six decimals without a negative zero, so that both engines hash the same value."""
-    return F.round(F.col(f"`{value}`") if isinstance(value, str) else value, 6) + F.lit(0.0)
+    column = F.col(f"`{value}`") if isinstance(value, str) else value
+    return F.rint(column * 1e6) / 1e6 + F.lit(0.0)
 
 
 def rounded(df: DataFrame) -> DataFrame:
