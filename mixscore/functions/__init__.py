@@ -1,6 +1,6 @@
 from mixscore.functions.lookup import (
     first_match,
-    label_from_hits,
+    label_of,
     main_label,
     mixture_hits,
     mixture_profile,
@@ -20,7 +20,7 @@ __all__ = [
     "first_match",
     "fixed_text",
     "floor_weight",
-    "label_from_hits",
+    "label_of",
     "main_label",
     "missing_to_null",
     "mixture_hits",

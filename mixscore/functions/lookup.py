@@ -43,45 +43,38 @@ def first_match(lowered: Column, keys) -> Column:
 
 def main_label(name: Column, dictionary: PropertyDictionary) -> Column:
     """First key contained in the whole text, or ``'Other'``."""
-    labels = F.array(*[F.lit(k) for k in dictionary.keys])
-    # F.get, unlike element_at, keeps a null index null.
-    return F.coalesce(F.get(labels, first_match(F.lower(name), dictionary.keys)), F.lit("Other"))
-
+    return label_of(first_match(F.lower(name), dictionary.keys), dictionary)
 
-def mixture_hits(name: Column, dictionary: PropertyDictionary) -> Column:
-    """Dictionary indexes of the ``/``-separated parts, at most one per part.
 
-    Repeated parts repeat, unmatched and empty parts vanish.
-    """
-    parts = F.split(F.lower(name), "/")
-    return F.array_compact(F.transform(parts, lambda part: first_match(part, dictionary.keys)))
+def label_of(first: Column, dictionary: PropertyDictionary) -> Column:
+    """Key at an index of ``first_match``, or ``'Other'``."""
+    # F.get, unlike element_at, keeps a null index null.
+    return F.coalesce(F.get(F.array(*[F.lit(k) for k in dictionary.keys]), first), F.lit("Other"))
 
 
-def label_from_hits(hits: Column, dictionary: PropertyDictionary) -> Column:
-    """``main_label`` derived from ``mixture_hits``.
+def mixture_hits(lowered: Column, dictionary: PropertyDictionary) -> Column:
+    """Sorted dictionary indexes of the ``/``-separated parts, at most one per part.
 
-    No key holds a separator, so a key lies in the text exactly when it lies in
-    one of the parts; the first key of the text is the lowest of the parts'
-    first keys.
+    Repeated parts repeat, unmatched and empty parts vanish. A text without a
+    separator is no mixture and has none: its index is ``first_match``.
     """
-    labels = F.array(*[F.lit(k) for k in dictionary.keys])
-    return F.coalesce(F.get(labels, F.array_min(hits)), F.lit("Other"))
+    found = F.transform(F.split(lowered, "/"), lambda part: first_match(part, dictionary.keys))
+    return F.when(lowered.contains("/"), F.array_sort(F.array_compact(found)))
 
 
-def mixture_profile(hits: str, dictionary: PropertyDictionary) -> Column:
+def mixture_profile(first: str, hits: str, dictionary: PropertyDictionary) -> Column:
     """Mean of every property over the matched parts, as an array in dictionary order.
 
-    ``hits`` names a column of ``mixture_hits``, computed once by an earlier
-    select. Without a match the default row is returned. A property missing
-    for one of the parts is missing for the mixture.
+    ``first`` and ``hits`` name columns of ``first_match`` and ``mixture_hits``,
+    computed once by an earlier select. Without a match the default row is
+    returned. A property missing for one of the parts is missing for the
+    mixture.
     """
-    rows = [numbers(row) for row in dictionary.rows]
-    table = "array(" + ", ".join(rows) + ")"
+    table = "array(" + ", ".join(numbers(row) for row in dictionary.rows) + ")"
     zeros = numbers([0.0] * len(dictionary.properties))
-    h = quoted(hits)
+    f, h = quoted(first), quoted(hits)
     return F.expr(
-        f"CASE size({h}) WHEN 0 THEN {rows[dictionary.default_index]} "
-        f"WHEN 1 THEN get({table}, get({h}, 0)) "
-        f"ELSE transform(aggregate({h}, {zeros}, (total, i) -> "
-        f"zip_with(total, get({table}, i), (a, b) -> a + b)), total -> total / size({h})) END"
+        f"CASE WHEN size({h}) > 0 THEN transform(aggregate({h}, {zeros}, (total, i) -> "
+        f"zip_with(total, get({table}, i), (a, b) -> a + b)), total -> total / size({h})) "
+        f"ELSE get({table}, coalesce({f}, {dictionary.default_index})) END"
     )

@@ -1,18 +1,20 @@
 """Enrich, fit and score: the measurement table is read once to fit, once to score.
 
-A profile depends on the key text only. Fitting therefore reduces the
-measurements to one weighted row per distinct text and works on that table;
-the rows themselves are touched again only to attach their scores.
+A profile depends on the key text only, and in it on the matched keys only.
+Fitting therefore reduces the measurements to one weighted row per combination
+of matched keys and works on that small table. Scoring is a row-local
+expression: no join, no shuffle, nothing broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixscore.functions.lookup import label_from_hits, mixture_hits, mixture_profile, normalise_key
+from mixscore.functions.lookup import first_match, label_of, mixture_hits, mixture_profile, normalise_key
 from mixscore.functions.text import quoted
 from mixscore.operators.decide import CANDIDATES, FLOOR, THRESHOLD, search_needed, used_weights
 from mixscore.operators.pca import PcaFit, fit_pca, project
@@ -21,21 +23,13 @@ from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, Pro
 from mixscore.sources.measurements import require_columns
 from mixscore.sources.shared import materialise
 
-# Largest lookup table of scores that is broadcast, by its measured size.
-BROADCAST_BYTES = 32 * 1024 * 1024
-# Estimate for a table row beside its key text: hash entry, label, three scores.
-_ROW_BYTES = 160
-
-_SCORES = ("Solvent_PC1", "Solvent_PC2", "Solvent_PC3")
-
 
 @dataclass(frozen=True)
 class ProfileModel:
     """A fitted analysis.
 
-    ``profiles`` is a written table with one row per distinct key text:
-    ``solvent_key, n_rows, first_row, Solvent_Main, <properties>``;
-    ``lookup_bytes`` bounds the size of its score columns.
+    ``profiles`` is a written table with one row per combination of matched
+    keys: ``n_rows, first_row, Solvent_Main, <properties>``.
     """
 
     dictionary: PropertyDictionary
@@ -43,33 +37,34 @@ class ProfileModel:
     row_id: str
     measurements: DataFrame
     profiles: DataFrame
-    lookup_bytes: int
     fit: PcaFit
     weights: dict[str, float]
     search_needed: bool
     threshold: float
 
     def scored_profiles(self) -> DataFrame:
-        """Distinct texts with label, multiplicity and PC1..PC3."""
+        """Combinations with their multiplicity, label and PC1..PC3."""
         return project(self.profiles, self.fit, 3).select(
-            "solvent_key", "n_rows", "first_row", "Solvent_Main", "PC1", "PC2", "PC3"
+            "n_rows", "first_row", "Solvent_Main", "PC1", "PC2", "PC3"
         )
 
 
-def enrich(df: DataFrame, dictionary: PropertyDictionary = SOLVENTS, solvent: str = "Solvent") -> DataFrame:
-    """Append the main label and the property profile of every row, row by row."""
-    own = [quoted(c) for c in df.columns]
-    return _with_profile(df, F.col(quoted(solvent)), dictionary).selectExpr(
-        *own, "Solvent_Main", *_properties(dictionary)
+def _with_match(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> DataFrame:
+    """Append ``_first`` and ``_hits``; each is computed once and read by name from then on."""
+    lowered = df.withColumn("_lowered", F.lower(key))
+    return lowered.withColumns(
+        {
+            "_first": first_match(F.col("_lowered"), dictionary.keys),
+            "_hits": mixture_hits(F.col("_lowered"), dictionary),
+        }
     )
 
 
-def _with_profile(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> DataFrame:
-    hits = df.withColumn("_hits", mixture_hits(normalise_key(key), dictionary))
-    return hits.withColumns(
+def _with_profile(df: DataFrame, dictionary: PropertyDictionary) -> DataFrame:
+    return df.withColumns(
         {
-            "Solvent_Main": label_from_hits(F.col("_hits"), dictionary),
-            "_profile": mixture_profile("_hits", dictionary),
+            "Solvent_Main": label_of(F.col("_first"), dictionary),
+            "_profile": mixture_profile("_first", "_hits", dictionary),
         }
     )
 
@@ -78,22 +73,33 @@ def _properties(dictionary: PropertyDictionary) -> list[str]:
     return [f"get(_profile, {i}) AS {quoted(p)}" for i, p in enumerate(dictionary.properties)]
 
 
+def enrich(df: DataFrame, dictionary: PropertyDictionary = SOLVENTS, solvent: str = "Solvent") -> DataFrame:
+    """Append the main label and the property profile of every row, row by row."""
+    matched = _with_match(df, normalise_key(F.col(quoted(solvent))), dictionary)
+    own = [quoted(c) for c in df.columns]
+    return _with_profile(matched, dictionary).selectExpr(*own, "Solvent_Main", *_properties(dictionary))
+
+
 def distinct_profiles(
     df: DataFrame,
     dictionary: PropertyDictionary = SOLVENTS,
     solvent: str = "Solvent",
     row_id: str = "row_id",
 ) -> DataFrame:
-    """One row per distinct key text with its multiplicity, first row, label and profile.
+    """One row per combination of matched keys: multiplicity, first row, label, profile.
 
-    Reads two columns and counts on the map side: a text that fills a third of
-    the rows reaches the shuffle as one row per task.
+    Reads two columns. Rows are first counted per text, so the lookup runs on
+    distinct texts only, then per combination, so that many spellings of few
+    keys end in few rows. Both counts combine on the map side: a text or a key
+    that fills a third of the rows reaches the shuffle as one row per task.
     """
-    keys = df.groupBy(normalise_key(F.col(quoted(solvent))).alias("solvent_key")).agg(
+    counts = [F.sum("n_rows").alias("n_rows"), F.min("first_row").alias("first_row")]
+    texts = df.groupBy(normalise_key(F.col(quoted(solvent))).alias("_text")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(row_id).alias("first_row")
     )
-    return _with_profile(keys, F.col("solvent_key"), dictionary).selectExpr(
-        "solvent_key", "n_rows", "first_row", "Solvent_Main", *_properties(dictionary)
+    combined = _with_match(texts, F.col("_text"), dictionary).groupBy("_first", "_hits").agg(*counts)
+    return _with_profile(combined, dictionary).selectExpr(
+        "n_rows", "first_row", "Solvent_Main", *_properties(dictionary)
     )
 
 
@@ -116,14 +122,7 @@ def fit_profile_pca(
     the search for callers that use no weights.
     """
     require_columns(measurements, [solvent, row_id])
-    seen = Observation("profiles")
-    observed = distinct_profiles(measurements, dictionary, solvent, row_id).observe(
-        seen,
-        F.count(F.lit(1)).alias("texts"),
-        F.sum(F.octet_length("solvent_key")).alias("text_bytes"),
-    )
-    profiles = materialise(observed, "profiles")
-    size = seen.get
+    profiles = materialise(distinct_profiles(measurements, dictionary, solvent, row_id), "profiles")
     fit = fit_pca(profiles, available_features(profiles, features), weight="n_rows")
     spark = measurements.sparkSession
     weights = (
@@ -137,7 +136,6 @@ def fit_profile_pca(
         row_id=row_id,
         measurements=measurements,
         profiles=profiles,
-        lookup_bytes=(size["text_bytes"] or 0) + size["texts"] * _ROW_BYTES,
         fit=fit,
         weights=weights,
         search_needed=search_needed(fit, threshold),
@@ -145,37 +143,45 @@ def fit_profile_pca(
     )
 
 
-def _score_names(model: ProfileModel) -> list[str]:
-    return list(_SCORES[: min(3, model.fit.k)])
+def score_names(model: ProfileModel) -> list[str]:
+    """Names of the score columns: three, or fewer when the fit has fewer components."""
+    return [f"Solvent_PC{j + 1}" for j in range(min(3, model.fit.k))]
 
 
-def fitted_rows(model: ProfileModel, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The measurements of the fit with ``Solvent_PC1..3`` and ``Solvent_Main``.
+def key_scores(model: ProfileModel) -> PropertyDictionary | None:
+    """The dictionary with its rows replaced by their scores, or None if a feature has gaps.
 
-    Every row's text is in the profile table. While that table is small the
-    rows probe a broadcast copy; a larger one would force a shuffle of all
-    measurements, so then each row computes its own profile and score. Neither
-    way shuffles, whatever the keys.
+    A score is affine in the profile and a mixture is a mean of rows, so the
+    scores of a mixture are the mean of its parts' scores. That fails only
+    where a missing property has to be imputed for the mixture as a whole.
     """
-    if model.lookup_bytes > broadcast_bytes:
-        return score_rows(model.measurements, model)
-    names = _score_names(model)
-    lookup = project(model.profiles, model.fit, len(names), prefix="Solvent_PC").select(
-        F.col("solvent_key").alias("_key"), *names, "Solvent_Main"
-    )
-    df = model.measurements
-    keyed = df.withColumn("_key", normalise_key(F.col(quoted(model.solvent))))
-    return keyed.join(F.broadcast(lookup), "_key", "left").select(
-        *[quoted(c) for c in df.columns], *names, "Solvent_Main"
+    m, d, names = model.fit.moments, model.dictionary, score_names(model)
+    values = [d.values(f) for f in m.features]
+    if any(v is None for column in values for v in column):
+        return None
+    scale = np.where(m.sd > 0, 1.0 / np.where(m.sd > 0, m.sd, 1.0), 0.0)
+    z = (np.array(values, dtype=float).T - m.mean) * scale
+    scores = z @ np.nan_to_num(model.fit.loadings[:, : len(names)])
+    return PropertyDictionary.from_rows(
+        names, [(k, *map(float, s)) for k, s in zip(d.keys, scores)], d.default_key
     )
 
 
 def score_rows(df: DataFrame, model: ProfileModel) -> DataFrame:
     """Label and scores for any measurement rows, seen or new, batch or stream."""
-    names = _score_names(model)
-    wide = _with_profile(df, F.col(quoted(model.solvent)), model.dictionary)
+    names, own = score_names(model), [quoted(c) for c in df.columns]
+    matched = _with_match(df, normalise_key(F.col(quoted(model.solvent))), model.dictionary)
+    scores = key_scores(model)
+    if scores is not None:
+        return _with_profile(matched, scores).selectExpr(*own, *_properties(scores), "Solvent_Main")
     at = model.dictionary.properties.index
     scored = project(
-        wide, model.fit, len(names), prefix="Solvent_PC", values=lambda f: f"get(_profile, {at(f)})"
+        _with_profile(matched, model.dictionary), model.fit, len(names),
+        prefix="Solvent_PC", values=lambda f: f"get(_profile, {at(f)})",
     )
-    return scored.select(*[quoted(c) for c in df.columns], *names, "Solvent_Main")
+    return scored.select(*own, *names, "Solvent_Main")
+
+
+def fitted_rows(model: ProfileModel) -> DataFrame:
+    """The measurements of the fit with ``Solvent_PC1..3`` and ``Solvent_Main``."""
+    return score_rows(model.measurements, model)

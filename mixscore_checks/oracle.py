@@ -247,7 +247,7 @@ ORACLE = {
         f'{ROWS} SELECT row_id, "Name", "Solvent", ' + ", ".join(_r(f'"{c}"', c) for c in PASS_THROUGH)
         + f', {_SOLVENT_PCS}, label AS "Solvent_Main" FROM meas JOIN labelled USING (row_id) JOIN scores USING (row_id)'
     ),
-    "q10c_scores_rowwise": (
+    "q10c_profile_scores": (
         f'{ROWS} SELECT row_id, {_SOLVENT_PCS}, label AS "Solvent_Main" FROM scores JOIN labelled USING (row_id)'
     ),
     "q11_variance_table": (

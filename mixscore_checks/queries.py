@@ -10,7 +10,7 @@ from mixscore.functions.scalars import with_default
 from mixscore.operators import decide, groups, pca, prepare
 from mixscore.operators.moments import correlation_frame, moments
 from mixscore.operators.shape import shape_report
-from mixscore.plans import charts, enrich, fit_profile_pca, fitted_rows, report, score_rows
+from mixscore.plans import charts, enrich, fit_profile_pca, fitted_rows, report
 from mixscore.sources.dictionary import DISPLAY_LABELS, FEATURES, INITIAL_WEIGHTS, SOLVENTS
 from mixscore_checks.views import LINE_FEATURES, LINE_FEATURES_4, gappy_lines, lines, measurements, table
 
@@ -183,10 +183,10 @@ def enriched_table(spark, sf_dir):
     return rounded(fitted_rows(_model(spark, sf_dir)))
 
 
-def score_rowwise(spark, sf_dir):
-    """The same scores without the lookup table, computed in each row."""
+def profile_scores(spark, sf_dir):
+    """The same scores from the full profile of each row."""
     model = _model(spark, sf_dir)
-    rows = score_rows(measurements(spark, sf_dir), model)
+    rows = pca.project(enrich(measurements(spark, sf_dir)), model.fit, 3, prefix="Solvent_PC")
     return rounded(rows.select("row_id", "Solvent_PC1", "Solvent_PC2", "Solvent_PC3", "Solvent_Main"))
 
 
@@ -326,7 +326,7 @@ QUERIES = {
     "q09b_pca15_pc4_pc9": pca15_pc4_pc9,
     "q10_scores": score_table,
     "q10b_enriched": enriched_table,
-    "q10c_scores_rowwise": score_rowwise,
+    "q10c_profile_scores": profile_scores,
     "q11_variance_table": variance_table,
     "q11b_variance": pca15_variance,
     "q12_n85_and_flags": decision,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mixscore.functions.lookup import (
     first_match,
-    label_from_hits,
+    label_of,
     main_label,
     mixture_hits,
     mixture_profile,
@@ -29,21 +29,30 @@ def expected(text, dictionary):
         None if any(r[j] is None for r in rows) else sum(r[j] for r in rows) / len(rows)
         for j in range(len(dictionary.properties))
     ]
-    return (whole[0] if whole else "Other"), found, profile
+    return (whole[0] if whole else "Other"), sorted(found), profile
 
 
 def lookup(spark, texts, dictionary):
+    """(label, label again, matched parts, profile) per text."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     key = normalise_key(F.col("t"))
-    hits = df.withColumn("h", mixture_hits(key, dictionary))
-    out = hits.select(
+    matched = df.select(
+        "id", key.alias("key"),
+        first_match(F.lower(key), dictionary.keys).alias("f"), mixture_hits(F.lower(key), dictionary).alias("h"),
+    )
+    out = matched.select(
         "id",
-        main_label(key, dictionary).alias("label"),
-        label_from_hits(F.col("h"), dictionary).alias("label2"),
-        "h",
-        mixture_profile("h", dictionary).alias("p"),
+        main_label(F.col("key"), dictionary).alias("label"),
+        label_of(F.col("f"), dictionary).alias("label2"),
+        "f", "h",
+        mixture_profile("f", "h", dictionary).alias("p"),
     )
-    return [tuple(r)[1:] for r in out.orderBy("id").collect()]
+    rows = []
+    for _, label, again, first, hits, profile in out.orderBy("id").collect():
+        if hits is None:
+            hits = [] if first is None else [first]
+        rows.append((label, again, hits, profile))
+    return rows
 
 
 @pytest.mark.parametrize(

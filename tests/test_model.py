@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import measurement_frame, plan_text
-from mixscore.operators.pca import variance_frame
-from mixscore.plans import charts, distinct_profiles, fit_profile_pca, fitted_rows, score_rows
+from mixscore.operators.pca import project, variance_frame
+from mixscore.plans import charts, distinct_profiles, enrich, fit_profile_pca, fitted_rows, score_rows
 from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, PropertyDictionary
 
 SCORES = ["Solvent_PC1", "Solvent_PC2", "Solvent_PC3", "Solvent_Main"]
@@ -29,40 +29,42 @@ def test_golden_values_at_equal_shares(spark):
 
 
 def test_profiles_hold_every_row_once(part_measurements, part_model):
-    total = part_model.profiles.agg(F.sum("n_rows"), F.count("*"), F.countDistinct("solvent_key")).first()
-    assert total[:] == (part_measurements.count(), 16, 16)
+    total = part_model.profiles.agg(F.sum("n_rows"), F.count("*"), F.min("first_row")).first()
+    # 16 texts: 'methanol' falls to Ethanol, 'Toluene' and the missing text to the default.
+    assert total[:] == (part_measurements.count(), 14, 0)
+
+
+def test_spellings_of_one_combination_are_one_profile(spark):
+    texts = ["water 1", "WATER", "heavy water", "DMF/Water", "water/dmf", "x/DMF/water 2", "Water/Water/DMF", "?", None]
+    got = {(r["Solvent_Main"], r["eps"]): (r["n_rows"], r["first_row"]) for r in distinct_profiles(measurement_frame(spark, texts)).collect()}
+    mixed, double = (80.1 + 38.25) / 2, (2 * 80.1 + 38.25) / 3
+    assert got == {
+        ("Water", 80.1): (3, 0), ("Water", mixed): (3, 3), ("Water", double): (1, 6), ("Other", 80.1): (2, 7)
+    }
 
 
 def test_fit_agrees_with_the_unreduced_rows(part_measurements, part_model):
     from mixscore.operators.pca import fit_pca
-    from mixscore.plans import enrich
 
     full = fit_pca(enrich(part_measurements), FEATURES)
     assert full.eigenvalues == pytest.approx(part_model.fit.eigenvalues, abs=1e-10)
     assert full.loadings[:, :9] == pytest.approx(part_model.fit.loadings[:, :9], abs=1e-8)
 
 
-def test_both_scoring_ways_agree(part_measurements, part_model):
-    joined = fitted_rows(part_model).orderBy("row_id").toPandas()
-    rowwise = fitted_rows(part_model, broadcast_bytes=0).orderBy("row_id").toPandas()
-    assert list(joined.columns) == list(rowwise.columns) == [*part_measurements.columns, *SCORES]
-    assert joined.drop(columns=SCORES[:3]).equals(rowwise.drop(columns=SCORES[:3]))
-    assert np.abs(joined[SCORES[:3]].to_numpy() - rowwise[SCORES[:3]].to_numpy()).max() < 1e-12
-
+def test_row_scores_equal_projected_profiles(part_measurements, part_model):
+    scored = fitted_rows(part_model)
+    assert scored.columns == [*part_measurements.columns, *SCORES]
+    profiles = project(enrich(part_measurements), part_model.fit, 3, prefix="Solvent_PC")
+    a = scored.orderBy("row_id").select("row_id", *SCORES).toPandas()
+    b = profiles.orderBy("row_id").select("row_id", *SCORES).toPandas()
+    assert a[["row_id", "Solvent_Main"]].equals(b[["row_id", "Solvent_Main"]])
+    assert np.abs(a[SCORES[:3]].to_numpy() - b[SCORES[:3]].to_numpy()).max() < 1e-12
 
-def test_neither_way_shuffles(part_model):
-    joined, rowwise = plan_text(fitted_rows(part_model)), plan_text(fitted_rows(part_model, broadcast_bytes=0))
-    assert "BroadcastHashJoin" in joined and "Join" not in rowwise
-    for plan in (joined, rowwise):
-        assert "Exchange hashpartitioning" not in plan and "Sort" not in plan and "Python" not in plan
 
-
-def test_lookup_size_follows_the_texts(spark):
-    few = fit_profile_pca(measurement_frame(spark, ["Water", "DMF"] * 50), search=False)
-    many = fit_profile_pca(measurement_frame(spark, [f"Water {i}/DMF" if i % 2 else f"DMF{i}" for i in range(100)]), search=False)
-    assert few.lookup_bytes == 2 * 160 + len("WaterDMF")
-    assert many.lookup_bytes > 100 * 160
-    assert many.fit.eigenvalues[0] > 0
+def test_scoring_neither_joins_nor_shuffles(part_model):
+    plan = plan_text(fitted_rows(part_model))
+    for node in ("Join", "Exchange", "Sort ", "Python"):
+        assert node not in plan
 
 
 def test_reducing_reads_two_columns_and_counts_before_the_shuffle(spark, part_measurements, tmp_path):
@@ -70,7 +72,8 @@ def test_reducing_reads_two_columns_and_counts_before_the_shuffle(spark, part_me
     part_measurements.write.parquet(path)
     plan = plan_text(distinct_profiles(spark.read.parquet(path)))
     assert "ReadSchema: struct<row_id:bigint,Solvent:string>" in plan
-    assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan and "Python" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and "partial_count" in plan and "partial_sum" in plan
+    assert "Python" not in plan and "Window" not in plan
 
 
 def test_a_third_of_all_rows_on_one_text(spark):
@@ -88,10 +91,10 @@ def test_a_third_of_all_rows_on_one_text(spark):
 def test_scoring_new_texts(spark, part_model):
     new = measurement_frame(spark, ["Acetone/THF", "never seen", None, "Pyridine"])
     got = {r["Solvent"]: r for r in score_rows(new, part_model).collect()}
-    known = {r["solvent_key"]: r for r in part_model.scored_profiles().collect()}
+    known = {r["Solvent_Main"]: r for r in part_model.scored_profiles().collect()}
     assert got["Pyridine"]["Solvent_PC1"] == pytest.approx(known["Pyridine"]["PC1"])
     assert got["never seen"]["Solvent_Main"] == "Other" == got[None]["Solvent_Main"]
-    assert got["never seen"]["Solvent_PC2"] == pytest.approx(known["Toluene"]["PC2"])
+    assert got["never seen"]["Solvent_PC2"] == pytest.approx(known["Other"]["PC2"])
     middle = (known["Acetone"]["PC3"] + known["THF"]["PC3"]) / 2
     assert got["Acetone/THF"]["Solvent_PC3"] == pytest.approx(middle)
 
@@ -130,13 +133,15 @@ def test_own_dictionary_columns_and_names(spark):
         solvent="my wood", row_id="key",
     )
     assert model.fit.features == ("q", "r", "p")
-    a, b = fitted_rows(model), fitted_rows(model, broadcast_bytes=0)
-    assert a.columns[:3] == ["key", "my wood", "p"]
-    assert np.array(a.orderBy("key").select("Solvent_PC1", "Solvent_PC2", "p").collect()) == pytest.approx(
-        np.array(b.orderBy("key").select("Solvent_PC1", "Solvent_PC2", "p").collect())
-    )
+    rows = fitted_rows(model).orderBy("key")
+    assert rows.columns == ["key", "my wood", "p", *SCORES]
     # 'elm/oak' lacks q, which is imputed by the mean of the other three rows.
-    assert model.fit.moments.mean[0] == pytest.approx((2 + 8 + 8) / 3)
+    data = np.array([[2, 9, 1], [6, 6, 2.5], [8, 1, 2], [8, 1, 2]])
+    assert model.fit.moments.mean == pytest.approx(data.mean(axis=0))
+    z = (data - data.mean(axis=0)) / data.std(axis=0)
+    scores = np.array(rows.select(*SCORES[:3]).collect())
+    assert scores[:, :2] == pytest.approx(z @ model.fit.loadings[:, :2], abs=1e-9)
+    assert [r["p"] for r in rows.collect()] == [1, 2, 3, 4]
 
 
 def test_missing_input_columns_are_named(spark):
