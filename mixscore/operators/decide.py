@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mixscore.functions.scalars import floor_weight
+from mixscore.functions.scalars import fixed_text, floor_weight
 from mixscore.functions.text import number, numbers
 from mixscore.operators.moments import Moments
 from mixscore.operators.pca import PcaFit
@@ -44,6 +44,12 @@ def decision(variance: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def headline(decided: DataFrame) -> DataFrame:
+    """The percentages of ``decision`` as printed: two decimals, beside the exact values."""
+    names = ("pc1_pct", "pc2_pct", "pc12_pct")
+    return decided.select(*names, *[fixed_text(F.col(n), 2).alias(n.replace("pct", "text")) for n in names])
+
+
 def kaiser(variance: DataFrame) -> DataFrame:
     """Eigenvalues with a flag for those of at least 1."""
     return variance.select("component", "eigenvalue", (F.col("eigenvalue") >= 1).alias("kaiser"))

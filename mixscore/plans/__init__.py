@@ -1,3 +1,4 @@
+from mixscore.plans.charts import summary_charts
 from mixscore.plans.model import (
     ProfileModel,
     distinct_profiles,
@@ -17,5 +18,6 @@ __all__ = [
     "report_tables",
     "run",
     "score_rows",
+    "summary_charts",
     "write_tables",
 ]

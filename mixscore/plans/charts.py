@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscore.functions.scalars import fixed_text, vector_norm
-from mixscore.operators.decide import THRESHOLD, flag_strong, kaiser, weight_table
+from mixscore.functions.scalars import component_name, fixed_text, vector_norm
+from mixscore.operators.decide import THRESHOLD, components_to, decision, flag_strong, headline, kaiser, weight_table
 from mixscore.operators.groups import group_ellipse, group_ordinals
-from mixscore.operators.pca import PcaFit, loadings_wide
+from mixscore.operators.pca import PcaFit, loadings_wide, variance_frame
 from mixscore.plans.model import ProfileModel, fitted_rows
 from mixscore.plans.report import labelled
 from mixscore.sources.dictionary import DISPLAY_LABELS
@@ -43,6 +43,15 @@ def variance_percent(variance: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def axis_labels(variance: DataFrame, k: int = 3) -> DataFrame:
+    """Axis titles of the score and loading plots, such as ``PC1 (49.0%)``."""
+    share = fixed_text(F.col("ratio") * 100, 1)
+    return variance.where(F.col("component") <= k).select(
+        "component",
+        F.concat(component_name(F.col("component")), F.lit(" ("), share, F.lit("%)")).alias("axis_label"),
+    )
+
+
 def score_points(model: ProfileModel, rows: DataFrame | None = None) -> DataFrame:
     """PC1 and PC2 of every row with its group and the group's colour."""
     return _points(model, rows, ("PC1", "PC2"))
@@ -145,3 +154,27 @@ def biplot_points(model: ProfileModel, rows: DataFrame | None = None) -> DataFra
     return rows.select(
         F.col(model.row_id).alias("row_id"), F.col("Solvent_PC1").alias("PC1"), F.col("Solvent_PC2").alias("PC2")
     )
+
+
+def summary_charts(model: ProfileModel, labels: dict[str, str] = DISPLAY_LABELS) -> dict[str, DataFrame]:
+    """Every chart table of bounded size by name.
+
+    The point sets (``score_points``, ``score_points_3d``, ``biplot_points``)
+    have one row per measurement and are columns of the score table.
+    """
+    spark, fit, threshold = model.measurements.sparkSession, model.fit, model.threshold
+    variance = variance_frame(spark, fit)
+    return {
+        "scree": scree(variance, threshold),
+        "variance_percent": variance_percent(variance),
+        "headline": headline(decision(variance, threshold)),
+        "axis_labels": axis_labels(variance),
+        "label_colours": label_ordinals(model),
+        "label_ellipses": label_ellipses(model),
+        "loading_arrows": loading_arrows(spark, fit),
+        "loadings_heatmap": loadings_heatmap(spark, fit, labels=labels),
+        "cumulative_curve": cumulative_curve(variance, components_to(fit, threshold), threshold),
+        "weight_bars": weight_bars(model, labels),
+        "eigenvalue_bars": eigenvalue_bars(variance),
+        "biplot_arrows": biplot_arrows(spark, fit, score_extent(model)),
+    }

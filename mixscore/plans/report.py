@@ -70,15 +70,17 @@ def feature_weight_table(model: ProfileModel, labels: dict[str, str] = DISPLAY_L
     return table.orderBy("ord").select(F.col("label").alias("Property"), F.col("weight").alias("Weight"))
 
 
-def report_tables(model: ProfileModel, labels: dict[str, str] = DISPLAY_LABELS) -> dict[str, DataFrame]:
-    """All five tables by name."""
-    rows = fitted_rows(model)
+def report_tables(
+    model: ProfileModel, labels: dict[str, str] = DISPLAY_LABELS, rows: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All five tables by name; ``rows`` may hold the scored rows already written."""
+    rows = fitted_rows(model) if rows is None else rows
     return {
+        "enriched": rows,
         "plot_data": score_table(model, rows),
         "variance": variance_table(variance_frame(model.measurements.sparkSession, model.fit)),
         "loadings": loadings_table(model, labels=labels),
         "feature_weights": feature_weight_table(model, labels),
-        "enriched": rows,
     }
 
 
@@ -92,8 +94,18 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
 
 
 def run(measurements: DataFrame, folder: str, fmt: str = "parquet", **options) -> ProfileModel:
-    """Fit the analysis on a measurement table and write its five tables."""
+    """Fit the analysis on a measurement table and write its five tables.
+
+    In a columnar format the enriched rows are written first and the score
+    table is read back from them, so every row is scored once.
+    """
     require_columns(measurements, ["Name", *PASS_THROUGH])
     model = fit_profile_pca(measurements, **options)
-    write_tables(report_tables(model), folder, fmt)
+    rows = fitted_rows(model)
+    path = write_tables({"enriched": rows}, folder, fmt)["enriched"]
+    if fmt in ("parquet", "orc"):
+        rows = measurements.sparkSession.read.schema(rows.schema).format(fmt).load(path)
+    tables = report_tables(model, rows=rows)
+    del tables["enriched"]
+    write_tables(tables, folder, fmt)
     return model

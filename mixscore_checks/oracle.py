@@ -258,6 +258,15 @@ ORACLE = {
     "q11b_variance": f"{FIT} {_VARIANCE}",
     "q12_n85_and_flags": f"{FIT} {_DECISION}",
     "q12b_n85_and_flags_lines": f"{LINE} {_DECISION}",
+    "q12c_headline": (
+        f"{FIT}, d AS (SELECT max(ratio) FILTER (component = 1) * 100 AS pc1, max(ratio) FILTER (component = 2) * 100 AS pc2, "
+        "max(cumulative) FILTER (component = 2) * 100 AS pc12 FROM variance) SELECT "
+        + ", ".join(_r(c, f"{c}_pct") + f", printf('%.2f', {c}) AS {c}_text" for c in ("pc1", "pc2", "pc12")) + " FROM d"
+    ),
+    "q12d_axis_labels": (
+        f"{FIT} SELECT CAST(component AS BIGINT) AS component, 'PC' || component || ' (' || printf('%.1f', ratio * 100) || '%)' AS axis_label "
+        "FROM variance WHERE component <= 3"
+    ),
     "q13_weight_invariance": " UNION ALL ".join(
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {_r('1.0::DOUBLE' if a == b else f'corr({a}, {b})', 'corr')}, "
         f"abs(corr({a} * {INITIAL_WEIGHTS[a]}, {b} * {INITIAL_WEIGHTS[b]}) - corr({a}, {b})) < 1e-9 AS same FROM prof"

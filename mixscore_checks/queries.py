@@ -169,6 +169,14 @@ def decision(spark, sf_dir):
     return rounded(decide.decision(pca.variance_frame(spark, _model(spark, sf_dir).fit)))
 
 
+def headline(spark, sf_dir):
+    return rounded(decide.headline(decide.decision(pca.variance_frame(spark, _model(spark, sf_dir).fit))))
+
+
+def axis_labels(spark, sf_dir):
+    return rounded(charts.axis_labels(pca.variance_frame(spark, _model(spark, sf_dir).fit)))
+
+
 def decision_lines(spark, sf_dir):
     return rounded(decide.decision(_line_variance(spark, sf_dir)))
 
@@ -331,6 +339,8 @@ QUERIES = {
     "q11b_variance": pca15_variance,
     "q12_n85_and_flags": decision,
     "q12b_n85_and_flags_lines": decision_lines,
+    "q12c_headline": headline,
+    "q12d_axis_labels": axis_labels,
     "q13_weight_invariance": weight_invariance,
     "q14_weight_sweep": weight_sweep,
     "q14b_weight_sweep_best": weight_sweep_best,

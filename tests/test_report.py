@@ -14,7 +14,7 @@ PLOT = [
 
 def test_five_tables(part_measurements, part_model):
     tables = report_tables(part_model)
-    assert list(tables) == ["plot_data", "variance", "loadings", "feature_weights", "enriched"]
+    assert list(tables) == ["enriched", "plot_data", "variance", "loadings", "feature_weights"]
     assert tables["plot_data"].columns == PLOT
     assert tables["variance"].columns == [
         "Principal Component", "Explained Variance Ratio", "Explained Variance (%)",
@@ -32,7 +32,7 @@ def test_five_tables(part_measurements, part_model):
     assert {r["row_id"]: r["Solvent_Original"] for r in tables["plot_data"].collect()} == raw
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv"])
 def test_run_writes_all_tables(spark, tmp_path, fmt):
     df = measurement_frame(spark, ["Water", "DMF/THF", None, "Toluene", "DMSO", "acetone"] * 3).withColumn("extra", F.lit("kept"))
     model = run(df, str(tmp_path), fmt)
@@ -91,3 +91,19 @@ def test_small_dimensions(spark):
 def test_shape_report(spark, part_measurements):
     rows = {r["name"]: (r["n_rows"], r["n_columns"]) for r in shape_report({"m": part_measurements, "e": spark.range(0)}).collect()}
     assert rows == {"m": (200, 8), "e": (0, 1)}
+
+
+def test_summary_charts_are_small_and_complete(part_model):
+    tables = charts.summary_charts(part_model)
+    sizes = {name: table.count() for name, table in tables.items()}
+    assert sizes == {
+        "scree": 15, "variance_percent": 10, "headline": 1, "axis_labels": 3, "label_colours": 11,
+        "label_ellipses": 11, "loading_arrows": 15, "loadings_heatmap": 15, "cumulative_curve": 15,
+        "weight_bars": 15, "eigenvalue_bars": 15, "biplot_arrows": 15,
+    }
+    ratio = part_model.fit.ratio
+    assert [r["axis_label"] for r in tables["axis_labels"].orderBy("component").collect()] == [
+        f"PC{j + 1} ({ratio[j] * 100:.1f}%)" for j in range(3)
+    ]
+    row = tables["headline"].first()
+    assert (row["pc1_text"], row["pc12_text"]) == (f"{ratio[0] * 100:.2f}", f"{(ratio[0] + ratio[1]) * 100:.2f}")
