@@ -88,8 +88,9 @@ def _flatten(value):
 def group_ordinals(df: DataFrame, group: str, row_id: str, cycle: int = PALETTE) -> DataFrame:
     """Distinct non-null groups in order of first appearance, with a cyclic ordinal.
 
-    ``(group, first_row, ordinal, colour)``: the aggregation is distributed,
-    the ranking sees one row per group.
+    ``(group, first_row, ordinal, colour)``. The aggregation is distributed; the
+    ranking sees one row per group, so it suits labels, of which a dictionary
+    has a bounded number.
     """
     first = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(row_id).alias("first_row"))
     ordinal = (F.row_number().over(Window.orderBy("first_row")) - 1).cast("bigint")

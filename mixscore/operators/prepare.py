@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from mixscore.functions.text import number, present, quoted
 
 
+# Features of one aggregation, so that its buffers stay within the 100 fields of
+# whole-stage code generation. Each pass reads its own columns only: together
+# the passes read every column once.
+FEATURES_PER_PASS, FEATURES_PER_PASS_SD = 16, 12
+
+
 @dataclass(frozen=True)
 class ColumnStats:
     """Per-feature statistics over the non-missing values of ``n`` rows."""
@@ -29,7 +35,7 @@ def available_features(df: DataFrame, features) -> list[str]:
 
 
 def column_stats(df: DataFrame, features, weight: str | None = None, with_sd: bool = False) -> ColumnStats:
-    """One aggregation for everything imputing and centring need.
+    """Everything imputing and centring need, from one aggregation per 16 features.
 
     ``weight`` names a column of row multiplicities. A feature whose minimum
     equals its maximum is constant; that test is exact where a variance
@@ -42,24 +48,13 @@ def column_stats(df: DataFrame, features, weight: str | None = None, with_sd: bo
         raise ValueError("no features given")
     if with_sd and weight is not None:
         raise ValueError("standard deviations are computed for unweighted rows only")
-    span = range(len(features))
-    values = df.selectExpr(
-        *[f"{present(quoted(f))} AS x{i}" for i, f in enumerate(features)],
-        "1 AS w" if weight is None else f"{quoted(weight)} AS w",
-    )
-    aggs = ["count(1) AS n" if weight is None else "sum(w) AS n"]
-    for i in span:
-        if weight is None:
-            aggs += [f"count(x{i}) AS present_{i}", f"avg(x{i}) AS mean_{i}"]
-        else:
-            weights = f"sum(IF(x{i} IS NULL, NULL, w))"
-            aggs += [f"{weights} AS present_{i}", f"sum(x{i} * w) / {weights} AS mean_{i}"]
-        aggs += [f"min(x{i}) AS low_{i}", f"max(x{i}) AS high_{i}"]
-        if with_sd:
-            aggs.append(f"stddev_pop(x{i}) AS sd_{i}")
-    row = values.selectExpr(*aggs).first()
+    step = FEATURES_PER_PASS_SD if with_sd else FEATURES_PER_PASS
+    row = {}
+    for start in range(0, len(features), step):
+        row |= _stats_pass(df, features, range(start, min(start + step, len(features))), weight, with_sd)
 
     n = row["n"] or 0
+    span = range(len(features))
     for i in span:
         if not row[f"present_{i}"]:
             raise ValueError(f"feature {features[i]!r} has no values")
@@ -81,6 +76,24 @@ def column_stats(df: DataFrame, features, weight: str | None = None, with_sd: bo
     )
 
 
+def _stats_pass(df: DataFrame, features, chosen: range, weight: str | None, with_sd: bool) -> dict:
+    values = df.selectExpr(
+        *[f"{present(quoted(features[i]))} AS x{i}" for i in chosen],
+        "1 AS w" if weight is None else f"{quoted(weight)} AS w",
+    )
+    aggs = ["count(1) AS n" if weight is None else "sum(w) AS n"]
+    for i in chosen:
+        if weight is None:
+            aggs += [f"count(x{i}) AS present_{i}", f"avg(x{i}) AS mean_{i}"]
+        else:
+            weights = f"sum(IF(x{i} IS NULL, NULL, w))"
+            aggs += [f"{weights} AS present_{i}", f"sum(x{i} * w) / {weights} AS mean_{i}"]
+        aggs += [f"min(x{i}) AS low_{i}", f"max(x{i}) AS high_{i}"]
+        if with_sd:
+            aggs.append(f"stddev_pop(x{i}) AS sd_{i}")
+    return values.selectExpr(*aggs).first().asDict()
+
+
 def impute_mean(df: DataFrame, features, stats: ColumnStats | None = None) -> DataFrame:
     """Replace missing values (null or NaN) by the column mean."""
     stats = stats or column_stats(df, features)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixscore.functions.scalars import component_name, fixed_text, vector_norm
+from mixscore.functions.text import quoted
 from mixscore.operators.decide import THRESHOLD, components_to, decision, flag_strong, headline, kaiser, weight_table
 from mixscore.operators.groups import group_ellipse, group_ordinals
 from mixscore.operators.pca import PcaFit, loadings_wide, variance_frame
@@ -69,7 +70,7 @@ def _points(model: ProfileModel, rows: DataFrame | None, names) -> DataFrame:
     # One row per label of the dictionary, plus 'Other'.
     colours = F.broadcast(label_ordinals(model).select("Solvent_Main", "colour"))
     return rows.select(
-        F.col(model.row_id).alias("row_id"), "Solvent_Main", *[F.col(f"Solvent_{n}").alias(n) for n in names]
+        F.col(quoted(model.row_id)).alias("row_id"), "Solvent_Main", *[F.col(f"Solvent_{n}").alias(n) for n in names]
     ).join(colours, "Solvent_Main", "left").select("row_id", "Solvent_Main", "colour", *names)
 
 
@@ -152,7 +153,7 @@ def biplot_points(model: ProfileModel, rows: DataFrame | None = None) -> DataFra
     """PC1 and PC2 of every row."""
     rows = fitted_rows(model) if rows is None else rows
     return rows.select(
-        F.col(model.row_id).alias("row_id"), F.col("Solvent_PC1").alias("PC1"), F.col("Solvent_PC2").alias("PC2")
+        F.col(quoted(model.row_id)).alias("row_id"), F.col("Solvent_PC1").alias("PC1"), F.col("Solvent_PC2").alias("PC2")
     )
 
 

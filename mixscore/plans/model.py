@@ -23,6 +23,9 @@ from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, Pro
 from mixscore.sources.measurements import require_columns
 from mixscore.sources.shared import materialise
 
+# Columns that exist between two selects only.
+LOWERED, FIRST, HITS, PROFILE = "__mix_lowered", "__mix_first", "__mix_hits", "__mix_profile"
+
 
 @dataclass(frozen=True)
 class ProfileModel:
@@ -50,12 +53,12 @@ class ProfileModel:
 
 
 def _with_match(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> DataFrame:
-    """Append ``_first`` and ``_hits``; each is computed once and read by name from then on."""
-    lowered = df.withColumn("_lowered", F.lower(key))
+    """Append the match columns; each is computed once and read by name from then on."""
+    lowered = df.withColumn(LOWERED, F.lower(key))
     return lowered.withColumns(
         {
-            "_first": first_match(F.col("_lowered"), dictionary.keys),
-            "_hits": mixture_hits(F.col("_lowered"), dictionary),
+            FIRST: first_match(F.col(LOWERED), dictionary.keys),
+            HITS: mixture_hits(F.col(LOWERED), dictionary),
         }
     )
 
@@ -63,20 +66,26 @@ def _with_match(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> D
 def _with_profile(df: DataFrame, dictionary: PropertyDictionary) -> DataFrame:
     return df.withColumns(
         {
-            "Solvent_Main": label_of(F.col("_first"), dictionary),
-            "_profile": mixture_profile("_first", "_hits", dictionary),
+            "Solvent_Main": label_of(F.col(FIRST), dictionary),
+            PROFILE: mixture_profile(FIRST, HITS, dictionary),
         }
     )
 
 
 def _properties(dictionary: PropertyDictionary) -> list[str]:
-    return [f"get(_profile, {i}) AS {quoted(p)}" for i, p in enumerate(dictionary.properties)]
+    return [f"get({PROFILE}, {i}) AS {quoted(p)}" for i, p in enumerate(dictionary.properties)]
+
+
+def _kept(df: DataFrame, produced) -> list[str]:
+    """Columns of ``df``, quoted, without those that a result replaces."""
+    replaced = {p.lower() for p in produced}
+    return [quoted(c) for c in df.columns if c.lower() not in replaced]
 
 
 def enrich(df: DataFrame, dictionary: PropertyDictionary = SOLVENTS, solvent: str = "Solvent") -> DataFrame:
     """Append the main label and the property profile of every row, row by row."""
     matched = _with_match(df, normalise_key(F.col(quoted(solvent))), dictionary)
-    own = [quoted(c) for c in df.columns]
+    own = _kept(df, ["Solvent_Main", *dictionary.properties])
     return _with_profile(matched, dictionary).selectExpr(*own, "Solvent_Main", *_properties(dictionary))
 
 
@@ -95,9 +104,9 @@ def distinct_profiles(
     """
     counts = [F.sum("n_rows").alias("n_rows"), F.min("first_row").alias("first_row")]
     texts = df.groupBy(normalise_key(F.col(quoted(solvent))).alias("_text")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(row_id).alias("first_row")
+        F.count(F.lit(1)).alias("n_rows"), F.min(quoted(row_id)).alias("first_row")
     )
-    combined = _with_match(texts, F.col("_text"), dictionary).groupBy("_first", "_hits").agg(*counts)
+    combined = _with_match(texts, F.col("_text"), dictionary).groupBy(FIRST, HITS).agg(*counts)
     return _with_profile(combined, dictionary).selectExpr(
         "n_rows", "first_row", "Solvent_Main", *_properties(dictionary)
     )
@@ -169,7 +178,8 @@ def key_scores(model: ProfileModel) -> PropertyDictionary | None:
 
 def score_rows(df: DataFrame, model: ProfileModel) -> DataFrame:
     """Label and scores for any measurement rows, seen or new, batch or stream."""
-    names, own = score_names(model), [quoted(c) for c in df.columns]
+    names = score_names(model)
+    own = _kept(df, [*names, "Solvent_Main"])
     matched = _with_match(df, normalise_key(F.col(quoted(model.solvent))), model.dictionary)
     scores = key_scores(model)
     if scores is not None:
@@ -177,7 +187,7 @@ def score_rows(df: DataFrame, model: ProfileModel) -> DataFrame:
     at = model.dictionary.properties.index
     scored = project(
         _with_profile(matched, model.dictionary), model.fit, len(names),
-        prefix="Solvent_PC", values=lambda f: f"get(_profile, {at(f)})",
+        prefix="Solvent_PC", values=lambda f: f"get({PROFILE}, {at(f)})",
     )
     return scored.select(*own, *names, "Solvent_Main")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.functions.scalars import component_name, with_default
+from mixscore.functions.text import quoted
 from mixscore.operators.decide import weight_table
 from mixscore.operators.pca import loadings_wide, variance_frame
 from mixscore.plans.model import ProfileModel, fit_profile_pca, fitted_rows
@@ -28,14 +29,14 @@ def score_table(model: ProfileModel, rows: DataFrame | None = None) -> DataFrame
     rows = fitted_rows(model) if rows is None else rows
     third = F.col("Solvent_PC3") if model.fit.k > 2 else F.lit(None).cast("double")
     return rows.select(
-        F.col(model.row_id).alias("row_id"),
+        F.col(quoted(model.row_id)).alias("row_id"),
         F.col("Name"),
-        F.col(f"`{model.solvent}`").alias("Solvent_Original"),
+        F.col(quoted(model.solvent)).alias("Solvent_Original"),
         F.col("Solvent_Main"),
         F.col("Solvent_PC1").alias("PC1"),
         F.col("Solvent_PC2").alias("PC2"),
         third.alias("PC3"),
-        *[F.col(f"`{c}`").alias(name) for c, name in PASS_THROUGH.items()],
+        *[F.col(quoted(c)).alias(name) for c, name in PASS_THROUGH.items()],
     )
 
 

@@ -29,9 +29,8 @@ def _sorted_rows(columns, rows):
     return [columns[i] for i in order], sorted((tuple(r[i] for i in order) for r in rows), key=repr)
 
 
-def compare(spark, con, sf_dir: str, name: str) -> str | None:
-    """None when both results hold the same rows, else a description of the difference."""
-    df = QUERIES[name](spark, sf_dir)
+def difference(df, con, name: str) -> str | None:
+    """None when the result holds the same rows as the query's SQL, else what differs."""
     got_cols, got = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(ORACLE[name])
     want_cols, want = _sorted_rows([d[0] for d in result.description], result.fetchall())
@@ -54,7 +53,7 @@ def main(argv) -> int:
     for name in names:
         start = time.time()
         try:
-            problem = compare(spark, con, sf_dir, name)
+            problem = difference(QUERIES[name](spark, sf_dir), con, name)
         except Exception as error:  # report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += problem is not None

@@ -153,3 +153,20 @@ def test_dictionary_frame_is_ordered(spark):
     rows = SOLVENTS.frame(spark).orderBy("ord").collect()
     assert [r["key"] for r in rows] == list(SOLVENTS.keys)
     assert rows[9]["ri"] == 1.509
+
+
+def test_enriching_twice_replaces_the_results(spark, part_model):
+    once = fitted_rows(part_model).withColumn("__extra", F.lit(1)).withColumn("_first", F.col("row_id"))
+    again = score_rows(once.withColumn("Solvent_PC1", F.lit(9.0)), part_model)
+    assert sorted(again.columns) == sorted(once.columns)
+    a = again.orderBy("row_id").select("row_id", "_first", *SCORES).collect()
+    b = once.orderBy("row_id").select("row_id", "row_id", *SCORES).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["Water", "DMF", "THF/DMF", None])], "`row.id` long, `the solvent` string")
+    model = fit_profile_pca(df, solvent="the solvent", row_id="row.id")
+    assert fitted_rows(model).columns == ["row.id", "the solvent", *SCORES]
+    assert charts.score_points(model).count() == 4
+    assert [r["Solvent_Main"] for r in charts.label_ordinals(model).orderBy("ordinal").collect()] == ["Water", "DMF", "Other"]

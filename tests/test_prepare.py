@@ -74,7 +74,7 @@ def test_feature_selection_and_weighting(gaps):
     assert [r["c"] for r in out] == [14.0] * 4
 
 
-@pytest.mark.parametrize("p", [1, 3, 12, 13, 20])
+@pytest.mark.parametrize("p", [1, 3, 12, 13, 16, 17, 40])
 def test_both_moment_forms_agree_with_numpy(spark, p):
     rng = np.random.default_rng(p)
     data = rng.normal(size=(200, p)) * np.logspace(-3, 6, p) + np.logspace(3, 7, p)
@@ -95,3 +95,11 @@ def test_correlation_frame_lists_the_upper_triangle(spark):
         {("a", "a"): 1, ("a", "b"): -1, ("a", "c"): 0, ("b", "b"): 1, ("b", "c"): 0, ("c", "c"): 0}
     )
     assert not any(math.isnan(v) for v in rows.values())
+
+
+def test_wide_standardising_agrees_with_numpy(spark):
+    data = np.random.default_rng(9).normal(size=(60, 30)) * np.arange(1, 31)
+    names = [f"f{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "id int, " + ", ".join(f"{n} double" for n in names))
+    got = np.array(standardise(df, names).orderBy("id").select(*names).collect())
+    assert got == pytest.approx((data - data.mean(axis=0)) / data.std(axis=0), abs=1e-9)

@@ -79,3 +79,27 @@ def test_stream_scores_equal_batch_scores(spark, part_measurements, part_model,
 def test_stream_scoring_refuses_a_batch(part_measurements, part_model):
     with pytest.raises(ValueError):
         score_stream(part_measurements, part_model)
+
+
+class FakeSession:
+    """The three settings ``shared_folder`` looks at."""
+
+    def __init__(self, setting, context_folder, master):
+        self.conf = self.sparkContext = self
+        self.setting, self.context_folder, self.master = setting, context_folder, master
+
+    def get(self, key, default):
+        return self.setting if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return self.context_folder
+
+
+def test_the_shared_folder_is_the_clusters_setting():
+    assert shared_folder(FakeSession("s3a://b/c", "x", "yarn")) == "s3a://b/c"
+    assert shared_folder(FakeSession(None, "hdfs:/c", "yarn")) == "hdfs:/c"
+    local = shared_folder(FakeSession(None, None, "local[2]"))
+    assert local == shared_folder(FakeSession(None, None, "local[*]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(FakeSession(None, None, master))
