@@ -1,10 +1,10 @@
 from mixscore.functions.lookup import (
     first_match,
     label_of,
-    main_label,
     mixture_hits,
     mixture_profile,
     normalise_key,
+    with_main_label,
 )
 from mixscore.functions.scalars import (
     component_name,
@@ -21,11 +21,11 @@ __all__ = [
     "fixed_text",
     "floor_weight",
     "label_of",
-    "main_label",
     "missing_to_null",
     "mixture_hits",
     "mixture_profile",
     "normalise_key",
     "vector_norm",
     "with_default",
+    "with_main_label",
 ]

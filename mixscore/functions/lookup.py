@@ -1,15 +1,16 @@
 """Keyword lookup against a property dictionary, as row-local expressions.
 
 Nothing here shuffles, joins or leaves the JVM, so the same expressions serve
-batch and streaming DataFrames.
+batch and streaming DataFrames. Functions that read an intermediate result
+take the name of its column: it is then computed once per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixscore.functions.text import numbers, quoted
+from mixscore.functions.text import numbers, quoted, string
 from mixscore.sources.dictionary import PropertyDictionary
 
 # Up to this many keys the lookup is one CASE expression, which stops at the
@@ -26,49 +27,53 @@ def normalise_key(name: Column) -> Column:
     return F.coalesce(F.nullif(name.cast("string"), F.lit("")), F.lit("Unknown"))
 
 
-def first_match(lowered: Column, keys) -> Column:
-    """Index of the first key, in dictionary order, that ``lowered`` contains; else null."""
-    keys = [k.lower() for k in keys]
+def _match(subject: str, dictionary: PropertyDictionary) -> str:
+    """SQL text of the index of the first key that ``subject`` contains; else null."""
+    keys = [string(k.lower()) for k in dictionary.keys]
     if len(keys) <= CASE_KEYS:
-        hit = F.when(lowered.contains(keys[0]), F.lit(0))
-        for i, key in enumerate(keys[1:], start=1):
-            hit = hit.when(lowered.contains(key), F.lit(i))
-        return hit
-    literals = F.array(*[F.lit(k) for k in keys])
-    found = F.filter(
-        F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda i: lowered.contains(F.get(literals, i))
-    )
-    return F.get(found, 0)
+        return "CASE " + " ".join(f"WHEN contains({subject}, {k}) THEN {i}" for i, k in enumerate(keys)) + " END"
+    found = f"filter(sequence(0, {len(keys) - 1}), i -> contains({subject}, get(array({', '.join(keys)}), i)))"
+    return f"get({found}, 0)"
 
 
-def main_label(name: Column, dictionary: PropertyDictionary) -> Column:
-    """First key contained in the whole text, or ``'Other'``."""
-    return label_of(first_match(F.lower(name), dictionary.keys), dictionary)
+def first_match(lowered: str, dictionary: PropertyDictionary) -> Column:
+    """Index of the first key, in dictionary order, contained in the lower-cased text; else null."""
+    return F.expr(_match(quoted(lowered), dictionary))
 
 
-def label_of(first: Column, dictionary: PropertyDictionary) -> Column:
+def label_of(first: str, dictionary: PropertyDictionary) -> Column:
     """Key at an index of ``first_match``, or ``'Other'``."""
-    # F.get, unlike element_at, keeps a null index null.
-    return F.coalesce(F.get(F.array(*[F.lit(k) for k in dictionary.keys]), first), F.lit("Other"))
+    # get, unlike element_at, keeps a null index null.
+    keys = ", ".join(string(k) for k in dictionary.keys)
+    return F.expr(f"coalesce(get(array({keys}), {quoted(first)}), 'Other')")
+
+
+def with_main_label(
+    df: DataFrame, key: Column, dictionary: PropertyDictionary, label: str = "Solvent_Main"
+) -> DataFrame:
+    """Append the first key contained in the whole text, or ``'Other'``."""
+    lowered, first = "__mix_lowered", "__mix_first"
+    matched = df.withColumn(lowered, F.lower(key)).withColumn(first, first_match(lowered, dictionary))
+    return matched.withColumn(label, label_of(first, dictionary)).drop(lowered, first)
 
 
-def mixture_hits(lowered: Column, dictionary: PropertyDictionary) -> Column:
+def mixture_hits(lowered: str, dictionary: PropertyDictionary) -> Column:
     """Sorted dictionary indexes of the ``/``-separated parts, at most one per part.
 
     Repeated parts repeat, unmatched and empty parts vanish. A text without a
     separator is no mixture and has none: its index is ``first_match``.
     """
-    found = F.transform(F.split(lowered, "/"), lambda part: first_match(part, dictionary.keys))
-    return F.when(lowered.contains("/"), F.array_sort(F.array_compact(found)))
+    text = quoted(lowered)
+    found = f"transform(split({text}, '/'), part -> {_match('part', dictionary)})"
+    return F.expr(f"CASE WHEN contains({text}, '/') THEN array_sort(array_compact({found})) END")
 
 
 def mixture_profile(first: str, hits: str, dictionary: PropertyDictionary) -> Column:
     """Mean of every property over the matched parts, as an array in dictionary order.
 
-    ``first`` and ``hits`` name columns of ``first_match`` and ``mixture_hits``,
-    computed once by an earlier select. Without a match the default row is
-    returned. A property missing for one of the parts is missing for the
-    mixture.
+    ``first`` and ``hits`` name columns of ``first_match`` and ``mixture_hits``.
+    Without a match the default row is returned. A property missing for one of
+    the parts is missing for the mixture.
     """
     table = "array(" + ", ".join(numbers(row) for row in dictionary.rows) + ")"
     zeros = numbers([0.0] * len(dictionary.properties))

@@ -12,6 +12,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def string(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def number(value: float | None) -> str:
     """A double literal; ``None`` is null."""
     return "CAST(NULL AS DOUBLE)" if value is None else f"({float(value)!r}D)"

@@ -57,8 +57,8 @@ def _with_match(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> D
     lowered = df.withColumn(LOWERED, F.lower(key))
     return lowered.withColumns(
         {
-            FIRST: first_match(F.col(LOWERED), dictionary.keys),
-            HITS: mixture_hits(F.col(LOWERED), dictionary),
+            FIRST: first_match(LOWERED, dictionary),
+            HITS: mixture_hits(LOWERED, dictionary),
         }
     )
 
@@ -66,7 +66,7 @@ def _with_match(df: DataFrame, key: Column, dictionary: PropertyDictionary) -> D
 def _with_profile(df: DataFrame, dictionary: PropertyDictionary) -> DataFrame:
     return df.withColumns(
         {
-            "Solvent_Main": label_of(F.col(FIRST), dictionary),
+            "Solvent_Main": label_of(FIRST, dictionary),
             PROFILE: mixture_profile(FIRST, HITS, dictionary),
         }
     )

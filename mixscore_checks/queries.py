@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscore.functions.lookup import main_label, normalise_key
+from mixscore.functions.lookup import normalise_key, with_main_label
 from mixscore.functions.scalars import with_default
 from mixscore.operators import decide, groups, pca, prepare
 from mixscore.operators.moments import correlation_frame, moments
@@ -49,15 +49,13 @@ def _line_variance(spark, sf_dir):
 # --- lookup -----------------------------------------------------------------
 
 def normalise_and_label(spark, sf_dir):
-    key = normalise_key(F.col("Solvent"))
-    return measurements(spark, sf_dir).select(
-        "row_id", key.alias("solvent_key"), main_label(key, SOLVENTS).alias("label")
-    )
+    keyed = measurements(spark, sf_dir).select("row_id", normalise_key(F.col("Solvent")).alias("solvent_key"))
+    return with_main_label(keyed, F.col("solvent_key"), SOLVENTS, "label")
 
 
 def label_counts(spark, sf_dir):
-    key = normalise_key(F.col("Solvent"))
-    labelled = measurements(spark, sf_dir).select(main_label(key, SOLVENTS).alias("label"))
+    rows = measurements(spark, sf_dir).select("Solvent")
+    labelled = with_main_label(rows, normalise_key(F.col("Solvent")), SOLVENTS, "label")
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,12 +67,8 @@ def label_texts(spark, sf_dir):
         ("documents", "doc_id", "text"),
         ("pages", "page_id", "html"),
     ):
-        value = normalise_key(F.col(text))
-        parts.append(
-            table(spark, sf_dir, name).select(
-                F.lit(name).alias("source"), F.col(key).alias("id"), main_label(value, SOLVENTS).alias("label")
-            )
-        )
+        rows = table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).alias("id"), text)
+        parts.append(with_main_label(rows, normalise_key(F.col(text)), SOLVENTS, "label").drop(text))
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 

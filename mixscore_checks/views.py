@@ -25,8 +25,20 @@ LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount")
 LINE_FEATURES_4 = LINE_FEATURES + ("l_tax",)
 
 
+# Columns the queries read; a known schema spares the inference job.
+SCHEMAS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_size INT, p_retailprice DOUBLE",
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+        "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING"
+    ),
+    "documents": "doc_id BIGINT, text STRING",
+    "pages": "page_id BIGINT, html STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

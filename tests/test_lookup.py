@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from mixscore.functions.lookup import (
     first_match,
     label_of,
-    main_label,
     mixture_hits,
     mixture_profile,
     normalise_key,
+    with_main_label,
 )
 from mixscore.plans import enrich
 from mixscore.sources.dictionary import SOLVENTS, PropertyDictionary
@@ -36,15 +36,12 @@ def lookup(spark, texts, dictionary):
     """(label, label again, matched parts, profile) per text."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     key = normalise_key(F.col("t"))
-    matched = df.select(
-        "id", key.alias("key"),
-        first_match(F.lower(key), dictionary.keys).alias("f"), mixture_hits(F.lower(key), dictionary).alias("h"),
+    lowered = with_main_label(df, key, dictionary, "label").withColumn("low", F.lower(key))
+    matched = lowered.select(
+        "id", "label", first_match("low", dictionary).alias("f"), mixture_hits("low", dictionary).alias("h")
     )
     out = matched.select(
-        "id",
-        main_label(F.col("key"), dictionary).alias("label"),
-        label_of(F.col("f"), dictionary).alias("label2"),
-        "f", "h",
+        "id", "label", label_of("f", dictionary).alias("label2"), "f", "h",
         mixture_profile("f", "h", dictionary).alias("p"),
     )
     rows = []
@@ -117,13 +114,20 @@ def test_missing_property_is_missing_for_the_mixture(spark):
 def test_numbers_are_matched_as_text(spark):
     d = PropertyDictionary.from_rows(("a",), [("12", 1), ("3", 2)], "3")
     df = spark.createDataFrame([(312.5,), (None,), (float("nan"),)], "t double")
-    labels = [r[0] for r in df.select(main_label(normalise_key(F.col("t")), d)).collect()]
+    labels = [r["l"] for r in with_main_label(df, normalise_key(F.col("t")), d, "l").collect()]
     assert labels == ["12", "Other", "Other"]
 
 
 def test_null_index_never_wraps_around(spark):
-    df = spark.createDataFrame([("Toluene",)], "t string")
-    assert df.select(main_label(F.col("t"), SOLVENTS), first_match(F.lower("t"), SOLVENTS.keys)).first()[:] == ("Other", None)
+    df = spark.createDataFrame([("toluene",)], "t string").withColumn("f", first_match("t", SOLVENTS))
+    assert df.select("f", label_of("f", SOLVENTS)).first()[:] == (None, "Other")
+
+
+def test_keys_with_quotes_and_backslashes(spark):
+    d = PropertyDictionary.from_rows(("a",), [("O'x\\y", 1), ('"q"', 2), ("\\n", 3), ("50%", 4)], "50%")
+    rows = lookup(spark, ["o'X\\y", 'a "Q" b', "x\\N", "new\nline", "50%/\\n"], d)
+    assert [r[0] for r in rows] == ["O'x\\y", '"q"', "\\n", "Other", "\\n"]
+    assert rows[4][2] == [2, 3]
 
 
 def test_enrich_keeps_columns_and_rows(spark):
