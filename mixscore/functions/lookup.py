@@ -65,7 +65,7 @@ def mixture_hits(lowered: str, dictionary: PropertyDictionary) -> Column:
     """
     text = quoted(lowered)
     found = f"transform(split({text}, '/'), part -> {_match('part', dictionary)})"
-    return F.expr(f"CASE WHEN contains({text}, '/') THEN array_sort(array_compact({found})) END")
+    return F.expr(f"CASE WHEN contains({text}, '/') THEN sort_array(array_compact({found})) END")
 
 
 def mixture_profile(first: str, hits: str, dictionary: PropertyDictionary) -> Column:

@@ -19,6 +19,9 @@ THRESHOLD = 0.85
 FLOOR = 0.1
 CANDIDATES = 1000
 
+# A candidate costs microseconds: a few tasks do, whatever the cluster's default.
+CANDIDATES_PER_TASK = 250
+
 
 def search_needed(fit: PcaFit, threshold: float = THRESHOLD) -> bool:
     """Whether PC1 + PC2 stay below the threshold; never when nothing varies."""
@@ -70,7 +73,8 @@ def candidate_weights(
         f"WHEN id <= {len(initial)} THEN w ELSE {spread} END)"
     )
     weights = F.transform(tried, lambda w: floor_weight(w, floor))
-    return spark.range(n).select(F.col("id").alias("cand_id"), weights.alias("weights"))
+    tasks = max(1, n // CANDIDATES_PER_TASK)
+    return spark.range(0, n, 1, tasks).select(F.col("id").alias("cand_id"), weights.alias("weights"))
 
 
 def sweep_weights(candidates: DataFrame, m: Moments, threshold: float = THRESHOLD) -> DataFrame:

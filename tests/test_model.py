@@ -28,6 +28,22 @@ def test_golden_values_at_equal_shares(spark):
     assert fit.eigenvalues[:4] == pytest.approx([7.347597, 4.144801, 1.541486, 1.010616], abs=1e-6)
 
 
+def test_golden_groups(spark):
+    from mixscore_checks.views import measurements
+
+    model = fit_profile_pca(measurements(spark, "/root/testdata/sf0.01"), search=False)
+    assert model.fit.eigenvalues[:4] == pytest.approx([7.347597, 4.144801, 1.541486, 1.010616], abs=1e-6)
+    rows = {r["Solvent_Main"]: r for r in charts.label_ellipses(model).collect()}
+    assert {k: r["n"] for k, r in rows.items()} == {
+        "Water": 375, "Ethanol": 250, "Other": 250, "THF": 250,
+        **{k: 125 for k in ("DMF", "DMSO", "Acetone", "Acetonitrile", "Acetic_acid", "Ethyl_acetate", "Pyridine")},
+    }
+    water = rows.pop("Water")
+    assert (water["major"], water["minor"]) == pytest.approx((1.896287, 0.410397), abs=1e-6)
+    assert water["angle"] == pytest.approx(-39.1797, abs=1e-4)
+    assert all(r["degenerate"] and r["width"] == r["height"] == 0 for r in rows.values())
+
+
 def test_profiles_hold_every_row_once(part_measurements, part_model):
     total = part_model.profiles.agg(F.sum("n_rows"), F.count("*"), F.min("first_row")).first()
     # 16 texts: 'methanol' falls to Ethanol, 'Toluene' and the missing text to the default.
