@@ -3,6 +3,8 @@ import pytest
 import __spark_entry__ as contract
 from conftest import plan_text
 from mixscore_checks.compare import connect, difference
+from mixscore_checks.oracle import ORACLE
+from mixscore_checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +14,7 @@ def duck(sf_dir):
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
     plan = plan_text(df)
@@ -23,7 +25,9 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
