@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixscore.llm.decontamination import contained_items
 from mixscore.llm.line_dedup import dedup_lines
 from mixscore.llm.packing import pack_documents
 
@@ -40,9 +41,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
 }
 
 ORACLE: dict[str, str] = {
@@ -66,4 +72,24 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op3_decontamination": r"""
+        WITH texts AS (
+            SELECT doc_id AS id, 'd' AS kind, text FROM documents
+            UNION ALL SELECT item_id, 'i', text FROM benchmark
+        ), tokens AS (
+            SELECT kind, id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+            FROM texts WHERE text IS NOT NULL
+        ), places AS (
+            SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM tokens WHERE len(w) >= 5
+        ), shingles AS (
+            SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS shingle FROM places
+        ), sizes AS (
+            SELECT id, count(*) AS n_item FROM shingles WHERE kind = 'i' GROUP BY id
+        )
+        SELECT d.id AS doc_id, i.id AS item_id, max(s.n_item) AS n_item, count(*) AS n_found,
+               count(*) / max(s.n_item) AS containment
+        FROM shingles i JOIN shingles d ON d.kind = 'd' AND i.kind = 'i' AND d.shingle = i.shingle
+        JOIN sizes s ON s.id = i.id
+        GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * max(s.n_item)
+    """,
 }
