@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mixscore.llm.decontamination import contained_items
 from mixscore.llm.line_dedup import dedup_lines
+from mixscore.llm.near_dedup import near_duplicates
 from mixscore.llm.packing import pack_documents
 
 
@@ -45,10 +46,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
