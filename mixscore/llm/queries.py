@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixscore.llm.decontamination import contained_items
 from mixscore.llm.line_dedup import dedup_lines
+from mixscore.llm.lm_score import score_texts
 from mixscore.llm.near_dedup import near_duplicates
 from mixscore.llm.packing import pack_documents
 
@@ -46,6 +47,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def _crc_remainder(n: int) -> Column:
+    """The remainder by ``n`` of the CRC-32 of the document's id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir), held_out=_crc_remainder(10) == 0)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2)
 
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
 }
 
