@@ -63,6 +63,7 @@ def dedup_lines(
     min_docs: int = 5,
     n_lines: str = "n_lines",
     n_dropped: str = "n_dropped",
+    n_chars_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with repeated lines dropped from ``text_col``, and two more columns of counts.
 
@@ -70,6 +71,7 @@ def dedup_lines(
     in lower case. A key of at least ``min_chars`` code points found in at least
     ``min_docs`` distinct documents loses all its lines except those in the
     largest id that holds it. ``n_lines`` counts the lines before dropping.
+    A column named by ``n_chars_col`` is set to the length of a text that lost a line.
 
     Defined cases: a null or empty text is one empty line and stays as it is.
     A line repeated inside one document counts one document; in the document
@@ -103,8 +105,11 @@ def dedup_lines(
     # Only texts that lose a line visit Python; the others pass as they are.
     cut = _without_lines(F.when(drop.isNotNull(), text), drop)
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n")))
+    changed = {text_col: F.when(drop.isNull(), text).otherwise(cut)}
+    if n_chars_col:
+        changed[n_chars_col] = F.when(drop.isNull(), column(n_chars_col)).otherwise(F.length(cut))
     return joined.select(
-        *[F.when(drop.isNull(), text).otherwise(cut).alias(c) if c == text_col else column(c) for c in docs.columns],
+        *[changed[c].alias(c) if c in changed else column(c) for c in docs.columns],
         F.coalesce(newlines + 1, F.lit(1)).cast("long").alias(n_lines),
         F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(n_dropped),
     )

@@ -12,6 +12,7 @@ from mixscore.llm.line_dedup import dedup_lines
 from mixscore.llm.lm_score import score_texts
 from mixscore.llm.near_dedup import near_duplicates
 from mixscore.llm.packing import pack_documents
+from mixscore.llm.quality import judge_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _crc_remainder(n: int) -> Column:
     """The remainder by ``n`` of the CRC-32 of the document's id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
 }
