@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixscore.llm.decontamination import contained_items
+from mixscore.llm.language_id import identify_languages
 from mixscore.llm.line_dedup import dedup_lines
 from mixscore.llm.lm_score import score_texts
 from mixscore.llm.near_dedup import near_duplicates
@@ -48,15 +49,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-
-
 def _crc_remainder(n: int) -> Column:
     """The remainder by ``n`` of the CRC-32 of the document's id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_languages(docs, held_out=_crc_remainder(3) == 1)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir), held_out=_crc_remainder(10) == 0)
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
