@@ -13,6 +13,7 @@ from mixscore.llm.language_id import identify_languages
 from mixscore.llm.line_dedup import dedup_lines
 from mixscore.llm.lm_score import score_texts
 from mixscore.llm.near_dedup import near_duplicates
+from mixscore.llm.neighbours import nearest_neighbours
 from mixscore.llm.packing import pack_documents
 from mixscore.llm.quality import judge_quality
 
@@ -72,6 +73,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
+    "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
 }
 
