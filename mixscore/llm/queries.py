@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mixscore.llm.decontamination import contained_items
 from mixscore.llm.extraction import extract_main_text
 from mixscore.llm.language_id import identify_languages
+from mixscore.llm.license_scan import scan_licenses
 from mixscore.llm.line_dedup import dedup_lines
 from mixscore.llm.lm_score import score_texts
 from mixscore.llm.near_dedup import near_duplicates
@@ -51,6 +52,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def _crc_remainder(n: int) -> Column:
     """The remainder by ``n`` of the CRC-32 of the document's id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_lm_score": op7_lm_score,
