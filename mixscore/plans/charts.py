@@ -82,7 +82,7 @@ def label_ordinals(model: ProfileModel) -> DataFrame:
 
 def label_ellipses(model: ProfileModel) -> DataFrame:
     """Covariance ellipse of PC1 and PC2 per main label."""
-    return group_ellipse(model.scored_profiles(), "Solvent_Main", "PC1", "PC2", weight="n_rows")
+    return group_ellipse(model.scored_profiles(), "Solvent_Main", "PC1", "PC2", weight="n_rows", few_groups=True)
 
 
 def loading_vectors(spark: SparkSession, fit: PcaFit) -> DataFrame:

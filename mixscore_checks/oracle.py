@@ -20,7 +20,7 @@ _STEPS = 300
 
 
 def _r(expr: str, name: str | None = None) -> str:
-    return f'round({expr}, 6) + 0.0 AS "{name or expr}"'
+    return f'round_even(({expr}) * 1e6, 0) / 1e6 + 0.0 AS "{name or expr}"'
 
 
 def _text(value: str) -> str:
@@ -145,12 +145,15 @@ def _z(c: str) -> str:
 def _ellipse(source: str, group: str, columns: str) -> str:
     """Ellipses from ``mom(group, n, cx, cy, a, b, c)``."""
     return (
-        f"mom AS (SELECT {group}, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, covar_samp(x, y) AS b, "
+        f"raw_mom AS (SELECT {group}, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, covar_samp(x, y) AS b, "
         f"var_samp(y) AS c FROM {source} GROUP BY {group} HAVING count(*) >= 3), "
+        "mom AS (SELECT * REPLACE (CASE WHEN abs(b) <= 1e-12 * sqrt(a * c) THEN 0.0 ELSE b END AS b) FROM raw_mom), "
         "axes AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS hi, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS lo FROM mom), "
-        "flat AS (SELECT *, CASE WHEN abs(hi) < 1e-12 THEN 0.0 ELSE hi END AS major, CASE WHEN abs(lo) < 1e-12 THEN 0.0 ELSE lo END AS minor FROM axes), "
+        "noisy AS (SELECT *, (1e-15 * greatest(abs(cx), abs(cy))) ** 2 AS centre FROM axes), "
+        "flat AS (SELECT *, CASE WHEN hi <= centre THEN 0.0 ELSE hi END AS major, "
+        "CASE WHEN lo <= 1e-12 * (a + c) + centre THEN 0.0 ELSE lo END AS minor FROM noisy), "
         "ellipse AS (SELECT *, 2 * 1.7 * sqrt(major) AS width, 2 * 1.7 * sqrt(minor) AS height, "
-        "CASE WHEN major = 0 THEN 0.0 ELSE degrees(0.5 * atan2(2 * b, a - c)) END AS angle, minor = 0 AS degenerate FROM flat WHERE major >= 0 AND minor >= 0) "
+        "CASE WHEN major = 0 THEN 0.0 ELSE degrees(0.5 * atan2(2 * b, a - c)) END AS angle, minor = 0 AS degenerate FROM flat) "
         f"SELECT {columns} FROM ellipse"
     )
 
@@ -310,7 +313,15 @@ ORACLE = {
     ),
     "q17c_group_ellipse_orders": (
         f"WITH pts AS (SELECT l_orderkey, {_z('l_quantity')} AS x, {_z('l_discount')} AS y FROM lineitem), "
-        + _ellipse("pts", "l_orderkey", "l_orderkey, n, " + ", ".join(_r(c) for c in ("cx", "cy", "major", "minor", "width", "height")))
+        + _ellipse("pts", "l_orderkey", f"l_orderkey, {_ELLIPSE}")
+    ),
+    "q17d_group_ellipse_raw": (
+        "WITH pts AS (SELECT l_orderkey, l_quantity AS x, l_discount AS y FROM lineitem), "
+        + _ellipse("pts", "l_orderkey", f"l_orderkey, {_ELLIPSE}")
+    ),
+    "q17e_group_ellipse_collinear": (
+        "WITH pts AS (SELECT l_orderkey, l_extendedprice / 1000 AS x, 3 * (l_extendedprice / 1000) + 7 AS y FROM lineitem), "
+        + _ellipse("pts", "l_orderkey", f"l_orderkey, {_ELLIPSE}")
     ),
     "q18_group_ordinal": (
         f'WITH {MEAS}, {DICT}, {LABELLED}, {_COLOURS} SELECT label AS "Solvent_Main", first_row, ordinal, ordinal % 12 AS colour FROM ordinals'

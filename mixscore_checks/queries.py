@@ -239,8 +239,19 @@ def line_ellipses(spark, sf_dir):
 def order_ellipses(spark, sf_dir):
     """Ellipses by a column with many small groups, some under three rows."""
     rows = prepare.standardise(lines(spark, sf_dir), ["l_quantity", "l_discount"])
-    ellipses = groups.group_ellipse(rows, "l_orderkey", "l_quantity", "l_discount")
-    return rounded(ellipses.select("l_orderkey", "n", "cx", "cy", "major", "minor", "width", "height"))
+    return rounded(groups.group_ellipse(rows, "l_orderkey", "l_quantity", "l_discount"))
+
+
+def raw_ellipses(spark, sf_dir):
+    """Ellipses of raw columns whose spreads differ by orders of magnitude."""
+    return rounded(groups.group_ellipse(lines(spark, sf_dir), "l_orderkey", "l_quantity", "l_discount"))
+
+
+def collinear_ellipses(spark, sf_dir):
+    """Groups whose points lie on a line: a row for each, with a minor axis of zero."""
+    price = F.col("l_extendedprice") / 1000
+    rows = lines(spark, sf_dir).select("l_orderkey", price.alias("x"), (3 * price + 7).alias("y"))
+    return rounded(groups.group_ellipse(rows, "l_orderkey", "x", "y"))
 
 
 def label_ordinals(spark, sf_dir):
@@ -345,6 +356,8 @@ QUERIES = {
     "q17_group_ellipse": label_ellipses,
     "q17b_group_ellipse_lines": line_ellipses,
     "q17c_group_ellipse_orders": order_ellipses,
+    "q17d_group_ellipse_raw": raw_ellipses,
+    "q17e_group_ellipse_collinear": collinear_ellipses,
     "q18_group_ordinal": label_ordinals,
     "q19_loadings_wide": loadings_wide,
     "q19b_loadings_heatmap": loadings_heatmap,

@@ -44,6 +44,27 @@ def test_ellipses_agree_with_numpy(points):
         assert row["degenerate"] is (name == "line")
 
 
+def test_no_group_is_lost_or_flattened_at_any_scale(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(200):
+        start, step = rng.uniform(-7e8, 7e8, 2), rng.uniform(-3e7, 3e7, 2)
+        rows += [(f"line{i}", *map(float, start + t * step)) for t in rng.integers(0, 50, 20)]
+        rows += [(f"small{i}", *map(float, p)) for p in rng.normal(size=(20, 2)) * 1e-7]
+        rows += [(f"same{i}", float(start[0]), float(start[1]))] * 5
+    got = by_group(group_ellipse(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y"))
+    assert len(got) == 600
+    assert all(r["degenerate"] and r["minor"] == 0 < r["major"] for g, r in got.items() if g.startswith("line"))
+    assert all(r["major"] == 0 for g, r in got.items() if g.startswith("same"))
+    local = spark.createDataFrame(rows, "g string, x double, y double").where("g LIKE 'small%'").toPandas()
+    for name, part in local.groupby("g"):
+        major, minor, _ = numpy_ellipse(part.x, part.y)
+        assert not got[name]["degenerate"]
+        assert (got[name]["major"], got[name]["minor"]) == (
+            pytest.approx(major, rel=1e-9, abs=1e-30), pytest.approx(minor, rel=1e-9, abs=1e-30)
+        )
+
+
 def test_coinciding_points_keep_a_zero_ellipse(points):
     row = by_group(group_ellipse(points, "g", "x", "y"))["same"]
     assert (row["n"], row["major"], row["minor"], row["width"], row["height"], row["angle"]) == (5, 0, 0, 0, 0, 0)
