@@ -19,10 +19,18 @@ THRESHOLD = 0.85
 FLOOR = 0.1
 CANDIDATES = 1000
 
+# Distances from the threshold within this much of the smallest are equal: standardising
+# cancels every positive weight, so they differ by rounding only.
+TIE = 1e-9
+
 # A candidate costs microseconds: a few tasks do, whatever the cluster's default.
 CANDIDATES_PER_TASK = 250
 
 
+# Place of a candidate's weight in its range, in SQL: strides that share no factor with the modulus.
+SPREAD = "({id} * (7919 + 104729 * {j}) + 611953 * {j}) % 1000003"
+
+
 def search_needed(fit: PcaFit, threshold: float = THRESHOLD) -> bool:
     """Whether PC1 + PC2 stay below the threshold; never when nothing varies."""
     return bool(fit.k >= 2 and fit.cumulative[1] < threshold)
@@ -64,10 +72,10 @@ def candidate_weights(
     """``n`` weightings by rule, floored: ``(cand_id, weights array)``.
 
     Candidate 0 is the initial weighting, candidates 1..p raise one weight by
-    5 %, the rest spread over ``[floor, 5)`` by a hash of candidate and feature.
+    5 %, the rest spread over ``[floor, 5)`` by a linear rule on candidate and feature.
     """
     base = numbers(initial.values())
-    spread = f"pmod(xxhash64(id, j), 1000000) / 1000000D * {number(5.0 - floor)} + {number(floor)}"
+    spread = f"({SPREAD.format(id='id', j='j')}) / 1000003D * {number(5.0 - floor)} + {number(floor)}"
     tried = F.expr(
         f"transform({base}, (w, j) -> CASE WHEN id = j + 1 THEN w * 1.05D "
         f"WHEN id <= {len(initial)} THEN w ELSE {spread} END)"
@@ -108,13 +116,13 @@ def sweep_weights(candidates: DataFrame, m: Moments, threshold: float = THRESHOL
 
 
 def best_candidate(swept: DataFrame) -> DataFrame:
-    """The candidate closest to the threshold; the lowest id among equals.
+    """The candidate closest to the threshold; the lowest id among those within ``TIE`` of it.
 
-    Distances are compared to 9 decimals: standardising cancels every positive
-    weight, so unrounded they would differ by noise only.
+    So candidate 0, the initial weights, stays unless another is closer by more.
+    The window sees one row for each candidate, `CANDIDATES` by default.
     """
-    rank = F.struct(F.round("objective", 9).alias("distance"), F.col("cand_id"))
-    return swept.agg(F.min_by(F.struct("cand_id", "weights", "cum2", "objective"), rank).alias("best")).select("best.*")
+    near = swept.withColumn("least", F.min("objective").over(_whole())).where(F.col("objective") <= F.col("least") + TIE)
+    return near.agg(F.min_by(F.struct("cand_id", "weights", "cum2", "objective"), "cand_id").alias("best")).select("best.*")
 
 
 def used_weights(

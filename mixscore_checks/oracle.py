@@ -8,7 +8,7 @@ with deflation (fifteen features).
 
 from __future__ import annotations
 
-from mixscore.operators.decide import CANDIDATES, FLOOR, THRESHOLD
+from mixscore.operators.decide import CANDIDATES, FLOOR, SPREAD, THRESHOLD, TIE
 from mixscore.plans.report import PASS_THROUGH
 from mixscore.sources.dictionary import DISPLAY_LABELS, FEATURES, INITIAL_WEIGHTS, SOLVENTS
 from mixscore_checks.queries import LINE_WEIGHTS
@@ -176,9 +176,32 @@ def _loading_rows(first: int, last: int) -> str:
     )
 
 
-_SWEPT = f"(SELECT sum(lam) / {_P} AS cum2 FROM eig WHERE component <= 2)"
-# Every candidate reaches the same share, so the initial weights win.
-_FLOORED = f"greatest(weight, {_literal(FLOOR)})"
+
+
+def _candidates(weights) -> str:
+    """Every candidate's floored weights by the rule, and the id of the best of ``swept(id, cum2, objective)``."""
+    place = SPREAD.format(id="id", j="ord")
+    return (
+        f"base(ord, weight) AS (VALUES {_values((i, float(w)) for i, w in enumerate(weights))}), "
+        f"cands AS (SELECT id, ord, greatest(CASE WHEN id = ord + 1 THEN weight * 1.05 WHEN id <= {len(weights)} THEN weight "
+        f"ELSE ({place}) / 1000003.0::DOUBLE * {_literal(5.0 - FLOOR)} + {_literal(FLOOR)} END, {_literal(FLOOR)}) AS weight "
+        f"FROM (SELECT unnest(range({CANDIDATES})) AS id) c, base), "
+        f"swept AS (SELECT id, cum2, abs(cum2 - {THRESHOLD}) AS objective FROM (SELECT DISTINCT id FROM cands) c, share), "
+        f"best AS (SELECT min(id) AS id FROM swept WHERE objective <= (SELECT min(objective) FROM swept) + {TIE})"
+    )
+
+
+# Standardising cancels every weight, so each candidate's share is that of the fit.
+_SHARE = "share AS (SELECT max(cumulative) FILTER (component = 2) AS cum2 FROM variance)"
+_SWEEP = (
+    f"SELECT CAST(cands.id AS BIGINT) AS cand_id, {_r('cum2')}, {_r('objective')}, CAST(ord AS BIGINT) AS ord, "
+    f"{_r('weight')} FROM cands JOIN swept USING (id)"
+)
+# The weights in use: the best candidate's below the threshold, else the initial ones.
+_USED = (
+    f"used AS (SELECT ord, feature, CASE WHEN cum2 < {THRESHOLD} THEN cands.weight ELSE w.weight END AS weight "
+    "FROM w JOIN cands USING (ord) JOIN best ON best.id = cands.id, share)"
+)
 _COLOURS = (
     "firsts AS (SELECT label, min(row_id) AS first_row FROM labelled GROUP BY label), "
     "ordinals AS (SELECT label, first_row, row_number() OVER (ORDER BY first_row) - 1 AS ordinal FROM firsts)"
@@ -276,18 +299,12 @@ ORACLE = {
         for i, a in enumerate(FEATURES)
         for b in FEATURES[i:]
     ),
-    "q14_weight_sweep": (
-        f"{FIT} SELECT c.id AS cand_id, {_r('cum2')}, {_r(f'abs(cum2 - {THRESHOLD})', 'objective')} "
-        f"FROM {_SWEPT}, (SELECT unnest(range({CANDIDATES})) AS id) c"
-    ),
+    "q14_weight_sweep": f"{FIT}, {_SHARE}, {_candidates(INITIAL_WEIGHTS.values())} {_SWEEP}",
     "q14b_weight_sweep_best": (
-        f"{FIT}, {WEIGHTS} SELECT CAST(0 AS BIGINT) AS cand_id, {_r('cum2')}, {_r(f'abs(cum2 - {THRESHOLD})', 'objective')}, "
-        f"CAST(ord AS BIGINT) AS ord, {_r(_FLOORED, 'weight')} FROM {_SWEPT}, w"
+        f"{FIT}, {_SHARE}, {_candidates(INITIAL_WEIGHTS.values())} {_SWEEP} JOIN best ON best.id = cands.id"
     ),
     "q14c_weight_sweep_lines": (
-        f"{LINE} SELECT CAST(0 AS BIGINT) AS cand_id, {_r('cumulative', 'cum2')}, {_r(f'abs(cumulative - {THRESHOLD})', 'objective')}, "
-        f"CAST(ord AS BIGINT) AS ord, {_r(_FLOORED, 'weight')} FROM variance, "
-        f"(VALUES {_values(enumerate(LINE_WEIGHTS.values()))}) w(ord, weight) WHERE component = 2"
+        f"{LINE}, {_SHARE}, {_candidates(LINE_WEIGHTS.values())} {_SWEEP} JOIN best ON best.id = cands.id"
     ),
     "q15_loading_strength": (
         f"{FIT}, {WIDE}, s AS (SELECT *, sqrt(pc1 * pc1 + pc2 * pc2) AS strength FROM wide), "
@@ -296,12 +313,13 @@ ORACLE = {
         f"{_r('pc1 * 0.92', 'tip_x')}, {_r('pc2 * 0.92', 'tip_y')}, {_r('pc1 * 1.03', 'label_x')}, {_r('pc2 * 1.03', 'label_y')} FROM s, q"
     ),
     "q16_weight_table": (
-        f"{FIT}, {WEIGHTS}, {LABELS} SELECT label AS \"Property\", {_r(_FLOORED, 'Weight')} FROM w JOIN labels_of USING (feature) "
-        "WHERE (SELECT count(*) FROM variance) > 0"
+        f"{FIT}, {_SHARE}, {_candidates(INITIAL_WEIGHTS.values())}, {WEIGHTS}, {LABELS}, {_USED} "
+        f"SELECT label AS \"Property\", {_r('weight', 'Weight')} FROM used JOIN labels_of USING (feature)"
     ),
     "q16b_weight_bars": (
-        f"{FIT}, {WEIGHTS}, {LABELS} SELECT label, {_r('weight')}, weight < median(weight) OVER () AS below_median, "
-        "printf('%.2f', weight) AS weight_text FROM w JOIN labels_of USING (feature) WHERE (SELECT count(*) FROM variance) > 0"
+        f"{FIT}, {_SHARE}, {_candidates(INITIAL_WEIGHTS.values())}, {WEIGHTS}, {LABELS}, {_USED} "
+        f"SELECT label, {_r('weight')}, weight < median(weight) OVER () AS below_median, "
+        "printf('%.2f', weight) AS weight_text FROM used JOIN labels_of USING (feature)"
     ),
     "q17_group_ellipse": (
         f'{ROWS}, pts AS (SELECT label AS "Solvent_Main", pc1 AS x, pc2 AS y FROM scores JOIN labelled USING (row_id)), '
@@ -368,9 +386,10 @@ ORACLE = {
         f"UNION ALL SELECT 'profiles', count(*), CAST({_P} AS BIGINT) FROM part"
     ),
     "q26_display_labels": (
-        f"WITH f(ord, feature) AS (VALUES {_values(enumerate(FEATURES))}), {LABELS} "
-        "SELECT la.label AS label_a, CASE b.feature WHEN 'eps' THEN 'Dielectric constant' ELSE b.feature END AS label_b "
-        "FROM f a JOIN labels_of la ON la.feature = a.feature, f b WHERE a.ord <= b.ord AND (SELECT count(*) FROM part) > 1"
+        f"{BASE}, f(ord, feature) AS (VALUES {_values(enumerate(FEATURES))}), {LABELS} "
+        "SELECT la.label AS label_a, CASE b.feature WHEN 'eps' THEN 'Dielectric constant' ELSE b.feature END AS label_b, "
+        f"{_r('m[a.ord + 1][b.ord + 1]', 'corr')} "
+        "FROM cm, f a JOIN labels_of la ON la.feature = a.feature, f b WHERE a.ord <= b.ord"
     ),
 }
 ORACLE["q13_weight_invariance"] = f"WITH {MEAS}, {DICT}, {PROFILES} " + ORACLE["q13_weight_invariance"]

@@ -197,7 +197,7 @@ def profile_scores(spark, sf_dir):
 def weight_sweep(spark, sf_dir):
     fit = _model(spark, sf_dir).fit
     swept = decide.sweep_weights(decide.candidate_weights(spark, INITIAL_WEIGHTS), fit.moments)
-    return rounded(swept.select("cand_id", "cum2", "objective"))
+    return rounded(swept.select("cand_id", "cum2", "objective", F.posexplode("weights").alias("ord", "weight")))
 
 
 def weight_sweep_best(spark, sf_dir):
@@ -308,16 +308,19 @@ def score_points_3d(spark, sf_dir):
 
 
 def shape(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    return shape_report({"measurements": model.measurements, "profiles": enrich(model.measurements).select(*FEATURES)})
+    rows = measurements(spark, sf_dir)
+    return shape_report({"measurements": rows, "profiles": enrich(rows).select(*FEATURES)})
 
 
 def display_labels(spark, sf_dir):
-    """Features of the profile correlation with their display labels."""
+    """The profile correlations under display labels; features without one keep their name."""
     frame = correlation_frame(spark, _model(spark, sf_dir).fit.moments)
-    return frame.select(
-        with_default(DISPLAY_LABELS, F.col("feature_a")).alias("label_a"),
-        with_default({"eps": "Dielectric constant"}, F.col("feature_b")).alias("label_b"),
+    return rounded(
+        frame.select(
+            with_default(DISPLAY_LABELS, F.col("feature_a")).alias("label_a"),
+            with_default({"eps": "Dielectric constant"}, F.col("feature_b")).alias("label_b"),
+            "corr",
+        )
     )
 
 

@@ -72,6 +72,21 @@ def test_lowest_distance_wins_when_it_differs(spark):
     assert decide.best_candidate(swept).first()["cand_id"] == 1
 
 
+def test_initial_weights_stay_at_rounding_edges_of_the_threshold(spark):
+    m = dictionary_moments()
+    share = pca_of_moments(m).cumulative[1]
+    candidates = decide.candidate_weights(spark, INITIAL_WEIGHTS, n=300)
+    for step in (0.0840000005, 0.0840000015, 0.0840000025, 0.0, 5e-10):
+        swept = decide.sweep_weights(candidates, m, threshold=share + step)
+        assert decide.best_candidate(swept).first()["cand_id"] == 0
+
+
+def test_a_tie_goes_to_the_lowest_id(spark):
+    rows = [(0, [1.0], 0.7, 0.1 + 2e-9), (1, [2.0], 0.8, 0.1 + 5e-10), (2, [3.0], 0.8, 0.1)]
+    swept = spark.createDataFrame(rows, "cand_id long, weights array<double>, cum2 double, objective double")
+    assert decide.best_candidate(swept).first()["cand_id"] == 1
+
+
 def test_used_weights_are_the_initial_ones_at_or_above_the_threshold(spark):
     assert decide.used_weights(spark, fit_of([[1, 0.95], [0.95, 1]]), {"a": 3.0, "b": 0.01}) == {"a": 3.0, "b": 0.01}
     # Below it the floor applies.
