@@ -10,7 +10,6 @@ from mixscore.functions.scalars import (
     component_name,
     fixed_text,
     floor_weight,
-    missing_to_null,
     vector_norm,
     with_default,
 )
@@ -21,7 +20,6 @@ __all__ = [
     "fixed_text",
     "floor_weight",
     "label_of",
-    "missing_to_null",
     "mixture_hits",
     "mixture_profile",
     "normalise_key",

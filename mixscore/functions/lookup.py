@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from mixscore.functions.text import numbers, quoted, string
 from mixscore.sources.dictionary import PropertyDictionary
 
-# Up to this many keys the lookup is one CASE expression, which stops at the
-# first hit; longer dictionaries are searched as an array literal so that the
-# generated code does not grow with them.
+# Keys in one CASE expression, which stops at the first hit; longer dictionaries
+# are several of them under a coalesce, which stops as well.
 CASE_KEYS = 64
 
 
@@ -29,11 +28,9 @@ def normalise_key(name: Column) -> Column:
 
 def _match(subject: str, dictionary: PropertyDictionary) -> str:
     """SQL text of the index of the first key that ``subject`` contains; else null."""
-    keys = [string(k.lower()) for k in dictionary.keys]
-    if len(keys) <= CASE_KEYS:
-        return "CASE " + " ".join(f"WHEN contains({subject}, {k}) THEN {i}" for i, k in enumerate(keys)) + " END"
-    found = f"filter(sequence(0, {len(keys) - 1}), i -> contains({subject}, get(array({', '.join(keys)}), i)))"
-    return f"get({found}, 0)"
+    cases = [f"WHEN contains({subject}, {string(k.lower())}) THEN {i}" for i, k in enumerate(dictionary.keys)]
+    blocks = [f"CASE {' '.join(cases[i : i + CASE_KEYS])} END" for i in range(0, len(cases), CASE_KEYS)]
+    return blocks[0] if len(blocks) == 1 else f"coalesce({', '.join(blocks)})"
 
 
 def first_match(lowered: str, dictionary: PropertyDictionary) -> Column:

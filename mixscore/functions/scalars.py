@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def missing_to_null(value: Column) -> Column:
-    """The value as a double with NaN turned into null, so that averages skip it."""
-    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-
-
 def floor_weight(weight: Column, floor: float = 0.1) -> Column:
     """Weight raised to the floor."""
     return F.greatest(weight, F.lit(floor))

@@ -21,7 +21,6 @@ from mixscore.operators.pca import PcaFit, fit_pca, project
 from mixscore.operators.prepare import available_features
 from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, PropertyDictionary
 from mixscore.sources.measurements import require_columns
-from mixscore.sources.shared import materialise
 
 # Columns that exist between two selects only.
 LOWERED, FIRST, HITS, PROFILE = "__mix_lowered", "__mix_first", "__mix_hits", "__mix_profile"
@@ -31,8 +30,9 @@ LOWERED, FIRST, HITS, PROFILE = "__mix_lowered", "__mix_first", "__mix_hits", "_
 class ProfileModel:
     """A fitted analysis.
 
-    ``profiles`` is a written table with one row per combination of matched
-    keys: ``n_rows, first_row, Solvent_Main, <properties>``.
+    ``profiles`` is a persisted table with one row per combination of matched
+    keys: ``n_rows, first_row, Solvent_Main, <properties>``. Its lineage is
+    deterministic, so what a lost executor held is computed again.
     """
 
     dictionary: PropertyDictionary
@@ -45,6 +45,10 @@ class ProfileModel:
     search_needed: bool
     threshold: float
 
+    def release(self) -> None:
+        """Free the reduced table; it is computed again if the model is used further."""
+        self.profiles.unpersist()
+
     def scored_profiles(self) -> DataFrame:
         """Combinations with their multiplicity, label and PC1..PC3."""
         return project(self.profiles, self.fit, 3).select(
@@ -97,16 +101,15 @@ def distinct_profiles(
 ) -> DataFrame:
     """One row per combination of matched keys: multiplicity, first row, label, profile.
 
-    Reads two columns. Rows are first counted per text, so the lookup runs on
-    distinct texts only, then per combination, so that many spellings of few
-    keys end in few rows. Both counts combine on the map side: a text or a key
-    that fills a third of the rows reaches the shuffle as one row per task.
+    Reads two columns and looks every row's text up in place; only matched
+    keys, never texts, are grouped by. Counts combine on the map side, so a key
+    that fills a third of the rows, or millions of spellings of few keys,
+    reach the shuffle as one row per task and combination.
     """
-    counts = [F.sum("n_rows").alias("n_rows"), F.min("first_row").alias("first_row")]
-    texts = df.groupBy(normalise_key(F.col(quoted(solvent))).alias("_text")).agg(
+    matched = _with_match(df, normalise_key(F.col(quoted(solvent))), dictionary)
+    combined = matched.groupBy(FIRST, HITS).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(quoted(row_id)).alias("first_row")
     )
-    combined = _with_match(texts, F.col("_text"), dictionary).groupBy(FIRST, HITS).agg(*counts)
     return _with_profile(combined, dictionary).selectExpr(
         "n_rows", "first_row", "Solvent_Main", *_properties(dictionary)
     )
@@ -131,7 +134,7 @@ def fit_profile_pca(
     the search for callers that use no weights.
     """
     require_columns(measurements, [solvent, row_id])
-    profiles = materialise(distinct_profiles(measurements, dictionary, solvent, row_id), "profiles")
+    profiles = distinct_profiles(measurements, dictionary, solvent, row_id).persist()
     fit = fit_pca(profiles, available_features(profiles, features), weight="n_rows")
     spark = measurements.sparkSession
     weights = (

@@ -97,7 +97,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
 def run(measurements: DataFrame, folder: str, fmt: str = "parquet", **options) -> ProfileModel:
     """Fit the analysis on a measurement table and write its five tables.
 
-    In a columnar format the enriched rows are written first and the score
+    ``model.release()`` frees its reduced table. In a columnar format the enriched rows are written first and the score
     table is read back from them, so every row is scored once.
     """
     require_columns(measurements, ["Name", *PASS_THROUGH])

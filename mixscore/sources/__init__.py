@@ -11,8 +11,9 @@ from mixscore.sources.measurements import (
     MEASUREMENT_SCHEMA,
     require_columns,
     scan_measurements,
+    with_row_id,
 )
-from mixscore.sources.shared import materialise, shared_folder, small_frame
+from mixscore.sources.shared import small_frame
 
 __all__ = [
     "DISPLAY_LABELS",
@@ -22,10 +23,9 @@ __all__ = [
     "PropertyDictionary",
     "SOLVENTS",
     "labels_frame",
-    "materialise",
     "require_columns",
     "scan_measurements",
-    "shared_folder",
     "small_frame",
     "weights_frame",
+    "with_row_id",
 ]

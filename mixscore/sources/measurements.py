@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixscore.sources.shared import materialise
+from mixscore.functions.text import quoted
 
 # Input columns of the measurement table.
 MEASUREMENT_SCHEMA = T.StructType(
@@ -49,32 +49,87 @@ def scan_measurements(
     CSV and JSON are read with ``schema`` (``MEASUREMENT_SCHEMA`` when none is
     given, without ``row_id`` under ``add_row_id``), so nothing is inferred;
     columns beyond it pass through when the given schema names them. In CSV
-    texts that mean "missing" become null. Every row needs a unique
-    ``row_id``; ``add_row_id`` assigns one in scan order and fixes it by
-    writing the table once, as generated ids may change between scans.
+    texts that mean "missing" become null, and any other text in a numeric
+    column is an error that names the column; a malformed JSON record is one as
+    well. Parquet and ORC carry their schema. The known columns come out with
+    the types of ``MEASUREMENT_SCHEMA`` from every format.
+
+    Every row needs a unique ``row_id``; ``add_row_id`` numbers the rows by
+    file name and position, see `with_row_id`.
     """
     reader = spark.read.format(fmt)
-    if fmt in ("csv", "json") or schema is not None:
-        if schema is None:
-            schema = T.StructType([f for f in MEASUREMENT_SCHEMA if not (add_row_id and f.name == "row_id")])
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
-    df = reader.load(path)
+    if fmt in ("csv", "json") and schema is None:
+        schema = T.StructType([f for f in MEASUREMENT_SCHEMA if not (add_row_id and f.name == "row_id")])
     if fmt == "csv":
-        df = df.select(
-            *[
-                F.when(~_col(f.name).isin(*MISSING_TEXTS), _col(f.name)).alias(f.name)
-                if isinstance(f.dataType, T.StringType)
-                else _col(f.name)
-                for f in df.schema
-            ]
-        )
+        # as texts: the reader itself would turn what it can't parse into null
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+        reader = reader.schema(texts).option("header", True).option("enforceSchema", False)
+    elif schema is not None:
+        reader = reader.schema(schema)
+    df = (reader.option("mode", "FAILFAST") if fmt == "json" else reader).load(path)
     if add_row_id:
-        df = materialise(df.select(F.monotonically_increasing_id().alias("row_id"), "*"), "measurements")
+        df = with_row_id(df, fmt)
+    if fmt == "csv":
+        types = {f.name: f.dataType for f in schema}
+        df = df.select(*[_parsed(c, types[c]).alias(c) if c in types else _col(c) for c in df.columns])
+    known = {f.name: f.dataType for f in MEASUREMENT_SCHEMA}
+    df = df.select(
+        *[
+            _col(f.name).cast(known[f.name]).alias(f.name) if f.name in known and f.dataType != known[f.name] else _col(f.name)
+            for f in df.schema
+        ]
+    )
     require_columns(df, MEASUREMENT_SCHEMA.names)
     return df
 
 
-def _col(name: str):
-    return F.col(f"`{name}`")
+def _parsed(name: str, kind: T.DataType) -> Column:
+    """A CSV cell in its type; null for a text that means missing, an error for one that can't be read."""
+    text = F.when(~_col(name).isin(*MISSING_TEXTS), _col(name))
+    if isinstance(kind, T.StringType):
+        return text
+    value = F.trim(text).try_cast(kind)
+    problem = F.concat(F.lit(f"column {name}: not of type {kind.simpleString()}: "), text)
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(problem).cast(kind))
+
+
+# Columns that exist between two selects only.
+_FILE, _PLACE, _FIRST = "__scan_file", "__scan_place", "__scan_first"
+
+# Files or splits whose numbers may be broadcast: about 200 bytes each.
+BROADCAST_FILES = 50_000
+
+# Rows that one split may hold: as many as Spark counts within a partition.
+SPLIT_ROWS = 1 << 33
+
+
+def with_row_id(df: DataFrame, fmt: str) -> DataFrame:
+    """Prepend ``row_id``: ascending by file name, then by position in the file. Nothing is written.
+
+    Parquet rows know their position, so ids are gapless from 0. In other
+    formats ids ascend with gaps: splits are numbered by file and offset, and a
+    row adds its position in the scan. They stay the same as long as the files
+    are split alike, which file sizes and the session's settings decide.
+    """
+    if fmt == "parquet":
+        df = df.select(F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE), "*")
+        keys = [_FILE]
+        sizes = df.groupBy(_FILE).agg((F.max(_PLACE) + 1).alias("__scan_rows"))
+        before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+        firsts = sizes.select(_FILE, F.coalesce(F.sum("__scan_rows").over(before), F.lit(0)).alias(_FIRST))
+    else:
+        keys = [_FILE, "__scan_split"]
+        df = df.select(
+            F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(keys[1]),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1)).alias(_PLACE), "*",
+        )
+        number = F.row_number().over(Window.orderBy(*keys)) - 1  # one row for each split
+        firsts = df.select(*keys).distinct().select(*keys, (number * F.lit(SPLIT_ROWS)).alias(_FIRST))
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        firsts = F.broadcast(firsts)
+    own = [_col(c) for c in df.columns if c not in (*keys, _PLACE)]
+    return df.join(firsts, keys).select((F.col(_FIRST) + F.col(_PLACE)).alias("row_id"), *own)
+
+
+def _col(name: str) -> Column:
+    return F.col(quoted(name))

@@ -1,41 +1,10 @@
-"""Intermediate tables in the shared folder, and tables of bounded size."""
+"""Tables of bounded size."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on a local master."""
-    global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="mixscore-")
-    return _local_folder
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    The written table survives lost executors, holds no lineage and is read
-    with its known schema, so later passes prune columns and start no
-    inference job.
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A table of bounded size (dictionary keys, features, components).

@@ -393,3 +393,29 @@ ORACLE = {
     ),
 }
 ORACLE["q13_weight_invariance"] = f"WITH {MEAS}, {DICT}, {PROFILES} " + ORACLE["q13_weight_invariance"]
+ORACLE["q27_scanned_rows"] = (
+    f'WITH {MEAS} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, "Name", "Solvent", '
+    + ", ".join(_r(f'"{c}"', c) for c in QUANTITIES) + " FROM meas"
+)
+ORACLE["q27b_scanned_csv"] = (
+    f'WITH {MEAS}, g AS (SELECT "Solvent", count(*) AS n, sum("Ex(nm)") AS ex_nm, min(row_id) AS first_row FROM meas '
+    f'WHERE "Solvent" IS NOT NULL GROUP BY "Solvent") SELECT "Solvent", n, {_r("ex_nm")}, '
+    "row_number() OVER (ORDER BY first_row) - 1 AS ordinal FROM g"
+)
+for _written, _same in (
+    ("q28_written_enriched", "q10b_enriched"),
+    ("q28b_written_plot_data", "q10_scores"),
+    ("q28c_written_variance", "q11_variance_table"),
+    ("q28d_written_loadings", "q19_loadings_wide"),
+    ("q28e_written_feature_weights", "q16_weight_table"),
+):
+    ORACLE[_written] = ORACLE[_same]
+ORACLE["q29_dictionary_rows"] = (
+    f"WITH {MEAS}, {DICT}, {LABELLED} SELECT label, count(*) AS n, CAST(ord AS BIGINT) AS ord, "
+    + ", ".join(_r(p) for p in SOLVENTS.properties)
+    + f" FROM labelled JOIN dict ON key = label GROUP BY label, ord, {', '.join(SOLVENTS.properties)}"
+)
+ORACLE["q29b_weighted_loadings"] = (
+    f"{FIT}, {WEIGHTS}, {LABELS} SELECT label, {_r('weight')}, {_r('weight * loading', 'weighted')} "
+    "FROM loadings JOIN w USING (feature) JOIN labels_of USING (feature) WHERE component = 1"
+)

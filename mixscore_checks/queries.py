@@ -11,7 +11,16 @@ from mixscore.operators import decide, groups, pca, prepare
 from mixscore.operators.moments import correlation_frame, moments
 from mixscore.operators.shape import shape_report
 from mixscore.plans import charts, enrich, fit_profile_pca, fitted_rows, report
-from mixscore.sources.dictionary import DISPLAY_LABELS, FEATURES, INITIAL_WEIGHTS, SOLVENTS
+from mixscore.sources.dictionary import (
+    DISPLAY_LABELS,
+    FEATURES,
+    INITIAL_WEIGHTS,
+    SOLVENTS,
+    labels_frame,
+    weights_frame,
+)
+from mixscore.sources.measurements import scan_measurements
+from mixscore_checks.session import work_folder
 from mixscore_checks.views import LINE_FEATURES, LINE_FEATURES_4, gappy_lines, lines, measurements, table
 
 # Weights of the three-feature sweep over line items.
@@ -324,6 +333,50 @@ def display_labels(spark, sf_dir):
     )
 
 
+# --- scan, writers, dimension tables -----------------------------------------
+
+def scanned_rows(spark, sf_dir):
+    """The measurements written as files in row order, then scanned with row ids by file and position."""
+    folder = work_folder(spark)
+    ordered = measurements(spark, sf_dir).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    ordered.drop("row_id").write.parquet(folder)
+    return rounded(scan_measurements(spark, folder, add_row_id=True))
+
+
+def scanned_csv(spark, sf_dir):
+    """The same from CSV, whose missing cells are texts; ids have gaps, so their order is shown."""
+    folder = work_folder(spark)
+    ordered = measurements(spark, sf_dir).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    ordered.drop("row_id").write.option("header", True).option("nullValue", "NA").csv(folder)
+    rows = scan_measurements(spark, folder, fmt="csv", add_row_id=True)
+    firsts = groups.group_ordinals(rows, "Solvent", "row_id").select("Solvent", "ordinal")
+    counts = rows.groupBy("Solvent").agg(F.count(F.lit(1)).alias("n"), F.sum("`Ex(nm)`").alias("ex_nm"))
+    return rounded(counts.join(firsts, "Solvent"))
+
+
+def _written(name):
+    """One of the five tables that ``run`` writes, read back."""
+
+    def query(spark, sf_dir):
+        folder = work_folder(spark)
+        report.run(measurements(spark, sf_dir), folder).release()
+        return rounded(spark.read.parquet(f"{folder}/{name}"))
+
+    return query
+
+
+def dictionary_rows(spark, sf_dir):
+    """The property dimension joined with the rows that carry each label."""
+    return rounded(label_counts(spark, sf_dir).join(SOLVENTS.frame(spark), F.col("label") == F.col("key")).drop("key"))
+
+
+def weighted_loadings(spark, sf_dir):
+    """Weight and label dimensions joined with the first component's loadings."""
+    loadings = pca.loadings_frame(spark, _model(spark, sf_dir).fit).where("component = 1").drop("ord")
+    named = weights_frame(spark).join(labels_frame(spark), "property").join(loadings, F.col("property") == F.col("feature"))
+    return rounded(named.select("label", "weight", (F.col("weight") * F.col("loading")).alias("weighted")))
+
+
 QUERIES = {
     "q01_normalise_and_label": normalise_and_label,
     "q01b_label_counts": label_counts,
@@ -374,4 +427,13 @@ QUERIES = {
     "q24b_points": score_points,
     "q25_shape": shape,
     "q26_display_labels": display_labels,
+    "q27_scanned_rows": scanned_rows,
+    "q27b_scanned_csv": scanned_csv,
+    "q28_written_enriched": _written("enriched"),
+    "q28b_written_plot_data": _written("plot_data"),
+    "q28c_written_variance": _written("variance"),
+    "q28d_written_loadings": _written("loadings"),
+    "q28e_written_feature_weights": _written("feature_weights"),
+    "q29_dictionary_rows": dictionary_rows,
+    "q29b_weighted_loadings": weighted_loadings,
 }

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +24,19 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_local: list[str] = []
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; on a local master without one, in a folder that goes at exit."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="mixscore-checks-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        folder = _local[0]
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mixscore.functions.scalars import component_name, fixed_text, floor_weight, missing_to_null, vector_norm, with_default
+from mixscore.functions.scalars import component_name, fixed_text, floor_weight, vector_norm, with_default
 from mixscore.operators import decide
 from mixscore.operators.moments import Moments
 from mixscore.operators.pca import pca_of_moments, variance_frame
@@ -114,11 +114,10 @@ def test_scalars(spark):
         component_name(F.col("i")),
         vector_norm(F.col("x"), F.col("y")),
         floor_weight(F.col("w")),
-        missing_to_null(F.col("x")),
         with_default({}, F.col("k")),
     ).collect()
-    assert rows[0][:] == ("Alpha", "PC3", 5.0, 0.1, 3.0, "a")
-    assert (rows[1][0], rows[1][1], rows[1][3], rows[1][4], rows[1][5]) == ("z", "PC1", 0.5, None, "z")
+    assert rows[0][:] == ("Alpha", "PC3", 5.0, 0.1, "a")
+    assert (rows[1][0], rows[1][1], rows[1][3], rows[1][4]) == ("z", "PC1", 0.5, "z")
 
 
 @pytest.mark.parametrize("value", [0.25, 2.675, 1.005, -0.04, 12.35, 0.125, 71.25, 48.959487, 0.0, 1234567.891])

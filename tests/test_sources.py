@@ -1,9 +1,14 @@
+import os
+import tempfile
+
 import pytest
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
 
+from mixscore.operators.groups import group_ordinals
 from mixscore.sources.measurements import MEASUREMENT_SCHEMA, MISSING_TEXTS, scan_measurements
-from mixscore.sources.shared import materialise, shared_folder
 from mixscore.streaming import score_stream
-from mixscore.plans import score_rows
+from mixscore.plans import fit_profile_pca, score_rows
 
 HEADER = ",".join(f'"{n}"' for n in MEASUREMENT_SCHEMA.names)
 
@@ -55,13 +60,62 @@ def test_missing_columns_are_named(spark, part_measurements, tmp_path):
         scan_measurements(spark, str(tmp_path / "m"))
 
 
-def test_written_tables_go_to_the_shared_folder(spark, part_measurements):
-    table = materialise(part_measurements.select("row_id", "Solvent"), "t")
-    assert table.count() == 200
-    folder = shared_folder(spark).split(":")[-1].rstrip("/")
-    assert all(folder in f for f in table.inputFiles())
-    # Nothing of the source is left in the plan.
-    assert "part.parquet" not in table._jdf.queryExecution().toString()
+def test_row_ids_follow_file_names_not_sizes(spark, tmp_path):
+    header = HEADER.replace('"row_id",', "")
+    for name, solvent, n in (("1", "Water", 3), ("2", "DMF", 400), ("3", "THF", 40)):
+        write_csv(tmp_path / f"{name}.csv", header, [f"{solvent}{i},{solvent},1,2,3,4,5" for i in range(n)])
+    before = sorted(tmp_path.parent.iterdir())
+    df = scan_measurements(spark, str(tmp_path), fmt="csv", add_row_id=True)
+    rows = df.orderBy("row_id").collect()
+    assert [r["Name"] for r in rows] == [f"{s}{i}" for s, n in (("Water", 3), ("DMF", 400), ("THF", 40)) for i in range(n)]
+    firsts = group_ordinals(df, "Solvent", "row_id").orderBy("ordinal").collect()
+    assert [r["Solvent"] for r in firsts] == ["Water", "DMF", "THF"]
+    assert sorted(tmp_path.parent.iterdir()) == before
+
+
+def test_row_ids_of_split_files(spark, tmp_path):
+    header = HEADER.replace('"row_id",', "")
+    write_csv(tmp_path / "b.csv", header, [f"b{i},Water,1,2,3,4,5" for i in range(3000)])
+    write_csv(tmp_path / "a.csv", header, [f"a{i},DMF,1,2,3,4,5" for i in range(2000)])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = scan_measurements(spark, str(tmp_path), fmt="csv", add_row_id=True).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [r["Name"] for r in rows] == [f"a{i}" for i in range(2000)] + [f"b{i}" for i in range(3000)]
+
+
+def test_parquet_row_ids_are_gapless(spark, part_measurements, tmp_path):
+    path = str(tmp_path / "m")
+    part_measurements.drop("row_id").repartitionByRange(4, "Name").sortWithinPartitions("Name").write.parquet(path)
+    rows = scan_measurements(spark, path, add_row_id=True).orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(200))
+    assert [r["Name"] for r in rows] == sorted(r["Name"] for r in rows)
+
+
+def test_csv_numbers_are_numbers_or_missing(spark, tmp_path):
+    path = write_csv(tmp_path / "m.csv", HEADER, ["1,a,Water,1.5,n/a, 3 ,4,5", "2,b,Water,abc,2,3,4,5"])
+    df = scan_measurements(spark, path, fmt="csv")
+    assert df.where("Name = 'a'").select("`Quantum yield(%)`", "`Ex(nm)`", "`Em(nm)`").first()[:] == (1.5, None, 3.0)
+    with pytest.raises(Exception, match=r"column Quantum yield\(%\): not of type double: abc"):
+        df.collect()
+
+
+def test_known_columns_have_their_types(spark, part_measurements, tmp_path):
+    path = str(tmp_path / "m")
+    part_measurements.withColumns({"Ex(nm)": F.lit(300), "row_id": F.col("row_id").cast("int")}).write.parquet(path)
+    df = scan_measurements(spark, path)
+    assert dict(df.dtypes)["Ex(nm)"] == "double" and dict(df.dtypes)["row_id"] == "bigint"
+
+
+def test_a_fit_leaves_no_folder_behind(part_measurements):
+    folders = lambda: {e.path for e in os.scandir(tempfile.gettempdir()) if e.is_dir()}
+    before = folders()
+    model = fit_profile_pca(part_measurements, search=False)
+    assert not [f for f in folders() - before if "mixscore" in f or "profiles" in f]
+    model.release()
+    assert model.profiles.storageLevel == StorageLevel.NONE
 
 
 def test_stream_scores_equal_batch_scores(spark, part_measurements, part_model, tmp_path):
@@ -79,27 +133,3 @@ def test_stream_scores_equal_batch_scores(spark, part_measurements, part_model,
 def test_stream_scoring_refuses_a_batch(part_measurements, part_model):
     with pytest.raises(ValueError):
         score_stream(part_measurements, part_model)
-
-
-class FakeSession:
-    """The three settings ``shared_folder`` looks at."""
-
-    def __init__(self, setting, context_folder, master):
-        self.conf = self.sparkContext = self
-        self.setting, self.context_folder, self.master = setting, context_folder, master
-
-    def get(self, key, default):
-        return self.setting if key == "spark.checkpoint.dir" else default
-
-    def getCheckpointDir(self):
-        return self.context_folder
-
-
-def test_the_shared_folder_is_the_clusters_setting():
-    assert shared_folder(FakeSession("s3a://b/c", "x", "yarn")) == "s3a://b/c"
-    assert shared_folder(FakeSession(None, "hdfs:/c", "yarn")) == "hdfs:/c"
-    local = shared_folder(FakeSession(None, None, "local[2]"))
-    assert local == shared_folder(FakeSession(None, None, "local[*]"))
-    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
-        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            shared_folder(FakeSession(None, None, master))
