@@ -116,14 +116,15 @@ def contained_items(
         F.col("doc").eqNullSafe(F.col("cdoc")) & (F.col("version") == F.col("cversion")),
         "left_semi",
     )
-    present = again.select(
-        "doc", "version", F.explode(F.array_distinct(_shingles(_words(F.col("text")), words, _joined))).alias("shingle")
-    ).distinct()
+    # The words are a column of their own: inside the shingles' expression they would be made anew for each.
+    present = again.select("doc", "version", _words(F.col("text")).alias("w")).select(
+        "doc", "version", F.explode(_shingles(F.col("w"), words, _joined)).alias("shingle")
+    )
     sought = within_bound(item.select("item", F.explode("shingles").alias("shingle")))
     found = (
         present.join(sought, "shingle")
         .groupBy("doc", "version", "item")
-        .agg(F.count(F.lit(1)).alias("n_found"))
+        .agg(F.count_distinct("shingle").alias("n_found"))
     )
     verified = (
         found.withColumnsRenamed({"doc": "fdoc", "version": "fversion", "item": "fitem"})
