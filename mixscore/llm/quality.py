@@ -11,15 +11,20 @@ probabilities are joins and groupings of the count tables. Then the shards of
 the model meet the units' own distinct n-grams, and each unit scores its
 documents. The texts are shuffled once, by unit; n-grams are packed.
 
-A document is rejected if its cross-entropy lies above its language's limit: a
-high quantile of the trusted documents of that language, raised by a part of
-its distance to their median.
+A quarter of the trusted documents, by hash, is not learned from but calibrates:
+a document is rejected if its cross-entropy lies above its language's limit, a
+high quantile of that language's calibrating documents raised by a part of its
+distance to their median. Limits from the learned documents would be too low,
+most of all with little text to learn from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,12 @@ ORDER = 5
 #: Bytes of the language's median cross-entropy that are added to every document, for short ones.
 PRIOR_BYTES = 100.0
 
+#: Of so many trusted documents one calibrates.
+CALIBRATION = 4
+
+#: A language with fewer calibrating documents takes the limit of all.
+LEAST_CALIBRATING = 50
+
 _COUNTED = "shard int, grams binary, counts binary"
 _GRAM = "shard int, gram long, n long"
 _ASK = "shard int, unit long, grams binary"
@@ -53,7 +64,7 @@ class Grams:
     its last byte, so counting needs no sort.
     """
 
-    def __init__(self, texts: pa.ChunkedArray | pa.Array, order: int) -> None:
+    def __init__(self, texts: pa.Array, order: int) -> None:
         self.data, self.offsets = bytetext.utf8(texts)
         n = len(self.data)
         place = np.arange(n) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
@@ -72,6 +83,13 @@ class Grams:
             self.where.append(where)
 
 
+def _slices(table: pa.Table, order: int) -> Iterator[tuple[pa.RecordBatch, Grams]]:
+    """A unit's documents in slices of bounded bytes, with their n-grams."""
+    for batch in table.combine_chunks().to_batches():
+        for part in bytetext.slices(batch, "text", 1 << 20):
+            yield part, Grams(part.column(part.schema.get_field_index("text")), order)
+
+
 def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order, and the number of each entry's; codes lie under ``size``."""
     if size > 1 << 25:
@@ -84,17 +102,19 @@ def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(order: int, shards: int):
     def run(key, docs, labels):
-        trusted = set(labels.column("doc_id").to_pylist())
-        mask = [d in trusted for d in docs.column("doc_id").to_pylist()]
-        texts = docs.column("text").filter(pa.array(mask, pa.bool_()))
-        grams = Grams(texts, order)
-        where = grams.where[-1]
-        counts = np.bincount(where[where >= 0], minlength=len(grams.grams[-1])).astype("<u4")
-        rows = _by_shard(grams.grams[-1], shards)
+        trusted = docs.filter(pc.is_in(docs.column("doc_id"), labels.column("doc_id").combine_chunks()))
+        some, counted = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for _, grams in _slices(trusted, order):
+            where = grams.where[-1]
+            some.append(grams.grams[-1])
+            counted.append(np.bincount(where[where >= 0], minlength=len(some[-1])))
+        keys, counts = _summed(some, counted)
+        counts = counts.astype("<u4")
+        rows = _by_shard(keys, shards)
         return pa.table(
             {
                 "shard": pa.array([s for s, _ in rows], pa.int32()),
-                "grams": pa.array([pack_keys(grams.grams[-1][at]) for _, at in rows], pa.binary()),
+                "grams": pa.array([pack_keys(keys[at]) for _, at in rows], pa.binary()),
                 "counts": pa.array([counts[at].tobytes() for _, at in rows], pa.binary()),
             }
         )
@@ -102,6 +122,12 @@ def _count(order: int, shards: int):
     return run
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several lists and the sums of their counts."""
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(where, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+
+
 def _by_shard(grams: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     """For each shard that has some, the places of its n-grams in rising order."""
     shard = _shard(grams, shards)
@@ -112,9 +138,7 @@ def _by_shard(grams: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
 
 def _merge(key, table):
     grams = [unpack_keys(g) for g in table.column("grams").to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]
-    keys, where = np.unique(np.concatenate(grams), return_inverse=True)
-    n = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    keys, n = _summed(grams, [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
     return pa.table(
         {
             "shard": pa.array(np.full(len(keys), key[0].as_py(), np.int32)),
@@ -178,9 +202,11 @@ def _discounts(few) -> tuple[float, float, float]:
 
 def _ask(order: int, shards: int):
     def run(key, table):
-        grams = Grams(table.column("text"), order)
+        distinct = [np.empty(0, np.uint64)] * order
+        for _, grams in _slices(table, order):
+            distinct = [np.union1d(d, g) for d, g in zip(distinct, grams.grams)]
         rows = []
-        for k, some in enumerate(grams.grams, 1):
+        for k, some in enumerate(distinct, 1):
             rows += [(s, pack_keys(some[at] | np.uint64(k << 56))) for s, at in _by_shard(some, shards)]
         return pa.table(
             {
@@ -225,37 +251,37 @@ def _score(order: int):
     unknown = -np.log10(256.0)
 
     def run(key, docs, answers):
-        grams = Grams(docs.column("text"), order)
-        logp = [np.full(len(g), np.nan) for g in grams.grams]
-        logg = [np.full(len(g), np.nan) for g in grams.grams]
-        sorted_grams = [(np.argsort(g), np.sort(g)) for g in grams.grams]
-        for packed, p, g in zip(*(answers.column(c).to_pylist() for c in ("grams", "logp", "logg"))):
-            keys = unpack_keys(packed)
-            if not len(keys):
-                continue
-            k = int(keys[0] >> np.uint64(56)) - 1
-            order_k, sorted_k = sorted_grams[k]
-            at = order_k[np.searchsorted(sorted_k, keys & np.uint64((1 << 56) - 1))]
-            logp[k][at], logg[k][at] = np.frombuffer(p, "<f4"), np.frombuffer(g, "<f4")
-        where = grams.where
-        n = len(grams.data)
-        lp = logp[0][where[0]] if n else np.empty(0)
-        lp = np.where(np.isnan(lp), unknown, lp)
-        for k in range(1, order):
-            at = np.flatnonzero(where[k] >= 0)
-            own = logp[k][where[k][at]]
-            weight = logg[k - 1][where[k - 1][at - 1]]
-            lower = lp[at] + np.where(np.isnan(weight), 0.0, weight)
-            lp[at] = np.where(np.isnan(own), lower, own)
-        sums = np.concatenate([[0.0], np.cumsum(lp)])
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "source_row": docs.column("source_row"),
-                "n_bytes": pa.array(np.diff(grams.offsets)),
-                "log10_p": pa.array(sums[grams.offsets[1:]] - sums[grams.offsets[:-1]]),
-            }
+        columns = [answers.column(c).to_pylist() for c in ("grams", "logp", "logg")]
+        keys = np.concatenate([np.empty(0, np.uint64), *map(unpack_keys, columns[0])])
+        known = np.argsort(keys)
+        keys = keys[known]
+        logp, logg = (
+            np.concatenate([np.empty(0, "<f4"), *(np.frombuffer(x, "<f4") for x in c)])[known] for c in columns[1:]
         )
+        out = []
+        for part, grams in _slices(docs, order):
+            spots = [np.searchsorted(keys, g | np.uint64(k << 56)) for k, g in enumerate(grams.grams, 1)]
+            own = [logp[s] for s in spots]
+            weight = [np.nan_to_num(logg[s], nan=0.0) for s in spots]
+            where = grams.where
+            lp = own[0][where[0]].astype(np.float64)
+            lp = np.where(np.isnan(lp), unknown, lp)
+            for k in range(1, order):
+                at = np.flatnonzero(where[k] >= 0)
+                arc = own[k][where[k][at]]
+                lp[at] = np.where(np.isnan(arc), lp[at] + weight[k - 1][where[k - 1][at - 1]], arc)
+            sums = np.concatenate([[0.0], np.cumsum(lp)])
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": part.column("doc_id"),
+                        "source_row": part.column("source_row"),
+                        "n_bytes": pa.array(np.diff(grams.offsets)),
+                        "log10_p": pa.array(sums[grams.offsets[1:]] - sums[grams.offsets[:-1]]),
+                    }
+                )
+            )
+        return pa.concat_tables(out)
 
     return run
 
@@ -273,15 +299,15 @@ def judge_quality(
     """(doc_id, text_hash, lang, n_bytes, perplexity, highest, kept) of every row.
 
     ``labels`` holds (doc_id, quality, toxic); the text of documents with
-    quality 1 that aren't toxic is trusted. ``perplexity`` is that of a byte.
+    quality 1 that aren't toxic is trusted: learned from, or calibrating. ``perplexity`` is that of a byte.
     For the decision, `PRIOR_BYTES` of the language's median are added, so that
     a few odd words in a short text prove nothing. The limit is the
-    ``quantile`` of the language's trusted documents plus ``slack`` times its
+    ``quantile`` of the language's calibrating documents plus ``slack`` times its
     distance to their median.
 
     Defined cases: a null or empty text has perplexity null and is kept. A null
-    language, or one without trusted documents, is judged by the limit of all
-    trusted documents; without any, everything is kept. Rows that repeat an id
+    language, or one with fewer than `LEAST_CALIBRATING` calibrating documents, is
+    judged by the limit of all of them; without any, everything is kept. Rows that repeat an id
     are judged each (``text_hash`` tells them apart); a null id is not trusted.
     Empty tables give an empty result; other columns are ignored.
     """
@@ -301,7 +327,8 @@ def judge_quality(
         .select(F.col("doc_id").cast("long").alias("doc_id"))
         .distinct()
     )
-    by_unit = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(units)).alias("unit"), "doc_id")
+    calibrating = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
+    by_unit = trusted.where(~calibrating).select(F.pmod(F.xxhash64("doc_id"), F.lit(units)).alias("unit"), "doc_id")
     counted = rows.groupBy("unit").cogroup(by_unit.groupBy("unit")).applyInArrow(_count(order, shards), _COUNTED)
     merged = counted.groupBy("shard").applyInArrow(_merge, _GRAM)
     model = _kneser_ney(merged, order).select(
@@ -318,14 +345,14 @@ def judge_quality(
     judged = checkpointed(
         scored.distinct()
         .join(lang, F.col("doc_id").eqNullSafe(F.col("lid")) & (F.col("source_row") == F.col("lrow")))
-        .join(trusted.select(F.col("doc_id").alias("tid")), F.col("doc_id") == F.col("tid"), "left")
-        .select("doc_id", F.col("source_row").alias("text_hash"), "lang", "n_bytes", per_byte.alias("bits"), F.col("tid").isNotNull().alias("trusted"))
+        .join(trusted.where(calibrating).select(F.col("doc_id").alias("tid")), F.col("doc_id") == F.col("tid"), "left")
+        .select("doc_id", F.col("source_row").alias("text_hash"), "lang", "n_bytes", per_byte.alias("bits"), F.col("tid").isNotNull().alias("calibrates"))
     )
     return _decide(judged, quantile, slack)
 
 
 def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
-    good = judged.where("trusted AND bits IS NOT NULL").select(
+    good = judged.where("calibrates AND bits IS NOT NULL").select(
         "n_bytes", "bits", F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("every"), "lang"))).alias("of")
     ).select("of.*", "n_bytes", "bits").where("every OR lang IS NOT NULL")
     middle = good.groupBy("every", "lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("median"))
@@ -335,13 +362,13 @@ def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
         (F.col("every") == F.col("e")) & F.col("lang").eqNullSafe(F.col("l")),
     ).withColumn("padded", padded(F.col("bits"), F.col("n_bytes"), F.col("median")))
     bands = pad.groupBy("every", "lang").agg(
-        F.first("median").alias("median"), F.percentile_approx("padded", quantile, 10000).alias("q")
+        F.first("median").alias("median"), F.count(F.lit(1)).alias("n"), F.percentile_approx("padded", quantile, 10000).alias("q")
     ).select(
-        "every", "lang", "median",
+        "every", "lang", "median", "n",
         (F.col("q") + slack * (F.col("q") - F.col("median"))).alias("highest"),
     )
     bands = checkpointed(bands)
-    own = bands.where(~F.col("every")).select(F.col("lang").alias("blang"), F.struct("median", "highest").alias("band"))
+    own = bands.where(~F.col("every") & (F.col("n") >= LEAST_CALIBRATING)).select(F.col("lang").alias("blang"), F.struct("median", "highest").alias("band"))
     every = bands.where("every").select(F.lit(1).alias("one"), F.struct("median", "highest").alias("any_band"))
     joined = (
         judged.join(own, F.col("lang") == F.col("blang"), "left")
