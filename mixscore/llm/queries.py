@@ -140,4 +140,30 @@ ORACLE: dict[str, str] = {
         JOIN sizes s ON s.id = i.id
         GROUP BY d.id, i.id HAVING 5 * count(*) >= 4 * max(s.n_item)
     """,
+    "op8_near_dedup": r"""
+        WITH RECURSIVE tokens AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, w[i:i + 1] AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM tokens) WHERE len(w) > 0
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+            WHERE 100 * common >= 80 * (sa.n + sb.n - common)
+        ), reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), lowest AS (
+            SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a
+        )
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) AS component_id,
+               t.doc_id <= coalesce(low, t.doc_id) AS kept
+        FROM tokens t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN lowest w ON w.doc_id = t.doc_id
+    """,
 }
