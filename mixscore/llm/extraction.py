@@ -72,8 +72,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 root, blocks = html_tree.parse(page or "")
                 nodes = html_tree.fold(root).preorder()
-                furniture = [False] * len(nodes)
-                _spread(root, False, furniture)
+                furniture = html_tree.spread_furniture(root, len(nodes))
                 shape = root.text()
                 found = [(e.found().number, t) for e, t in blocks]
                 body = _hash("\n".join(t for n, t in found if not furniture[n]))
@@ -86,14 +85,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _spread(node: html_tree.Node, inside: bool, out: list[bool]) -> None:
-    """Mark the nodes that are furniture or lie in some."""
-    inside = inside or html_tree.is_furniture(node.label)
-    out[node.number] = inside
-    for kid in node.kids:
-        _spread(kid, inside, out)
-
-
 def _merge(key, table):
     """One wrapper from a group's different trees, in a fixed order."""
     shapes = sorted(set(table.column("shape").to_pylist()), key=lambda s: (-len(s), s))
@@ -135,8 +126,7 @@ def _decide(key, wrappers, slots):
 def keep_slots(wrapper: html_tree.Node, stats: dict[int, dict]) -> list[int]:
     """The slots of the main region that hold content."""
     nodes = wrapper.preorder()
-    furniture = [False] * len(nodes)
-    _spread(wrapper, False, furniture)
+    furniture = html_tree.spread_furniture(wrapper, len(nodes))
     own = [0] * len(nodes)
     for n in range(len(nodes)):
         s = stats.get(n)

@@ -39,6 +39,10 @@ FURNITURE_WORD = re.compile(
     r"pagination|pager|skip|copyright|complementary|contentinfo|search)(?:$|[^a-z])"
 )
 
+ARTICLE_WORD = re.compile(r"comments?|comment-(?:body|item|0)|repl(?:y|ies)|ads?|advert[a-z]*|promo|related|teaser")
+#: Names such as has-sidebar tell of a page's layout, not of the element.
+LAYOUT_WORD = re.compile(r"(?:has|no|with|without|hide|show|is)[-_]")
+
 #: Elements nested deeper than this join their ancestor.
 DEEPEST = 100
 
@@ -94,8 +98,37 @@ def read(text: str) -> Node:
 
 
 def is_furniture(label: str) -> bool:
+    """Whether an element of this tag and these names never holds a page's article."""
     tag, _, names = label.partition(" ")
-    return tag in FURNITURE or bool(names and FURNITURE_WORD.search(names))
+    if tag in FURNITURE or not names or tag in ("html", "body", "main"):
+        return tag in FURNITURE
+    words = [w for w in names.split() if not LAYOUT_WORD.match(w)]
+    if tag == "article":
+        return any(ARTICLE_WORD.fullmatch(w) for w in words)
+    return any(FURNITURE_WORD.search(w) for w in words)
+
+
+def spread_furniture(root: Node, nodes: int) -> list[bool]:
+    """For each numbered node whether it is furniture or lies in some.
+
+    An element around a whole article, such as a page-wide form, is none.
+    """
+    out = [False] * nodes
+
+    def holds_article(node: Node) -> bool:
+        return any(
+            k.label.partition(" ")[0] in ("article", "main") and not is_furniture(k.label) or holds_article(k)
+            for k in node.kids
+        )
+
+    def spread(node: Node, inside: bool) -> None:
+        inside = inside or (is_furniture(node.label) and not holds_article(node))
+        out[node.number] = inside
+        for kid in node.kids:
+            spread(kid, inside)
+
+    spread(root, False)
+    return out
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:

@@ -38,6 +38,13 @@ def test_furniture_is_left_out_and_inline_text_kept(spark):
     assert one(spark, page) == "A & B One bold line <x> café noél Two words First Second c1 c2"
 
 
+def test_names_of_a_layout_and_comments_that_are_articles(spark):
+    page = """<body class="has-sidebar"><form id="page"><div class="wrap no-sidebar menu"><article class="post with-comments">
+    <h1>Title</h1><p>Text of the article.</p></article><section id="comments"><article class="comment-12 comment">
+    <p>A reader writes a very long comment, longer than the text.</p></article></section></div></form></body>"""
+    assert one(spark, page) == "Title Text of the article."
+
+
 def test_a_wrapper_without_names(spark):
     """Ten pages of one host: constant and turning parts go without a telling tag or class."""
     rows = []
