@@ -5,11 +5,11 @@ the longest n-grams, continuation counts of the shorter ones, three discounts
 for each order from its counts of counts. Bytes keep the number of n-grams far
 below that of words, so unknown words still get a fair probability.
 
-Units of documents (see `exchange`) count their trusted n-grams and send them
-to shards, where counts meet. Continuation counts, totals, discounts and
-probabilities are joins and groupings of the count tables. Then the shards of
-the model meet the units' own distinct n-grams, and each unit scores its
-documents. The texts are shuffled once, by unit; n-grams are packed.
+Tasks count the trusted n-grams where the texts lie and send packed counts to
+shards, where they meet. Continuation counts, totals, discounts and
+probabilities are joins and groupings of the count tables. A model that is
+counted to be small is then broadcast. Beyond that its shards meet the distinct
+n-grams of units of documents (see `exchange`), and the texts are shuffled once.
 
 A quarter of the trusted documents, by hash, is not learned from but calibrates:
 a document is rejected if its cross-entropy lies above its language's limit, a
@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, partitions, ship, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, within_bound
 from mixscore.llm.exchange import pack_keys, unpack_keys
 
 #: Bytes in the longest n-gram; 7 at most, so that an n-gram is one number.
@@ -51,6 +50,13 @@ _ANSWER = "unit long, shard int, grams binary, logp binary, logg binary"
 _SCORE = "doc_id long, source_row long, n_bytes long, log10_p double"
 _PRIME = 1_000_003
 
+#: Bytes of text in one slice, and n-grams that a task gathers before it sends them on.
+_SLICE = 1 << 20
+_MOST_KEYS = 1 << 21
+
+#: A model of at most so many n-grams (16 bytes each, 16 MB) is broadcast; a larger one stays in shards.
+BROADCAST_GRAMS = 1_000_000
+
 
 def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
     return (grams % np.uint64(_PRIME) % np.uint64(shards)).astype(np.int64)
@@ -86,7 +92,7 @@ class Grams:
 def _slices(table: pa.Table, order: int) -> Iterator[tuple[pa.RecordBatch, Grams]]:
     """A unit's documents in slices of bounded bytes, with their n-grams."""
     for batch in table.combine_chunks().to_batches():
-        for part in bytetext.slices(batch, "text", 1 << 20):
+        for part in bytetext.slices(batch, "text", _SLICE):
             yield part, Grams(part.column(part.schema.get_field_index("text")), order)
 
 
@@ -101,24 +107,38 @@ def _distinct(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(order: int, shards: int):
-    def run(key, docs, labels):
-        trusted = docs.filter(pc.is_in(docs.column("doc_id"), labels.column("doc_id").combine_chunks()))
-        some, counted = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for _, grams in _slices(trusted, order):
-            where = grams.where[-1]
-            some.append(grams.grams[-1])
-            counted.append(np.bincount(where[where >= 0], minlength=len(some[-1])))
-        keys, counts = _summed(some, counted)
+    """A task's counts of its longest n-grams, packed by shard; sent early where they are very many."""
+
+    def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         counts = counts.astype("<u4")
         rows = _by_shard(keys, shards)
-        return pa.table(
-            {
-                "shard": pa.array([s for s, _ in rows], pa.int32()),
-                "grams": pa.array([pack_keys(keys[at]) for _, at in rows], pa.binary()),
-                "counts": pa.array([counts[at].tobytes() for _, at in rows], pa.binary()),
-            }
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([s for s, _ in rows], pa.int32()),
+                pa.array([pack_keys(keys[at]) for _, at in rows], pa.binary()),
+                pa.array([counts[at].tobytes() for _, at in rows], pa.binary()),
+            ],
+            ["shard", "grams", "counts"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, some, counted = np.empty(0, np.uint64), np.empty(0, np.int64), [], []
+        for batch in batches:
+            for part in bytetext.slices(batch, "text", _SLICE):
+                grams = Grams(part.column(part.schema.get_field_index("text")), order)
+                where = grams.where[-1]
+                some.append(grams.grams[-1])
+                counted.append(np.bincount(where[where >= 0], minlength=len(some[-1])))
+                if sum(map(len, some)) > _MOST_KEYS:
+                    keys, counts = _summed([keys, *some], [counts, *counted])
+                    some, counted = [], []
+                    if len(keys) > _MOST_KEYS:
+                        yield packed(keys, counts)
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = _summed([keys, *some], [counts, *counted])
+        if len(keys):
+            yield packed(keys, counts)
+
     return run
 
 
@@ -202,9 +222,13 @@ def _discounts(few) -> tuple[float, float, float]:
 
 def _ask(order: int, shards: int):
     def run(key, table):
-        distinct = [np.empty(0, np.uint64)] * order
+        found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in range(order)]
         for _, grams in _slices(table, order):
-            distinct = [np.union1d(d, g) for d, g in zip(distinct, grams.grams)]
+            for some, new in zip(found, grams.grams):
+                some.append(new)
+                if sum(map(len, some)) > _MOST_KEYS:
+                    some[:] = [np.unique(np.concatenate(some))]
+        distinct = [np.unique(np.concatenate(some)) for some in found]
         rows = []
         for k, some in enumerate(distinct, 1):
             rows += [(s, pack_keys(some[at] | np.uint64(k << 56))) for s, at in _by_shard(some, shards)]
@@ -221,11 +245,7 @@ def _ask(order: int, shards: int):
 
 def _answer(key, asked, model):
     """For every n-gram asked for, its two numbers; NaN where the model has none."""
-    keys = model.column("gram").to_numpy().view(np.uint64) | (model.column("k").to_numpy().astype(np.uint64) << np.uint64(56))
-    order = np.argsort(keys)
-    keys = keys[order]
-    logp = model.column("logp").to_numpy()[order].astype("<f4")
-    logg = model.column("logg").to_numpy()[order].astype("<f4")
+    keys, logp, logg = _arrays(model)
     found_p, found_g = [], []
     for grams in asked.column("grams").to_pylist():
         grams = unpack_keys(grams)
@@ -247,8 +267,55 @@ def _answer(key, asked, model):
     )
 
 
-def _score(order: int):
-    unknown = -np.log10(256.0)
+def _log_probabilities(grams: Grams, keys: np.ndarray, logp: np.ndarray, logg: np.ndarray) -> np.ndarray:
+    """Log10 probability of each byte of a slice, from n-grams and histories sorted by key."""
+    own, weight = [], []
+    for k, g in enumerate(grams.grams, 1):
+        g = g | np.uint64(k << 56)
+        at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
+        hit = keys[at] == g if len(keys) else np.zeros(len(g), bool)
+        p, w = np.full(len(g), np.nan), np.zeros(len(g))
+        p[hit], w[hit] = logp[at[hit]], np.nan_to_num(logg[at[hit]], nan=0.0)
+        own.append(p)
+        weight.append(w)
+    where = grams.where
+    lp = own[0][where[0]]
+    lp = np.where(np.isnan(lp), -np.log10(256.0), lp)
+    for k in range(1, len(where)):
+        at = np.flatnonzero(where[k] >= 0)
+        arc = own[k][where[k][at]]
+        lp[at] = np.where(np.isnan(arc), lp[at] + weight[k - 1][where[k - 1][at - 1]], arc)
+    return lp
+
+
+def _sums(part: pa.RecordBatch, grams: Grams, lp: np.ndarray) -> pa.RecordBatch:
+    sums = np.concatenate([[0.0], np.cumsum(lp)])
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column(part.schema.get_field_index("doc_id")),
+            part.column(part.schema.get_field_index("source_row")),
+            pa.array(np.diff(grams.offsets)),
+            pa.array(sums[grams.offsets[1:]] - sums[grams.offsets[:-1]]),
+        ],
+        ["doc_id", "source_row", "n_bytes", "log10_p"],
+    )
+
+
+def _score_here(order: int, model):
+    """Scores with the whole model, a broadcast of sorted keys and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logp, logg = model.value
+        for batch in batches:
+            for part in bytetext.slices(batch, "text", _SLICE):
+                grams = Grams(part.column(part.schema.get_field_index("text")), order)
+                yield _sums(part, grams, _log_probabilities(grams, keys, logp, logg))
+
+    return run
+
+
+def _score_unit(order: int):
+    """Scores of a unit's documents with the answers to its own n-grams."""
 
     def run(key, docs, answers):
         columns = [answers.column(c).to_pylist() for c in ("grams", "logp", "logg")]
@@ -258,40 +325,38 @@ def _score(order: int):
         logp, logg = (
             np.concatenate([np.empty(0, "<f4"), *(np.frombuffer(x, "<f4") for x in c)])[known] for c in columns[1:]
         )
-        out = []
-        for part, grams in _slices(docs, order):
-            spots = [np.searchsorted(keys, g | np.uint64(k << 56)) for k, g in enumerate(grams.grams, 1)]
-            own = [logp[s] for s in spots]
-            weight = [np.nan_to_num(logg[s], nan=0.0) for s in spots]
-            where = grams.where
-            lp = own[0][where[0]].astype(np.float64)
-            lp = np.where(np.isnan(lp), unknown, lp)
-            for k in range(1, order):
-                at = np.flatnonzero(where[k] >= 0)
-                arc = own[k][where[k][at]]
-                lp[at] = np.where(np.isnan(arc), lp[at] + weight[k - 1][where[k - 1][at - 1]], arc)
-            sums = np.concatenate([[0.0], np.cumsum(lp)])
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "source_row": part.column("source_row"),
-                        "n_bytes": pa.array(np.diff(grams.offsets)),
-                        "log10_p": pa.array(sums[grams.offsets[1:]] - sums[grams.offsets[:-1]]),
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+        return pa.Table.from_batches(
+            [_sums(part, grams, _log_probabilities(grams, keys, logp, logg)) for part, grams in _slices(docs, order)]
+        )
 
     return run
 
 
+def _arrays(model: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model's keys in order, with their log probabilities and history weights."""
+    grams = model.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    keys = grams | (model.column("k").to_numpy().astype(np.uint64) << np.uint64(56))
+    order = np.argsort(keys)
+    return keys[order], *(model.column(c).to_numpy()[order].astype("<f4") for c in ("logp", "logg"))
+
+
+def _score_sharded(rows: DataFrame, model: DataFrame, order: int, shards: int) -> DataFrame:
+    """Scores where the model is too large to be in one place: units ask its shards for their own n-grams."""
+    identity = F.coalesce(F.xxhash64("doc_id"), F.lit(0)).bitwiseXOR(F.col("source_row"))
+    rows = rows.withColumn("unit", F.pmod(identity, F.lit(shards)))
+    sharded = model.select(((F.col("gram") % _PRIME) % shards).cast("int").alias("shard"), "k", "gram", "logp", "logg")
+    asked = rows.groupBy("unit").applyInArrow(_ask(order, shards), _ASK)
+    answered = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answer, _ANSWER)
+    return rows.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(_score_unit(order), _SCORE)
+
+
 def judge_quality(
     docs: DataFrame,
     labels: DataFrame,
     order: int = ORDER,
     quantile: float = 0.995,
     slack: float = 0.75,
+    broadcast_grams: int = BROADCAST_GRAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -313,30 +378,25 @@ def judge_quality(
     """
     spark = docs.sparkSession
     ship(spark)
-    units = shards = partitions(spark)
+    shards = partitions(spark)
     text = column(text_col)
-    identity = F.when(column(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(column(id_col)))
     rows = docs.select(
-        F.pmod(identity, F.lit(units)).alias("unit"),
-        column(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("source_row"),
-        text.alias("text"),
+        column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("source_row"), text.alias("text")
     )
-    trusted = (
+    trusted = checkpointed(
         labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc_id"))
         .distinct()
     )
     calibrating = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
-    by_unit = trusted.where(~calibrating).select(F.pmod(F.xxhash64("doc_id"), F.lit(units)).alias("unit"), "doc_id")
-    counted = rows.groupBy("unit").cogroup(by_unit.groupBy("unit")).applyInArrow(_count(order, shards), _COUNTED)
+    learned = within_bound(checkpointed(trusted.where(~calibrating)))
+    counted = rows.join(learned, "doc_id", "left_semi").select("text").mapInArrow(_count(order, shards), _COUNTED)
     merged = counted.groupBy("shard").applyInArrow(_merge, _GRAM)
-    model = _kneser_ney(merged, order).select(
-        ((F.col("gram") % _PRIME) % shards).cast("int").alias("shard"), "k", "gram", "logp", "logg"
-    )
-    asked = rows.groupBy("unit").applyInArrow(_ask(order, shards), _ASK)
-    answered = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer, _ANSWER)
-    scored = rows.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(_score(order), _SCORE)
+    model = checkpointed(_kneser_ney(merged, order))
+    if model.limit(broadcast_grams + 1).count() <= broadcast_grams:
+        scored = rows.mapInArrow(_score_here(order, spark.sparkContext.broadcast(_arrays(model.toArrow()))), _SCORE)
+    else:
+        scored = _score_sharded(rows, model, order, shards)
 
     lang = docs.select(
         column(id_col).cast("long").alias("lid"), F.xxhash64(text).alias("lrow"), column(lang_col).alias("lang")
@@ -368,14 +428,14 @@ def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
         (F.col("q") + slack * (F.col("q") - F.col("median"))).alias("highest"),
     )
     bands = checkpointed(bands)
-    own = bands.where(~F.col("every") & (F.col("n") >= LEAST_CALIBRATING)).select(F.col("lang").alias("blang"), F.struct("median", "highest").alias("band"))
-    every = bands.where("every").select(F.lit(1).alias("one"), F.struct("median", "highest").alias("any_band"))
-    joined = (
-        judged.join(own, F.col("lang") == F.col("blang"), "left")
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(every), "one", "left")  # a single row
-        .withColumn("band", F.coalesce("band", "any_band"))
+    every = bands.where("every").first()  # one row: the limit of all
+    any_band = F.lit(None).cast("struct<median:double,highest:double>")
+    if every is not None:
+        any_band = F.struct(F.lit(every["median"]).alias("median"), F.lit(every["highest"]).alias("highest"))
+    own = bands.where(~F.col("every") & (F.col("n") >= LEAST_CALIBRATING)).select(
+        F.col("lang").alias("blang"), F.struct("median", "highest").alias("band")
     )
+    joined = judged.join(own, F.col("lang") == F.col("blang"), "left").withColumn("band", F.coalesce("band", any_band))
     bits = padded(F.col("bits"), F.col("n_bytes"), F.col("band.median"))
     inside = bits <= F.col("band.highest")
     return joined.select(
@@ -388,10 +448,11 @@ def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rejected ones."""
+    doc, version = fresh_name(docs, "__out"), fresh_name(docs, "__hash")
     judged = judge_quality(docs, labels, id_col=id_col, text_col=text_col, **options)
-    out = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__out"), F.col("text_hash").alias("__hash")).distinct()
+    out = judged.where(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(version)).distinct()
     return docs.join(
         within_bound(checkpointed(out)),
-        column(id_col).eqNullSafe(F.col("__out")) & (F.xxhash64(column(text_col)) == F.col("__hash")),
+        column(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(column(text_col)) == F.col(version)),
         "left_anti",
     )
