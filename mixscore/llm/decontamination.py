@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixscore.llm.common import checkpointed, column, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, within_bound
 
 
 def _words(text: Column) -> Column:
@@ -147,5 +147,6 @@ def contained_items(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that contain an item; a null id is never dropped by another's match."""
-    hits = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(within_bound(checkpointed(hits)), column(id_col) == F.col("__hit"), "left_anti")
+    hit = fresh_name(docs, "__hit")
+    hits = contained_items(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(within_bound(checkpointed(hits)), column(id_col) == F.col(hit), "left_anti")

@@ -4,7 +4,7 @@ Lines are exploded, normalised and hashed; distinct documents are counted for
 each hash; the lines of hashes over the threshold are dropped by position and
 the documents put together again.
 
-Only hashes are shuffled to be counted, never lines. Every (hash, document)
+Only hashes are shuffled to be counted and looked up, never lines. Every (hash, document)
 pair is made distinct before counting, so a line that a third of all documents
 hold arrives as one row for each of them, spread by both columns, and its
 count combines before the second shuffle.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from mixscore.llm.common import ASCII_BLANKS, ascii_lower, column, fresh_name, ship
+from mixscore.llm.common import ASCII_BLANKS, ascii_lower, checkpointed, column, fresh_name, ship, within_bound
 
 
 @pandas_udf(StringType())
@@ -91,17 +91,19 @@ def dedup_lines(
         .where(F.col("found_in") >= min_docs)
         .select("k1", "k2", "keeper")
     )
+    # Kept as a table, so that the join is by broadcast, or splits a key with very many lines.
+    common = within_bound(checkpointed(common))
+    doc, version, drop = (fresh_name(docs, n) for n in ("__doc", "__version", "__drop"))
     drops = (
         keyed.join(common, ["k1", "k2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("doc", "version")
-        .agg(F.collect_set("pos").alias("__drop"))
-        .withColumnsRenamed({"doc": "__doc", "version": "__version"})
-    )
-    text, drop = column(text_col), F.col("__drop")
-    joined = docs.join(
-        drops, column(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__version")), "left"
+        .agg(F.collect_set("pos").alias(drop))
+        .withColumnsRenamed({"doc": doc, "version": version})
     )
+    text = column(text_col)
+    joined = docs.join(drops, column(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(version)), "left")
+    drop = F.col(drop)
     # Only texts that lose a line visit Python; the others pass as they are.
     cut = _without_lines(F.when(drop.isNotNull(), text), drop)
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n")))
