@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -17,19 +18,34 @@ ASCII_BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows in one Arrow batch: a document is some kilobytes, and Spark's 10,000 rows are for numbers.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
+def _own_folder(prefix: str) -> str:
+    """A temporary folder of the driver that goes with it."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, as ``--py-files`` would; once for each application."""
+    """Give the executors this package, as ``--py-files`` would; once for each application.
+
+    Where the session leaves Spark's default, Arrow batches get `BATCH_ROWS` rows,
+    which keeps both the executor's and its workers' memory small.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.basename(package)
-    archive = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="package-"), name), "zip", os.path.dirname(package), name
-    )
+    archive = shutil.make_archive(os.path.join(_own_folder("package-"), name), "zip", os.path.dirname(package), name)
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
 
@@ -44,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        folder = _own_folder("checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -64,6 +80,17 @@ def within_bound(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hashed_sample(df: DataFrame, by: Column, rows: int, total: int | None = None) -> DataFrame:
+    """The ``rows`` rows with the smallest value of a 64-bit hash, or all if there are fewer.
+
+    Rows over twice the share that is needed are left out first, so that tasks
+    offer a few rows each and the driver compares as many at any size.
+    """
+    total = df.count() if total is None else total
+    share = min(1.0, 2.0 * rows / max(1, total) + 100 / max(1, total))
+    return df.where(by <= int((share - 0.5) * (2**64 - 2**12))).orderBy(by).limit(rows)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which a cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

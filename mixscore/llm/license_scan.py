@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import column, ship
+from mixscore.llm.common import column, hashed_sample, ship
 
 # Phrases of well-known public licences, notices and identifiers, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -267,12 +267,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    filled = rows.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
     sample = (
-        rows.where(F.length("text") > 0)
-        .select(F.xxhash64("text").alias("h"), F.substring_index("text", "\n", 1).alias("line"))
-        .orderBy("h")
-        .limit(UNKNOWN_PARAGRAPHS)
-        .select(F.substring("line", 1, 2000).alias("line"))
+        hashed_sample(filled, F.col("h"), UNKNOWN_PARAGRAPHS)
+        .select(F.substring(F.substring_index("text", "\n", 1), 1, 500).alias("line"))
         .collect()
     )
     names, weights, intercepts = train([r["line"] for r in sample if r["line"].strip()])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixscore.llm.common import checkpointed, column, ship
+from mixscore.llm.common import checkpointed, column, hashed_sample, ship
 
 #: Vectors that the partitioning and the classifier are fitted on, at most.
 SAMPLE = 4096
@@ -259,7 +259,7 @@ def nearest_neighbours(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == widths[0]["width"])
     total = widths[0]["count"]
-    sample = rows.orderBy(F.xxhash64("vec_id", "vector")).limit(SAMPLE).select("vector").toArrow()
+    sample = hashed_sample(rows, F.xxhash64("vec_id", "vector"), SAMPLE, total).select("vector").toArrow()
     router, probes = learn(_vectors(sample.column("vector").combine_chunks()), parts_for(total))
 
     index = checkpointed(rows.mapInArrow(_index(router, probes), _INDEXED))
