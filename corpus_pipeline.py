@@ -40,8 +40,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 1024 tokens."""
-    return pack_documents(docs, byte_bpe())
+    """The documents' pieces in sequences of at most 1024 tokens.
+
+    Workers keep their memory from stage to stage, so they remember little here.
+    """
+    return pack_documents(docs, byte_bpe(), remembered_chunks=100_000)
 
 
 STAGES = [

@@ -27,11 +27,12 @@ from mixscore.llm.common import column, ship
 #: Documents dealt into one group on average: enough for first-fit to waste little, a few MB of ids.
 DOCS_PER_GROUP = 4096
 
-#: Distinct chunks of text whose ids a worker remembers before it starts afresh (about 150 bytes each).
-REMEMBERED_CHUNKS = 800_000
+#: Distinct chunks of text whose ids a worker remembers of late, and as many from before
+#: that are forgotten if they don't come again (about 200 bytes each).
+REMEMBERED_CHUNKS = 500_000
 
 # White space as the pre-tokeniser knows it.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -46,7 +47,7 @@ class Encoder:
     characters, is cut at white space only.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS) -> None:
         import unicodedata
 
         from tokenizers import Tokenizer
@@ -60,7 +61,10 @@ class Encoder:
         self._far = re.compile("[\U00010000-\U0010ffff]")
         self._plain = re.compile(r" ?[^\W\d_]+|\n| ?[^ \n]+")
         self._any = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
+        self._remembered = remembered
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        self._newline = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _split(self, text: str) -> list[str]:
         if text.isascii():
@@ -70,30 +74,46 @@ class Encoder:
         doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ")
         return (self._any if doubled or unusual else self._plain).findall(text)
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks; many at a time as the lines of one text, which is cut at its newlines."""
+        lines = [c for c in chunks if c[-1] not in _SPACES]
+        for i in range(0, len(lines), 5_000):
+            part = lines[i : i + 5_000]
+            text = self._tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
+            ids = np.array(text.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self._newline).tolist(), len(ids)]
+            data, start = ids.tobytes(), 0
+            for c, end in zip(part, ends, strict=True):
+                self._known[c] = data[4 * start : 4 * end]
+                start = end + 1
+        for c in chunks:
+            if c[-1] in _SPACES:
+                self._known[c] = np.array(self._tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         chunks = [self._split(t) if t else [] for t in texts]
-        if len(self._known) > REMEMBERED_CHUNKS:
-            self._known = {}
-        known = self._known
-        new = list(set().union(*chunks).difference(known)) if chunks else []
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for c, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self._known) > self._remembered:
+            self._before, self._known = self._known, {}
+        known, before = self._known, self._before
+        new = set().union(*chunks).difference(known)
+        again = new.intersection(before)
+        known.update(zip(again, map(before.__getitem__, again)))
+        self._learn(list(new - again))
         return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
+def _encoder(path: str, remembered: int) -> Encoder:
+    """The worker's encoder; it lives as long as the worker."""
+    if (path, remembered) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 class RoomTree:
@@ -150,15 +170,15 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return which, offset
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, remembered: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from mixscore.llm.bytetext import slices
 
-        encoder = _encoder(path)
+        encoder = _encoder(path, remembered)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 3 << 18):
                 texts = part.column("text").to_pylist()
                 ids = [x + end for x in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays(
@@ -214,6 +234,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     docs_per_group: int = DOCS_PER_GROUP,
+    remembered_chunks: int = REMEMBERED_CHUNKS,
 ) -> DataFrame:
     """One row for each piece of a document: where it lies in which sequence, and its token ids.
 
@@ -222,7 +243,8 @@ def pack_documents(
     offset (in the sequence, gapless from 0) and ids (little-endian unsigned
     32-bit numbers). ``tokenizer`` is the path of a tokenizers JSON file, there
     on every executor. A document is its ids without special tokens, then
-    ``end_id``; only documents over ``capacity`` ids are cut.
+    ``end_id``; only documents over ``capacity`` ids are cut. ``remembered_chunks``
+    trades a worker's memory for time, not for results.
 
     Defined cases: a null or empty text is the end id alone. Rows that repeat an
     id are packed one by one and may carry equal pieces; a null id stays null.
@@ -236,5 +258,5 @@ def pack_documents(
         F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(groups)).alias("pack_group"),
     )
     ship(docs.sparkSession)
-    ids = rows.mapInArrow(_tokenise(tokenizer, end_id), "pack_group long, doc_id long, ids binary")
+    ids = rows.mapInArrow(_tokenise(tokenizer, end_id, remembered_chunks), "pack_group long, doc_id long, ids binary")
     return ids.groupBy("pack_group").applyInArrow(_pack_group(capacity), PIECE)

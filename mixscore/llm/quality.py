@@ -51,8 +51,8 @@ _SCORE = "doc_id long, source_row long, n_bytes long, log10_p double"
 _PRIME = 1_000_003
 
 #: Bytes of text in one slice, and n-grams that a task gathers before it sends them on.
-_SLICE = 1 << 20
-_MOST_KEYS = 1 << 21
+_SLICE = 1 << 19
+_MOST_KEYS = 1 << 19
 
 #: A model of at most so many n-grams (16 bytes each, 16 MB) is broadcast; a larger one stays in shards.
 BROADCAST_GRAMS = 1_000_000
