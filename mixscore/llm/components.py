@@ -13,8 +13,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn hang every node on the smallest
     neighbour until only stars are left. Each step joins the links with one
-    minimum for each node, so no group is ever gathered; Spark splits the join
-    where a node has very many links. Self-links and repeats do no harm.
+    minimum for each node, so no group is ever gathered. The minima are kept as
+    a table of their own, which lets Spark split the join where a node has very
+    many links. Self-links and repeats do no harm.
     """
     edges = checkpointed(
         links.where(F.col(a) != F.col(b))
@@ -25,9 +26,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = checkpointed(low)
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = checkpointed(large.distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("low")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where(F.col("u") != F.col("v"))
         edges = checkpointed(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -4,10 +4,10 @@
    and two small collections of partial keys, each made of a few MinHashes.
 2. Equal sets become one class, named by its smallest id, so thousands of exact
    copies are one row from here on.
-3. Tables are keyed by pairs of partial keys, one of each collection: 16 and 10
-   partial keys from 68 MinHashes make 160 tables, which would take 800
+3. Tables are keyed by pairs of partial keys, one of each collection: 14 and 9
+   partial keys from 60 MinHashes make 126 tables, which would take 630
    MinHashes if each table had its own. A pair with similarity 0.8 shares a
-   table with probability 0.99995, a pair with 0.9 practically always.
+   table with probability 0.9998, a pair with 0.85 with 0.999998.
 4. In every table the classes of one key propose to the smallest of them, its
    hub: as many proposals as members, not all pairs.
 5. The members of a hub are compared on their full sets, in blocks of bounded
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, ship, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, within_bound
 from mixscore.llm.components import components
 
 #: Partial keys and MinHashes in each, for the two collections.
-FIRST = (16, 3)
-SECOND = (10, 2)
+FIRST = (14, 3)
+SECOND = (9, 2)
 
 #: Shingles (8 bytes each) of the members that one block compares at a time.
 BLOCK_SHINGLES = 1 << 21
@@ -293,8 +293,9 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     )
 
+    # A class becomes many rows here: in small partitions their first aggregation stays in memory.
     tables = (
-        classes.select(
+        classes.repartition(4 * partitions(docs.sparkSession), "node").select(
             "node",
             F.posexplode(F.slice("keys", 1, FIRST[0])).alias("i", "one"),
             F.slice("keys", FIRST[0] + 1, SECOND[0]).alias("others"),
@@ -302,7 +303,8 @@ def near_duplicates(
         .select("node", "i", "one", F.posexplode("others").alias("j", "other"))
         .select("node", F.xxhash64("i", "one", "j", "other").alias("key"))
     )
-    hubs = (
+    # Kept as a table, so that the join can split a key that very many classes share.
+    hubs = checkpointed(
         tables.groupBy("key")
         .agg(F.min("node").alias("hub"), F.max("node").alias("last"))
         .where(F.col("hub") < F.col("last"))
@@ -377,6 +379,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component; rows with a null id all stay."""
-    dropped = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    dropped = within_bound(checkpointed(dropped.where(F.col("__gone").isNotNull()).distinct()))
-    return docs.join(dropped, column(id_col) == F.col("__gone"), "left_anti")
+    gone = fresh_name(docs, "__gone")
+    dropped = near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    dropped = within_bound(checkpointed(dropped.select(F.col("doc_id").alias(gone)).distinct()))
+    return docs.join(dropped, column(id_col) == F.col(gone), "left_anti")
