@@ -13,8 +13,7 @@ n-grams of units of documents (see `exchange`), and the texts are shuffled once.
 
 A quarter of the trusted documents, by hash, is not learned from but calibrates:
 a document is rejected if its cross-entropy lies above its language's limit, a
-high quantile of that language's calibrating documents raised by a part of its
-distance to their median. Limits from the learned documents would be too low,
+high quantile of that language's calibrating documents. Limits from the learned documents would be too low,
 most of all with little text to learn from.
 """
 
@@ -355,7 +354,6 @@ def judge_quality(
     labels: DataFrame,
     order: int = ORDER,
     quantile: float = 0.995,
-    slack: float = 0.75,
     broadcast_grams: int = BROADCAST_GRAMS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -367,8 +365,7 @@ def judge_quality(
     quality 1 that aren't toxic is trusted: learned from, or calibrating. ``perplexity`` is that of a byte.
     For the decision, `PRIOR_BYTES` of the language's median are added, so that
     a few odd words in a short text prove nothing. The limit is the
-    ``quantile`` of the language's calibrating documents plus ``slack`` times its
-    distance to their median.
+    ``quantile`` of the language's calibrating documents itself.
 
     Defined cases: a null or empty text has perplexity null and is kept. A null
     language, or one with fewer than `LEAST_CALIBRATING` calibrating documents, is
@@ -408,10 +405,10 @@ def judge_quality(
         .join(trusted.where(calibrating).select(F.col("doc_id").alias("tid")), F.col("doc_id") == F.col("tid"), "left")
         .select("doc_id", F.col("source_row").alias("text_hash"), "lang", "n_bytes", per_byte.alias("bits"), F.col("tid").isNotNull().alias("calibrates"))
     )
-    return _decide(judged, quantile, slack)
+    return _decide(judged, quantile)
 
 
-def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
+def _decide(judged: DataFrame, quantile: float) -> DataFrame:
     good = judged.where("calibrates AND bits IS NOT NULL").select(
         "n_bytes", "bits", F.explode(F.array(F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("every"), "lang"))).alias("of")
     ).select("of.*", "n_bytes", "bits").where("every OR lang IS NOT NULL")
@@ -422,10 +419,7 @@ def _decide(judged: DataFrame, quantile: float, slack: float) -> DataFrame:
         (F.col("every") == F.col("e")) & F.col("lang").eqNullSafe(F.col("l")),
     ).withColumn("padded", padded(F.col("bits"), F.col("n_bytes"), F.col("median")))
     bands = pad.groupBy("every", "lang").agg(
-        F.first("median").alias("median"), F.count(F.lit(1)).alias("n"), F.percentile_approx("padded", quantile, 10000).alias("q")
-    ).select(
-        "every", "lang", "median", "n",
-        (F.col("q") + slack * (F.col("q") - F.col("median"))).alias("highest"),
+        F.first("median").alias("median"), F.count(F.lit(1)).alias("n"), F.percentile_approx("padded", quantile, 10000).alias("highest")
     )
     bands = checkpointed(bands)
     every = bands.where("every").first()  # one row: the limit of all

@@ -150,6 +150,27 @@ def test_noise_goes_and_labelled_good_text_stays(spark, documents, sf_dir, judge
     assert noise and not any(noise)
 
 
+def test_the_limit_is_the_quantile_itself(spark):
+    rows = [(i, i, "en", 10**9, 1 + i / 1000, True) for i in range(200)] + [(900, 0, "en", 10**9, 1.1975, False), (901, 0, "en", 10**9, 1.25, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text_hash long, lang string, n_bytes long, bits double, calibrates boolean")
+    got = {r["doc_id"]: r["kept"] for r in quality._decide(df, 0.995).collect()}
+    assert got[900] and not got[901] and [i for i in range(200) if not got[i]] == [199]
+
+
+def test_labelled_junk_goes_repeated_words_included(spark):
+    """All rows labelled 0 of the middle table: how many stay, and of those that mostly repeat the word before."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, labels).collect()}
+    label = {r["doc_id"]: r["quality"] for r in labels.where("coalesce(toxic, 0) = 0 OR quality = 0").collect()}
+    words = {r["doc_id"]: r["text"].split() for r in docs.where("text IS NOT NULL").collect()}
+    junk = [i for i, q in label.items() if q == 0 and i in kept]
+    repeated = [i for i in junk if np.mean([a == b for a, b in zip(words[i], words[i][1:])] or [0]) > 0.5]
+    good = [i for i, q in label.items() if q == 1 and i in kept]
+    assert len(junk) > 20 and len(repeated) > 5
+    assert np.mean([kept[i] for i in junk]) < 0.04 and np.mean([kept[i] for i in repeated]) < 0.35
+    assert np.mean([kept[i] for i in good]) > 0.98
+
+
 def test_quality_defined_cases(spark):
     good = "plain words in a plain order make a plain text. " * 8
     rows = [(i, good[i:] + f"{i}", "en", i) for i in range(30)] + [(90, None, "en", 1), (91, "", None, 2), (92, "#$%&" * 200, None, 3)]
