@@ -4,10 +4,10 @@
    and two small collections of partial keys, each made of a few MinHashes.
 2. Equal sets become one class, named by its smallest id, so thousands of exact
    copies are one row from here on.
-3. Tables are keyed by pairs of partial keys, one of each collection: 14 and 9
-   partial keys from 60 MinHashes make 126 tables, which would take 630
+3. Tables are keyed by pairs of partial keys, one of each collection: 16 and 10
+   partial keys from 68 MinHashes make 160 tables, which would take 800
    MinHashes if each table had its own. A pair with similarity 0.8 shares a
-   table with probability 0.9998, a pair with 0.85 with 0.999998.
+   table with probability 0.99995, a pair with 0.85 with 0.999997.
 4. In every table the classes of one key propose to the smallest of them, its
    hub: as many proposals as members, not all pairs.
 5. The members of a hub are compared on their full sets, in blocks of bounded
@@ -31,8 +31,8 @@ from mixscore.llm.common import checkpointed, column, fresh_name, partitions, sh
 from mixscore.llm.components import components
 
 #: Partial keys and MinHashes in each, for the two collections.
-FIRST = (14, 3)
-SECOND = (9, 2)
+FIRST = (16, 3)
+SECOND = (10, 2)
 
 #: Shingles (8 bytes each) of the members that one block compares at a time.
 BLOCK_SHINGLES = 1 << 21
