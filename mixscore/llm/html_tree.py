@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 
 # Fixed values of the HTML standard: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,6 +136,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page and its blocks of text in page order, each with its element."""
     root = Node("#page")
     stack = [root]
+    opened: Counter[str] = Counter()  # open elements by tag, so that a stray end tag needs no search
     blocks: list[tuple[Node, str]] = []
     pending: list[str] = []
 
@@ -160,12 +162,12 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         tag = tag.lower()
         if token["end"]:
-            if tag == "br" or tag == "p" and not any(n.label.startswith("p") and n.label.partition(" ")[0] == "p" for n in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 pending.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].label.partition(" ")[0] == tag:
                     flush()
-                    del stack[i:]
+                    _cut(stack, opened, i)
                     break
             continue
         if tag in RAW:
@@ -185,28 +187,40 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         flush()
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"button", "td", "th", "table", "article", "section", "div", "li", "blockquote"})
+            _close(stack, opened, {"p"}, {"button", "td", "th", "table", "article", "section", "div", "li", "blockquote"})
         if tag in IMPLIED:
             ends, bounds = IMPLIED[tag]
-            while _close(stack, ends, bounds):
+            while _close(stack, opened, ends, bounds):
                 pass
-        if tag in ("html", "body") and any(n.label.partition(" ")[0] == tag for n in stack):
+        if tag in ("html", "body") and opened[tag]:
             continue
-        if tag in VOID or len(stack) > DEEPEST:
+        if tag in VOID:
             continue
         node = Node(label)
-        stack[-1].kids.append(node)
+        if len(stack) > DEEPEST:
+            node.same = stack[DEEPEST]  # open until its own end tag, but no node of the tree
+        else:
+            stack[-1].kids.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
     return root, blocks
 
 
-def _close(stack: list[Node], ends: set[str], bounds: set[str]) -> bool:
+def _cut(stack: list[Node], opened: Counter[str], i: int) -> None:
+    for node in stack[i:]:
+        opened[node.label.partition(" ")[0]] -= 1
+    del stack[i:]
+
+
+def _close(stack: list[Node], opened: Counter[str], ends: set[str], bounds: set[str]) -> bool:
     """Close the innermost element of ``ends`` that lies inside of ``bounds``."""
+    if not any(opened[tag] for tag in ends):
+        return False
     for i in range(len(stack) - 1, 0, -1):
         tag = stack[i].label.partition(" ")[0]
         if tag in ends:
-            del stack[i:]
+            _cut(stack, opened, i)
             return True
         if tag in bounds:
             return False

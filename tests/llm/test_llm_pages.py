@@ -78,6 +78,12 @@ def test_cut_off_null_empty_deep_and_long_pages(spark):
     assert extract_main_text(df.limit(0)).collect() == []
 
 
+def test_text_after_a_closed_deep_nest_stays_in_the_article(spark):
+    deep = "<div>" * 120 + "deep" + "</div>" * 120
+    page = f"<body><div><article><p>before</p>{deep}<p>after the deep nest</p></article></div><div>outside</div></body>"
+    assert one(spark, page) == "before deep after the deep nest"
+
+
 def tree(text):
     """'a(b c(d))' as a tree."""
     root, stack = html_tree.Node("#"), []
