@@ -12,8 +12,8 @@ the slots that its pages fill. Over all its pages, a slot's texts tell what it i
 * slots that vary hold content; slots of elements that by the HTML standard or
   by name hold menus, forms, comments and the like do not count.
 
-The main region is the wrapper's `article` or `main`, or else the innermost
-node that holds most of the varying text.
+The main region is the wrapper's `article` or `main` where those hold half of
+the text, or else the whole page: every slot that varies and isn't furniture.
 
 A host's pages are never gathered: equal trees are merged by a grouping, so
 only different trees meet, in buckets first, and the texts are counted as
@@ -43,9 +43,6 @@ CONSTANT_SHARE = 0.9
 RECURS_ON = 5
 RECURRING_SHARE = 0.9
 
-#: Share of the varying text that the main region's node holds at least.
-MAIN_SHARE = 0.6
-
 #: Buckets of a host's different trees that are merged on their own first.
 _BUCKETS = 64
 
@@ -151,13 +148,7 @@ def keep_slots(wrapper: html_tree.Node, stats: dict[int, dict]) -> list[int]:
             articles = inner
         region = {k.number for a in articles for k in _below(a)}
     else:
-        node = wrapper
-        while True:
-            kid = max(node.kids, key=lambda k: held[k.number], default=None)
-            if kid is None or not kid.kids or held[kid.number] < MAIN_SHARE * max(1, held[node.number]):
-                break
-            node = kid
-        region = {k.number for k in _below(node)}
+        region = range(len(nodes))  # title, intro and text may stand beside each other anywhere
     return [n for n in sorted(region) if not furniture[n] and own[n] >= 0]
 
 

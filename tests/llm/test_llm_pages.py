@@ -58,6 +58,15 @@ def test_a_wrapper_without_names(spark):
     assert {got[100 + i] for i in range(200)} == {got[0]}
 
 
+def test_title_and_intro_beside_the_body(spark):
+    rows, want = [], {}
+    for i in range(30):
+        title, intro, body = f"Title {i}", f"Intro number {i} tells what follows.", f"Body {i} says a lot more, at length. " * 12
+        rows.append((i, f"http://site.example/{i}", f"<body><div>Welcome</div><div class=content><h1>{title}</h1><div class=intro>{intro}</div><div class=body><p>{body}</p></div></div></body>"))
+        want[i] = f"{title} {intro} {body.strip()}"
+    assert {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
 def test_cut_off_null_empty_deep_and_long_pages(spark):
     deep = "<div>" * 3000 + "in the deep"
     long = "<article>" + "<p>word word</p>" * 20000 + "</article>"
