@@ -7,8 +7,9 @@ the slots that its pages fill. Over all its pages, a slot's texts tell what it i
 
 * a text that nearly every different page repeats in the same slot is part of
   the template,
-* a slot whose texts nearly all recur on several pages is filled by the
-  template in turn (adverts, notices), and
+* a slot outside of an article that a few texts fill, nearly all of them on a
+  good share of the host's pages, is filled by the template in turn (adverts,
+  notices), and
 * slots that vary hold content; slots of elements that by the HTML standard or
   by name hold menus, forms, comments and the like do not count.
 
@@ -39,9 +40,13 @@ ENOUGH_PAGES = 10
 #: Share of a host's different pages that repeat a text of the template.
 CONSTANT_SHARE = 0.9
 
-#: A text recurs if it is on so many different pages; share of recurring text that makes a slot the template's.
+#: A text recurs if it is on this share of the host's different pages, and on so many at least, for small hosts.
+RECURS_SHARE = 0.1
 RECURS_ON = 5
+
+#: Share of recurring text that makes a slot the template's, and distinct texts a page that it has at most.
 RECURRING_SHARE = 0.9
+FEW_TEXTS = 0.5
 
 #: Buckets of a host's different trees that are merged on their own first.
 _BUCKETS = 64
@@ -124,11 +129,22 @@ def keep_slots(wrapper: html_tree.Node, stats: dict[int, dict]) -> list[int]:
     """The slots of the main region that hold content."""
     nodes = wrapper.preorder()
     furniture = html_tree.spread_furniture(wrapper, len(nodes))
+    inside = {
+        k.number
+        for n in nodes
+        if n.label.partition(" ")[0] in ("article", "main") and not furniture[n.number]
+        for k in _below(n)
+    }
     own = [0] * len(nodes)
     for n in range(len(nodes)):
         s = stats.get(n)
         if s and not furniture[n]:
-            turning = s["pages"] >= ENOUGH_PAGES and s["recurring"] >= RECURRING_SHARE * s["chars"]
+            turning = (
+                n not in inside
+                and s["pages"] >= ENOUGH_PAGES
+                and s["recurring"] >= RECURRING_SHARE * s["chars"]
+                and s["kinds"] <= FEW_TEXTS * s["pages"]
+            )
             own[n] = -1 if turning else s["chars"]
     held = [max(0, c) for c in own]
     for node in reversed(nodes):
@@ -165,7 +181,7 @@ def _own_rules(root: html_tree.Node, found: list[tuple[int, str]]) -> list[int]:
     """The slots to keep where a page has no host's rules: by its own text."""
     stats: dict[int, dict] = {}
     for n, t in found:
-        s = stats.setdefault(n, {"pages": 1, "recurring": 0, "chars": 0})
+        s = stats.setdefault(n, {"pages": 1, "kinds": 0, "recurring": 0, "chars": 0})
         s["chars"] += len(t)
     return keep_slots(root, stats)
 
@@ -244,13 +260,15 @@ def extract_main_text(
     )
     hosts = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     constant = (F.col("pages") >= ENOUGH_PAGES) & (F.col("on") >= CONSTANT_SHARE * F.col("pages"))
+    recurs = F.col("on") >= F.greatest(F.lit(RECURS_ON), RECURS_SHARE * F.col("pages"))
     slots = (
         counted.join(hosts, "host")
         .groupBy("host", "slot")
         .agg(
             F.max("pages").alias("pages"),
             F.sum("chars").alias("chars"),
-            F.sum(F.when(F.col("on") >= RECURS_ON, F.col("chars")).otherwise(0)).alias("recurring"),
+            F.count(F.lit(1)).alias("kinds"),
+            F.sum(F.when(recurs, F.col("chars")).otherwise(0)).alias("recurring"),
             F.collect_list(F.when(constant, F.col("text"))).alias("constant"),
         )
     )

@@ -58,6 +58,32 @@ def test_a_wrapper_without_names(spark):
     assert {got[100 + i] for i in range(200)} == {got[0]}
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_limited_vocabulary_is_kept_on_small_and_large_hosts(spark, tag):
+    """Bylines of 20 authors and passages that pages share, on hosts of 20 and 5,000 pages."""
+    rows = []
+    for pages in (20, 5000):
+        for i in range(pages):
+            text = f"<h2>By author {i % 20}</h2><p>Shared passage {i % 20}, told at length.</p><section>Page {i} alone has this.</section>"
+            rows.append((i, f"http://host{pages}.example/{i}", f"<body><{tag} class=text>{text}</{tag}><div class=tip><div>Tip {i % 2}</div></div></body>"))
+    got = {(r["page_id"], r["url"]): r["text"] for r in extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for pages in (20, 5000):
+        for i in range(pages):
+            want = f"By author {i % 20} Shared passage {i % 20}, told at length. Page {i} alone has this."
+            assert got[(i, f"http://host{pages}.example/{i}")] == want
+
+
+def test_near_copies_keep_their_paragraphs(spark):
+    """Pages that differ in one paragraph, 95 of 100: one-off paragraphs of the same slot stay on all."""
+    rows, want = [], {}
+    for i in range(100):
+        shared = [f"Passage {i % 3} number {j} that many pages share." for j in range(12)] if i < 95 else []
+        texts = [*shared, f"Own {i}."]
+        rows.append((i, "http://site.example/x", "<body><div class=text>" + "".join(f"<p>{t}</p>" for t in texts) + "</div></body>"))
+        want[i] = " ".join(texts)
+    assert {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
 def test_title_and_intro_beside_the_body(spark):
     rows, want = [], {}
     for i in range(30):
