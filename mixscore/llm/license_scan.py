@@ -9,6 +9,9 @@ prediction counts only if it is confident and its template confirms it: the
 words of one of the family's phrases have to stand in the paragraph, or the
 paragraph has to be a piece of the template.
 
+A paragraph is scored whole and, where that finds nothing, by overlapping windows
+of its words, so prose around a statement doesn't hide it.
+
 Paragraphs are read as bytes in numpy; each word costs two look-ups in a table
 of weights, so whole documents are scanned where they lie and only findings
 leave a task.
@@ -90,6 +93,9 @@ FEATURES = 1 << 14
 CONFIDENT = 0.5
 CONFIRMED = 0.8
 
+#: Words in the windows of a longer paragraph, and the step from one to the next; phrases have up to 25 words.
+WINDOWS = ((8, 1), (16, 3), (32, 7))
+
 _SHINGLE = 2
 _FOUND = "doc_id long, paragraph long, family string, probability double, similarity double, text string"
 
@@ -137,6 +143,38 @@ def logits(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercept
     return out + intercepts
 
 
+def window_candidates(
+    data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercepts: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Windows likelier a licence than unknown: paragraph, first word, end, family, probability; likeliest first."""
+    words, pairs, begin = _features(data, offsets)
+    count = np.diff(begin)
+    sums = np.zeros((len(words) + 1, weights.shape[1]))
+    np.cumsum(weights[words], axis=0, out=sums[1:])
+    joint = np.zeros((len(pairs) + 1, weights.shape[1]))
+    np.cumsum(weights[pairs], axis=0, out=joint[1:])
+    out = []
+    for width, step in WINDOWS:
+        longer = np.flatnonzero(count > width)
+        spare = count[longer] - width
+        windows = -(-spare // step) + 1
+        line = np.repeat(longer, windows)
+        nth = np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows)
+        a = begin[line] + np.minimum(nth * step, np.repeat(spare, windows))
+        for low in range(0, len(a), 1 << 16):
+            some, rows = a[low : low + (1 << 16)], line[low : low + (1 << 16)]
+            z = sums[some + width] - sums[some] + joint[some + width - 1] - joint[some]
+            z = z / np.sqrt(2.0 * width) + intercepts
+            likely = np.flatnonzero(z.argmax(1) < z.shape[1] - 1)
+            p = _softmax(z[likely])
+            sure = p.max(1) >= CONFIDENT
+            at = likely[sure]
+            out.append((rows[at], some[at], some[at] + width, p[sure].argmax(1), p[sure].max(1)))
+    line, a, b, family, p = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(5))
+    order = np.lexsort((a, -p, line))
+    return line[order], a[order], b[order], family[order], p[order]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
@@ -215,7 +253,9 @@ class Confirmation:
 
     def similarity(self, family: str, text: str) -> float:
         """The best share of a phrase that stands in the text, or of the text that stands in the template."""
-        own = self._set(text)
+        return self.compare(family, self._set(text))
+
+    def compare(self, family: str, own: set) -> float:
         if not own or family not in self.families:
             return 0.0
         whole = len(own & self.families[family]) / len(own)
@@ -236,13 +276,26 @@ def _scan(names: list[str], weights: np.ndarray, intercepts: np.ndarray):
                     continue
                 p = _softmax(logits(data, lines, weights, intercepts))
                 best = p.argmax(1)
-                found = []
+                found, done = [], set()
                 ids = part.column(part.schema.get_field_index("doc_id"))
                 for i in np.flatnonzero((best < len(names) - 1) & (p.max(1) >= CONFIDENT)).tolist():
                     text = data[lines[i] : lines[i + 1]].tobytes().decode("utf-8", "replace").strip("\n")
                     similarity = confirm.similarity(names[best[i]], text)
                     if similarity >= CONFIRMED:
+                        done.add(i)
                         found.append((ids[row[i]].as_py(), int(number[i]), names[best[i]], float(p[i, best[i]]), similarity, text))
+                windows = window_candidates(data, lines, weights, intercepts)
+                if len(windows[0]):
+                    hashes, _ = bytetext.words(_plain(data), lines)
+                for i, a, b, family, sure in zip(*(w.tolist() for w in windows)):
+                    if i in done:
+                        continue
+                    own = set(bytetext.shingle_sets(hashes[a:b], np.array([0, b - a]), _SHINGLE)[0].tolist())
+                    similarity = confirm.compare(names[family], own)
+                    if similarity >= CONFIRMED:
+                        done.add(i)
+                        text = data[lines[i] : lines[i + 1]].tobytes().decode("utf-8", "replace").strip("\n")
+                        found.append((ids[row[i]].as_py(), int(number[i]), names[family], sure, similarity, text))
                 if found:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
                     yield pa.RecordBatch.from_arrays(
@@ -258,7 +311,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A paragraph is a line, numbered from 0. ``probability`` is the calibrated
     one of its family against the others and unknown, ``similarity`` the
-    confirming comparison with the template.
+    confirming comparison with the template. Both are the whole paragraph's, or
+    else those of the likeliest of its windows that is confirmed.
 
     Defined cases: null and empty texts state none. Rows that repeat an id are
     scanned each; a null id stays null. Equal paragraphs of a document are each

@@ -241,6 +241,18 @@ def test_every_template_is_found_and_prose_is_not(spark):
     assert got == {(i, 1): f for i, (f, _) in enumerate(phrases)}
 
 
+def test_every_template_is_found_amid_300_words(spark, sf_dir):
+    prose = " ".join(r["text"].replace("\n", " ") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(40).collect()).split()
+    for lines in license_scan.TEMPLATES.values():
+        prose = [w for w in prose if not any(w in line.split() for line in lines)]
+    phrases = [(f, p) for f, ps in license_scan.TEMPLATES.items() for p in ps]
+    around = [(" ".join(prose[40 * i : 40 * i + 150]), " ".join(prose[40 * i + 150 : 40 * i + 300])) for i in range(len(phrases))]
+    rows = [(i, f"{a} {p} {b}") for i, ((_, p), (a, b)) in enumerate(zip(phrases, around))]
+    rows += [(100 + i, f"{a} {b}") for i, (a, b) in enumerate(around)]
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: f for i, (f, _) in enumerate(phrases)}
+
+
 def test_licence_defined_cases(spark):
     mit = "Released under the MIT License."
     rows = [(1, None, 1), (2, "", 1), (3, f"\n{mit}\n\n{mit}", 1), (None, mit, 1), (4, mit, 1), (4, mit, 1), (5, "a b c\n" * 50000 + mit.upper(), 1)]
