@@ -17,6 +17,8 @@ from mixscore.llm.near_dedup import near_duplicates
 from mixscore.llm.neighbours import nearest_neighbours
 from mixscore.llm.packing import pack_documents
 from mixscore.llm.quality import judge_quality
+from mixscore.llm.spelling import counted_runs, group_variants
+from mixscore.llm.sql import OP12
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +88,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = counted_runs(_documents(spark, sf_dir), least=6, spoil=199).where(F.col("n") >= 5)
+    return group_variants(words, shortest=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -166,4 +174,5 @@ ORACLE: dict[str, str] = {
                t.doc_id <= coalesce(low, t.doc_id) AS kept
         FROM tokens t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN lowest w ON w.doc_id = t.doc_id
     """,
+    "op12_spelling_variants": OP12,
 }
