@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixscore.llm.conversation_trie import branched, ordered_turns, prefix_trie
 from mixscore.llm.decontamination import contained_items
 from mixscore.llm.extraction import extract_main_text
 from mixscore.llm.language_id import identify_languages
@@ -18,7 +19,7 @@ from mixscore.llm.neighbours import nearest_neighbours
 from mixscore.llm.packing import pack_documents
 from mixscore.llm.quality import judge_quality
 from mixscore.llm.spelling import counted_runs, group_variants
-from mixscore.llm.sql import OP12
+from mixscore.llm.sql import OP12, OP13
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(words, shortest=6)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = ordered_turns(_table(spark, sf_dir, "conversations"))
+    kept = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie(*branched(turns, block=5, most=8, kept=kept))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -175,4 +183,5 @@ ORACLE: dict[str, str] = {
         FROM tokens t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN lowest w ON w.doc_id = t.doc_id
     """,
     "op12_spelling_variants": OP12,
+    "op13_conversation_trie": OP13,
 }

@@ -52,3 +52,38 @@ OP12 = rf"""
         )
         SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
     """
+
+OP13 = rf"""
+        WITH {CRC_TABLE}, turns AS (
+            SELECT conv_id, list((coalesce(role, ''), coalesce(text, ''))
+                ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), kept AS (
+            SELECT conv_id, own, {crc32("conv_id::VARCHAR")} % 9 AS h FROM turns, crc
+        ), rebuilt AS (
+            SELECT k.conv_id, CASE WHEN b.own IS NULL THEN k.own[h + 1:] ELSE b.own[1:h] || k.own[h + 1:] END AS seq
+            FROM kept k LEFT JOIN turns b ON b.conv_id = k.conv_id - k.conv_id % 5
+        ), members AS (
+            SELECT conv_id, seq, d, seq[1:d] AS prefix
+            FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT prefix, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   CASE WHEN any_value(d) = 0 THEN 0 ELSE (count(*) - 1) * strlen(any_value(prefix)[-1][2]) END AS saved,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = d), '') AS ends
+            FROM members GROUP BY prefix
+        ), linked AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, p.prefix AS above
+            FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+        ), children AS (
+            SELECT above, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY above
+        ), counted AS (
+            SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c ON c.above = l.prefix
+        ), below AS (
+            SELECT prefix[1:u] AS top, saved, n_children
+            FROM (SELECT prefix, saved, n_children, unnest(range(0, depth + 1)) AS u FROM counted)
+        ), sums AS (
+            SELECT top, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM below GROUP BY top
+        )
+        SELECT c.conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+        FROM counted c JOIN sums s ON s.top = c.prefix
+    """
