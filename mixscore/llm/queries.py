@@ -20,6 +20,7 @@ from mixscore.llm.packing import pack_documents
 from mixscore.llm.quality import judge_quality
 from mixscore.llm.spelling import counted_runs, group_variants
 from mixscore.llm.sql import OP12, OP13
+from mixscore.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +90,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_toxicity(docs, _table(spark, sf_dir, "labels"), held_out=_crc_remainder(4) == 2)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = counted_runs(_documents(spark, sf_dir), least=6, spoil=199).where(F.col("n") >= 5)
     return group_variants(words, shortest=6)
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_trie": op13_conversation_trie,
 }

@@ -242,6 +242,8 @@ def near_words(words: DataFrame, shortest: int, rare: int = RARE) -> DataFrame:
     )
     deleted = rest.select(
         "key", "word", "rest", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("at")
+    ).where(  # of a run of equal letters, the first stands for all
+        (F.col("at") <= 1) | (F.expr("substring(rest, at, 1)") != F.expr("substring(rest, at - 1, 1)"))
     ).select(
         # 0 deletes nothing
         F.xxhash64(

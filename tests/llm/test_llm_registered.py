@@ -13,6 +13,11 @@ CONTRACTS = {
     "op8_near_dedup": {"doc_id", "n_shingles", "component_id", "kept"},
     "op9_neighbours": {"query_id", "rank", "vec_id", "score"},
     "op10_html_extraction": {"page_id", "url", "text", "n_chars"},
+    "op11_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op12_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op13_conversation_trie": {
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+    },
 }
 
 
@@ -32,9 +37,9 @@ def test_columns_of_the_contracts(spark, sf_dir, name):
     assert CONTRACTS[name] <= set(QUERIES[name](spark, sf_dir).columns)
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = contract.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(ORACLE) <= set(contract.oracle_sql())
 
 
