@@ -1,15 +1,20 @@
 """Keyword lookup against a property dictionary, as row-local expressions.
 
-Nothing here shuffles, joins or leaves the JVM, so the same expressions serve
-batch and streaming DataFrames. Functions that read an intermediate result
-take the name of its column: it is then computed once per row.
+Nothing here shuffles or joins, so the same expressions serve batch and
+streaming DataFrames. Short dictionaries never leave the JVM; long ones, whose
+keys would be tried one by one, are matched by an automaton (see `automaton`).
+Functions that read an intermediate result take the name of its column: it is
+then computed once per row.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixscore.functions.automaton import matches
 from mixscore.functions.text import numbers, quoted, string
 from mixscore.sources.dictionary import PropertyDictionary
 
@@ -17,6 +22,9 @@ from mixscore.sources.dictionary import PropertyDictionary
 # are several of them under a coalesce, which stops as well.
 CASE_KEYS = 64
 
+# Keys from which on the automaton is faster than trying them one by one.
+AUTOMATON_KEYS = 256
+
 
 def normalise_key(name: Column) -> Column:
     """Text of the key column; null and ``''`` become ``'Unknown'``.
@@ -33,16 +41,30 @@ def _match(subject: str, dictionary: PropertyDictionary) -> str:
     return blocks[0] if len(blocks) == 1 else f"coalesce({', '.join(blocks)})"
 
 
+def _by_automaton(dictionary: PropertyDictionary) -> bool:
+    return dictionary.match == "longest" or len(dictionary.keys) > AUTOMATON_KEYS
+
+
+def _literal(values: list, kind: str) -> str:
+    """SQL text of a long constant array: one JSON text, read once when the query is planned."""
+    return f"from_json({string(json.dumps(values))}, 'array<{kind}>')"
+
+
 def first_match(lowered: str, dictionary: PropertyDictionary) -> Column:
     """Index of the first key, in dictionary order, contained in the lower-cased text; else null."""
+    if _by_automaton(dictionary):
+        return matches(F.col(quoted(lowered)), dictionary)["first"]
     return F.expr(_match(quoted(lowered), dictionary))
 
 
 def label_of(first: str, dictionary: PropertyDictionary) -> Column:
     """Key at an index of ``first_match``, or ``'Other'``."""
     # get, unlike element_at, keeps a null index null.
-    keys = ", ".join(string(k) for k in dictionary.keys)
-    return F.expr(f"coalesce(get(array({keys}), {quoted(first)}), 'Other')")
+    if len(dictionary.keys) > CASE_KEYS:
+        keys = _literal(list(dictionary.keys), "string")
+    else:
+        keys = "array(" + ", ".join(string(k) for k in dictionary.keys) + ")"
+    return F.expr(f"coalesce(get({keys}, {quoted(first)}), 'Other')")
 
 
 def with_main_label(
@@ -60,6 +82,8 @@ def mixture_hits(lowered: str, dictionary: PropertyDictionary) -> Column:
     Repeated parts repeat, unmatched and empty parts vanish. A text without a
     separator is no mixture and has none: its index is ``first_match``.
     """
+    if _by_automaton(dictionary):
+        return matches(F.col(quoted(lowered)), dictionary)["hits"]
     text = quoted(lowered)
     found = f"transform(split({text}, '/'), part -> {_match('part', dictionary)})"
     return F.expr(f"CASE WHEN contains({text}, '/') THEN sort_array(array_compact({found})) END")
@@ -72,7 +96,10 @@ def mixture_profile(first: str, hits: str, dictionary: PropertyDictionary) -> Co
     Without a match the default row is returned. A property missing for one of
     the parts is missing for the mixture.
     """
-    table = "array(" + ", ".join(numbers(row) for row in dictionary.rows) + ")"
+    if len(dictionary.keys) > CASE_KEYS:
+        table = _literal([list(row) for row in dictionary.rows], "array<double>")
+    else:
+        table = "array(" + ", ".join(numbers(row) for row in dictionary.rows) + ")"
     zeros = numbers([0.0] * len(dictionary.properties))
     f, h = quoted(first), quoted(hits)
     return F.expr(

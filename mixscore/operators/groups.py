@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixscore.operators.ranks import row_numbers
+
 # Ellipse half-axis in standard deviations, smallest group, palette length.
 ELLIPSE_SD = 1.7
 MIN_GROUP = 3
@@ -97,13 +99,19 @@ def _flatten(value: Column, noise: Column) -> Column:
     return F.when(value <= noise, 0.0).otherwise(value)
 
 
-def group_ordinals(df: DataFrame, group: str, row_id: str, cycle: int = PALETTE) -> DataFrame:
+def group_ordinals(
+    df: DataFrame, group: str, row_id: str, cycle: int = PALETTE, few_groups: bool = False
+) -> DataFrame:
     """Distinct non-null groups in order of first appearance, with a cyclic ordinal.
 
-    ``(group, first_row, ordinal, colour)``. The aggregation is distributed; the
-    ranking sees one row per group, so it suits labels, of which a dictionary
-    has a bounded number.
+    ``(group, first_row, ordinal, colour)``. Groups are ranked by ranges of
+    their first rows, so any column will do. ``few_groups`` ranks them in
+    one task instead, for labels, of which a dictionary has a bounded number.
     """
     first = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(row_id).alias("first_row"))
-    ordinal = (F.row_number().over(Window.orderBy("first_row")) - 1).cast("bigint")
-    return first.withColumn("ordinal", ordinal).withColumn("colour", F.col("ordinal") % cycle)
+    if few_groups:
+        ordinal = (F.row_number().over(Window.orderBy("first_row")) - 1).cast("bigint")
+        ranked = first.withColumn("ordinal", ordinal)
+    else:
+        ranked = row_numbers(first, "first_row", "ordinal")
+    return ranked.withColumn("colour", F.col("ordinal") % cycle)

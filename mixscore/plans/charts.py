@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscore.functions.scalars import component_name, fixed_text, vector_norm
+from mixscore.functions.scalars import component_name, fixed_text, vector_norm, with_default
 from mixscore.functions.text import quoted
 from mixscore.operators.decide import THRESHOLD, components_to, decision, flag_strong, headline, kaiser, weight_table
 from mixscore.operators.groups import group_ellipse, group_ordinals
@@ -77,7 +77,7 @@ def _points(model: ProfileModel, rows: DataFrame | None, names) -> DataFrame:
 def label_ordinals(model: ProfileModel) -> DataFrame:
     """Main labels in order of first appearance with their colour index."""
     firsts = model.profiles.select("Solvent_Main", F.col("first_row"))
-    return group_ordinals(firsts, "Solvent_Main", "first_row")
+    return group_ordinals(firsts, "Solvent_Main", "first_row", few_groups=True)
 
 
 def label_ellipses(model: ProfileModel) -> DataFrame:
@@ -90,11 +90,11 @@ def loading_vectors(spark: SparkSession, fit: PcaFit) -> DataFrame:
     return loadings_wide(spark, fit, 2).withColumn("strength", vector_norm(F.col("PC1"), F.col("PC2")))
 
 
-def loading_arrows(spark: SparkSession, fit: PcaFit) -> DataFrame:
-    """Arrow tips, label anchors, and the strong loadings of the loading plot."""
+def loading_arrows(spark: SparkSession, fit: PcaFit, labels: dict[str, str] = DISPLAY_LABELS) -> DataFrame:
+    """Arrow tips, label anchors and texts, and the strong loadings of the loading plot."""
     x, y = F.col("PC1"), F.col("PC2")
     return flag_strong(loading_vectors(spark, fit), F.col("strength")).select(
-        "ord", "feature", "strength", "is_strong",
+        "ord", "feature", with_default(labels, F.col("feature")).alias("label"), "strength", "is_strong",
         (x * ARROW_TIP).alias("tip_x"), (y * ARROW_TIP).alias("tip_y"),
         (x * ARROW_LABEL).alias("label_x"), (y * ARROW_LABEL).alias("label_y"),
     )
@@ -139,11 +139,13 @@ def score_extent(model: ProfileModel) -> tuple[float, float]:
     return row["x"], row["y"]
 
 
-def biplot_arrows(spark: SparkSession, fit: PcaFit, extent: tuple[float, float]) -> DataFrame:
-    """Loadings stretched to the extent of the scores."""
+def biplot_arrows(
+    spark: SparkSession, fit: PcaFit, extent: tuple[float, float], labels: dict[str, str] = DISPLAY_LABELS
+) -> DataFrame:
+    """Loadings stretched to the extent of the scores, with the texts at their ends."""
     x, y = F.col("PC1") * F.lit(extent[0]), F.col("PC2") * F.lit(extent[1])
     return loading_vectors(spark, fit).select(
-        "ord", "feature",
+        "ord", "feature", with_default(labels, F.col("feature")).alias("label"),
         (x * BIPLOT_TIP).alias("tip_x"), (y * BIPLOT_TIP).alias("tip_y"),
         (x * BIPLOT_LABEL).alias("label_x"), (y * BIPLOT_LABEL).alias("label_y"),
     )
@@ -172,10 +174,10 @@ def summary_charts(model: ProfileModel, labels: dict[str, str] = DISPLAY_LABELS)
         "axis_labels": axis_labels(variance),
         "label_colours": label_ordinals(model),
         "label_ellipses": label_ellipses(model),
-        "loading_arrows": loading_arrows(spark, fit),
+        "loading_arrows": loading_arrows(spark, fit, labels),
         "loadings_heatmap": loadings_heatmap(spark, fit, labels=labels),
         "cumulative_curve": cumulative_curve(variance, components_to(fit, threshold), threshold),
         "weight_bars": weight_bars(model, labels),
         "eigenvalue_bars": eigenvalue_bars(variance),
-        "biplot_arrows": biplot_arrows(spark, fit, score_extent(model)),
+        "biplot_arrows": biplot_arrows(spark, fit, score_extent(model), labels),
     }

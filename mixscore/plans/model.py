@@ -175,7 +175,7 @@ def key_scores(model: ProfileModel) -> PropertyDictionary | None:
     z = (np.array(values, dtype=float).T - m.mean) * scale
     scores = z @ np.nan_to_num(model.fit.loadings[:, : len(names)])
     return PropertyDictionary.from_rows(
-        names, [(k, *map(float, s)) for k, s in zip(d.keys, scores)], d.default_key
+        names, [(k, *map(float, s)) for k, s in zip(d.keys, scores)], d.default_key, d.match
     )
 
 

@@ -63,21 +63,30 @@ DISPLAY_LABELS = {
 }
 
 
+#: Keys that a dictionary read from a table may hold.
+MOST_KEYS = 100_000
+
+
 @dataclass(frozen=True)
 class PropertyDictionary:
     """Ordered keys with one value per property.
 
     A key is matched as a lower-cased substring of one ``/``-separated part, so
     keys must not hold a separator or blank edges. ``default_key`` names the
-    row used when nothing matches.
+    row used when nothing matches. With ``match="first"`` every key inside a part
+    counts and the first in dictionary order wins; with ``"longest"`` a key does
+    not count where a longer one covers it, so ``methanol`` is no ``ethanol``.
     """
 
     properties: tuple[str, ...]
     keys: tuple[str, ...]
     rows: tuple[tuple[float | None, ...], ...]
     default_key: str
+    match: str = "first"
 
     def __post_init__(self) -> None:
+        if self.match not in ("first", "longest"):
+            raise ValueError(f"match must be 'first' or 'longest', not {self.match!r}")
         if len(self.keys) != len(self.rows) or len(set(self.keys)) != len(self.keys):
             raise ValueError("dictionary needs one row per distinct key")
         for key, row in zip(self.keys, self.rows):
@@ -89,7 +98,7 @@ class PropertyDictionary:
             raise ValueError(f"default key {self.default_key!r} is not in the dictionary")
 
     @classmethod
-    def from_rows(cls, properties, rows, default_key: str) -> PropertyDictionary:
+    def from_rows(cls, properties, rows, default_key: str, match: str = "first") -> PropertyDictionary:
         """Build from ``(key, value, value, ...)`` tuples; ``None``/NaN means missing."""
         return cls(
             properties=tuple(properties),
@@ -98,8 +107,23 @@ class PropertyDictionary:
                 tuple(None if v is None or math.isnan(v) else float(v) for v in r[1:]) for r in rows
             ),
             default_key=default_key,
+            match=match,
         )
 
+    @classmethod
+    def from_frame(
+        cls, df: DataFrame, default_key: str, key: str = "key", order: str = "ord", match: str = "first"
+    ) -> PropertyDictionary:
+        """Build from a table: keys in the order of one column, a property for each other column.
+
+        The table is collected, so it is counted first: over `MOST_KEYS` keys are an error.
+        """
+        if df.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+            raise ValueError(f"a dictionary holds at most {MOST_KEYS} keys")
+        properties = [c for c in df.columns if c not in (key, order)]
+        rows = df.orderBy(order).select(key, *properties).collect()
+        return cls.from_rows(properties, [tuple(r) for r in rows], default_key, match)
+
     @property
     def default_index(self) -> int:
         return self.keys.index(self.default_key)

@@ -99,32 +99,32 @@ _FILE, _PLACE, _FIRST = "__scan_file", "__scan_place", "__scan_first"
 # Files or splits whose numbers may be broadcast: about 200 bytes each.
 BROADCAST_FILES = 50_000
 
-# Rows that one split may hold: as many as Spark counts within a partition.
-SPLIT_ROWS = 1 << 33
+# Rows that one partition may hold: as many as Spark counts within it.
+PARTITION_ROWS = 1 << 33
 
 
 def with_row_id(df: DataFrame, fmt: str) -> DataFrame:
-    """Prepend ``row_id``: ascending by file name, then by position in the file. Nothing is written.
+    """Prepend ``row_id``: gapless from 0 by file name, then by position in the file. Nothing is written.
 
-    Parquet rows know their position, so ids are gapless from 0. In other
-    formats ids ascend with gaps: splits are numbered by file and offset, and a
-    row adds its position in the scan. They stay the same as long as the files
-    are split alike, which file sizes and the session's settings decide.
+    Parquet rows know their position. In other formats rows are counted for each
+    split of a file, which takes a pass that parses no column; splits are then
+    put in order of file and offset. However the files are split, the ids are the same.
     """
     if fmt == "parquet":
         df = df.select(F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE), "*")
         keys = [_FILE]
-        sizes = df.groupBy(_FILE).agg((F.max(_PLACE) + 1).alias("__scan_rows"))
-        before = Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-        firsts = sizes.select(_FILE, F.coalesce(F.sum("__scan_rows").over(before), F.lit(0)).alias(_FIRST))
+        sizes = df.groupBy(_FILE).agg((F.max(_PLACE) + 1).alias("__scan_rows"), F.lit(0).alias("__scan_start"))
     else:
         keys = [_FILE, "__scan_split"]
         df = df.select(
             F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(keys[1]),
-            F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1)).alias(_PLACE), "*",
+            F.monotonically_increasing_id().bitwiseAND(F.lit(PARTITION_ROWS - 1)).alias(_PLACE), "*",
         )
-        number = F.row_number().over(Window.orderBy(*keys)) - 1  # one row for each split
-        firsts = df.select(*keys).distinct().select(*keys, (number * F.lit(SPLIT_ROWS)).alias(_FIRST))
+        # a partition reads its splits one after the other and counts on
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__scan_rows"), F.min(_PLACE).alias("__scan_start"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file or split
+    first = F.coalesce(F.sum("__scan_rows").over(before), F.lit(0)) - F.col("__scan_start")
+    firsts = sizes.select(*keys, first.alias(_FIRST))
     if len(df.inputFiles()) <= BROADCAST_FILES:
         firsts = F.broadcast(firsts)
     own = [_col(c) for c in df.columns if c not in (*keys, _PLACE)]

@@ -12,7 +12,7 @@ from mixscore.operators.decide import CANDIDATES, FLOOR, SPREAD, THRESHOLD, TIE
 from mixscore.plans.report import PASS_THROUGH
 from mixscore.sources.dictionary import DISPLAY_LABELS, FEATURES, INITIAL_WEIGHTS, SOLVENTS
 from mixscore_checks.queries import LINE_WEIGHTS
-from mixscore_checks.views import LINE_FEATURES_4, QUANTITIES, SOLVENT_TEXTS
+from mixscore_checks.views import LINE_FEATURES_4, LINE_TEXT, PART_KEY, QUANTITIES, SOLVENT_TEXTS
 
 _P = len(FEATURES)
 _REAL = 9  # components with a direction: ten reachable rows span nine dimensions
@@ -218,6 +218,23 @@ ORACLE = {
         "SELECT source, id, coalesce(arg_min(key, ord), 'Other') AS label FROM texts "
         "LEFT JOIN dict ON contains(lower(t), lower(key)) GROUP BY source, id"
     ),
+    "q01d_long_dictionary": (
+        f"WITH pkeys AS (SELECT p_partkey AS ord, {PART_KEY} AS key, lower({PART_KEY}) AS low, p_size AS size, p_retailprice AS price FROM part), "
+        f"texts AS (SELECT l_orderkey, l_linenumber, l_partkey, {LINE_TEXT} AS t FROM lineitem JOIN part ON p_partkey = l_partkey), "
+        "parts AS (SELECT t, unnest(range(len(string_split(t, '/')))) AS pos, lower(unnest(string_split(t, '/'))) AS part FROM (SELECT DISTINCT t FROM texts)), "
+        "hits AS (SELECT t, pos, min(ord) AS ord FROM parts JOIN pkeys ON contains(part, low) GROUP BY t, pos), "
+        "found AS (SELECT t, arg_min(key, ord) AS label, avg(size) AS size, avg(price) AS price FROM hits JOIN pkeys USING (ord) GROUP BY t), "
+        "plain AS (SELECT arg_min(size, ord) AS size, arg_min(price, ord) AS price FROM pkeys) "
+        f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, coalesce(label, 'Other') AS label, "
+        f"{_r('coalesce(found.size, plain.size)', 'size')}, {_r('coalesce(found.price, plain.price)', 'price')} "
+        "FROM texts LEFT JOIN found USING (t), plain"
+    ),
+    "q01e_longest_match": (
+        f"WITH {MEAS}, {DICT}, found AS (SELECT row_id, unnest(regexp_extract_all(lower(k), "
+        + _text("|".join(sorted((k.lower() for k in SOLVENTS.keys), key=len, reverse=True)))
+        + ")) AS key FROM keyed) SELECT k.row_id, coalesce(arg_min(d.key, ord), 'Other') AS label FROM keyed k "
+        "LEFT JOIN found f USING (row_id) LEFT JOIN dict d ON lower(d.key) = f.key GROUP BY k.row_id"
+    ),
     "q02_mixture_profile": (
         f'WITH {MEAS}, {DICT}, {LABELLED}, {PROFILES} SELECT row_id, label AS "Solvent_Main", '
         + ", ".join(_r(p) for p in SOLVENTS.properties) + " FROM prof JOIN labelled USING (row_id)"
@@ -309,8 +326,8 @@ ORACLE = {
     "q15_loading_strength": (
         f"{FIT}, {WIDE}, s AS (SELECT *, sqrt(pc1 * pc1 + pc2 * pc2) AS strength FROM wide), "
         "q AS (SELECT quantile_cont(strength, 0.67) AS cut FROM s) "
-        f"SELECT CAST(ord AS BIGINT) AS ord, feature, {_r('strength')}, strength >= cut AS is_strong, "
-        f"{_r('pc1 * 0.92', 'tip_x')}, {_r('pc2 * 0.92', 'tip_y')}, {_r('pc1 * 1.03', 'label_x')}, {_r('pc2 * 1.03', 'label_y')} FROM s, q"
+        f", {LABELS} SELECT CAST(ord AS BIGINT) AS ord, feature, label, {_r('strength')}, strength >= cut AS is_strong, "
+        f"{_r('pc1 * 0.92', 'tip_x')}, {_r('pc2 * 0.92', 'tip_y')}, {_r('pc1 * 1.03', 'label_x')}, {_r('pc2 * 1.03', 'label_y')} FROM s JOIN labels_of USING (feature), q"
     ),
     "q16_weight_table": (
         f"{FIT}, {_SHARE}, {_candidates(INITIAL_WEIGHTS.values())}, {WEIGHTS}, {LABELS}, {_USED} "
@@ -344,6 +361,11 @@ ORACLE = {
     "q18_group_ordinal": (
         f'WITH {MEAS}, {DICT}, {LABELLED}, {_COLOURS} SELECT label AS "Solvent_Main", first_row, ordinal, ordinal % 12 AS colour FROM ordinals'
     ),
+    "q18b_group_ordinal_orders": (
+        "WITH f AS (SELECT l_orderkey, min(l_partkey * 1000000000 + l_orderkey * 10 + l_linenumber) AS first_row FROM lineitem GROUP BY 1) "
+        "SELECT l_orderkey, first_row, row_number() OVER (ORDER BY first_row) - 1 AS ordinal, "
+        "(row_number() OVER (ORDER BY first_row) - 1) % 12 AS colour FROM f"
+    ),
     "q19_loadings_wide": (
         f'{FIT}, {WIDE}, {LABELS} SELECT label AS "Property", ' + ", ".join(_r(f"pc{j}", f"PC{j}") for j in range(1, 6))
         + " FROM wide JOIN labels_of USING (feature)"
@@ -354,9 +376,9 @@ ORACLE = {
         + " FROM wide JOIN labels_of USING (feature)"
     ),
     "q20_biplot": (
-        f"{ROWS}, {WIDE}, ext AS (SELECT max(abs(pc1)) AS ex, max(abs(pc2)) AS ey FROM scores) "
-        f"SELECT CAST(ord AS BIGINT) AS ord, feature, {_r('pc1 * ex * 0.55', 'tip_x')}, {_r('pc2 * ey * 0.55', 'tip_y')}, "
-        f"{_r('pc1 * ex * 0.62', 'label_x')}, {_r('pc2 * ey * 0.62', 'label_y')} FROM wide, ext"
+        f"{ROWS}, {WIDE}, {LABELS}, ext AS (SELECT max(abs(pc1)) AS ex, max(abs(pc2)) AS ey FROM scores) "
+        f"SELECT CAST(ord AS BIGINT) AS ord, feature, label, {_r('pc1 * ex * 0.55', 'tip_x')}, {_r('pc2 * ey * 0.55', 'tip_y')}, "
+        f"{_r('pc1 * ex * 0.62', 'label_x')}, {_r('pc2 * ey * 0.62', 'label_y')} FROM wide JOIN labels_of USING (feature), ext"
     ),
     "q20b_biplot_points": f"{ROWS} SELECT row_id, {_r('pc1', 'PC1')}, {_r('pc2', 'PC2')} FROM scores",
     "q21_scree": (
@@ -397,6 +419,9 @@ ORACLE["q27_scanned_rows"] = (
     f'WITH {MEAS} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, "Name", "Solvent", '
     + ", ".join(_r(f'"{c}"', c) for c in QUANTITIES) + " FROM meas"
 )
+ORACLE["q27c_scanned_csv_rows"] = (
+    f'WITH {MEAS} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, "Name", "Solvent", {_r('"Ex(nm)"', "Ex(nm)")} FROM meas'
+)
 ORACLE["q27b_scanned_csv"] = (
     f'WITH {MEAS}, g AS (SELECT "Solvent", count(*) AS n, sum("Ex(nm)") AS ex_nm, min(row_id) AS first_row FROM meas '
     f'WHERE "Solvent" IS NOT NULL GROUP BY "Solvent") SELECT "Solvent", n, {_r("ex_nm")}, '

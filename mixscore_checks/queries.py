@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,16 @@ from mixscore.sources.dictionary import (
 )
 from mixscore.sources.measurements import scan_measurements
 from mixscore_checks.session import work_folder
-from mixscore_checks.views import LINE_FEATURES, LINE_FEATURES_4, gappy_lines, lines, measurements, table
+from mixscore_checks.views import (
+    LINE_FEATURES,
+    LINE_FEATURES_4,
+    gappy_lines,
+    line_texts,
+    lines,
+    measurements,
+    part_dictionary,
+    table,
+)
 
 # Weights of the three-feature sweep over line items.
 LINE_WEIGHTS = {"l_quantity": 1.5, "l_extendedprice": 0.05, "l_discount": 0.7}
@@ -87,6 +98,21 @@ def mixture_profile(spark, sf_dir):
     )
 
 
+def long_dictionary(spark, sf_dir):
+    """A dictionary with a key for each part over the texts of all line items."""
+    enriched = enrich(line_texts(spark, sf_dir), part_dictionary(spark, sf_dir), "t")
+    return rounded(
+        enriched.select("l_orderkey", "l_linenumber", "l_partkey", F.col("Solvent_Main").alias("label"), "size", "price")
+    )
+
+
+def longest_match(spark, sf_dir):
+    """Labels where a key inside a longer one's occurrence doesn't count."""
+    dictionary = replace(SOLVENTS, match="longest")
+    rows = measurements(spark, sf_dir).select("row_id", "Solvent")
+    return with_main_label(rows, normalise_key(F.col("Solvent")), dictionary, "label").drop("Solvent")
+
+
 # --- preparation ------------------------------------------------------------
 
 def impute_mean(spark, sf_dir):
@@ -263,6 +289,12 @@ def collinear_ellipses(spark, sf_dir):
     return rounded(groups.group_ellipse(rows, "l_orderkey", "x", "y"))
 
 
+def order_ordinals(spark, sf_dir):
+    """Orders by the line number, part and supplier they first appear with: a rank of very many groups."""
+    rows = lines(spark, sf_dir).withColumn("place", F.expr("l_partkey * 1000000000 + l_orderkey * 10 + l_linenumber"))
+    return groups.group_ordinals(rows, "l_orderkey", "place")
+
+
 def label_ordinals(spark, sf_dir):
     return charts.label_ordinals(_model(spark, sf_dir))
 
@@ -344,7 +376,7 @@ def scanned_rows(spark, sf_dir):
 
 
 def scanned_csv(spark, sf_dir):
-    """The same from CSV, whose missing cells are texts; ids have gaps, so their order is shown."""
+    """The same from CSV, whose missing cells are texts."""
     folder = work_folder(spark)
     ordered = measurements(spark, sf_dir).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
     ordered.drop("row_id").write.option("header", True).option("nullValue", "NA").csv(folder)
@@ -354,6 +386,15 @@ def scanned_csv(spark, sf_dir):
     return rounded(counts.join(firsts, "Solvent"))
 
 
+def scanned_csv_rows(spark, sf_dir):
+    """Row ids of CSV files: gapless, in the order of files and lines."""
+    folder = work_folder(spark)
+    ordered = measurements(spark, sf_dir).repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    ordered.drop("row_id").write.option("header", True).option("nullValue", "NA").csv(folder)
+    rows = rounded(scan_measurements(spark, folder, fmt="csv", add_row_id=True))
+    return rows.select("row_id", "Name", "Solvent", "`Ex(nm)`")
+
+
 def _written(name):
     """One of the five tables that ``run`` writes, read back."""
 
@@ -381,6 +422,8 @@ QUERIES = {
     "q01_normalise_and_label": normalise_and_label,
     "q01b_label_counts": label_counts,
     "q01c_label_texts": label_texts,
+    "q01d_long_dictionary": long_dictionary,
+    "q01e_longest_match": longest_match,
     "q02_mixture_profile": mixture_profile,
     "q03_impute_mean": impute_mean,
     "q04_standardise": standardise,
@@ -415,6 +458,7 @@ QUERIES = {
     "q17d_group_ellipse_raw": raw_ellipses,
     "q17e_group_ellipse_collinear": collinear_ellipses,
     "q18_group_ordinal": label_ordinals,
+    "q18b_group_ordinal_orders": order_ordinals,
     "q19_loadings_wide": loadings_wide,
     "q19b_loadings_heatmap": loadings_heatmap,
     "q20_biplot": biplot_arrows,
@@ -429,6 +473,7 @@ QUERIES = {
     "q26_display_labels": display_labels,
     "q27_scanned_rows": scanned_rows,
     "q27b_scanned_csv": scanned_csv,
+    "q27c_scanned_csv_rows": scanned_csv_rows,
     "q28_written_enriched": _written("enriched"),
     "q28b_written_plot_data": _written("plot_data"),
     "q28c_written_variance": _written("variance"),

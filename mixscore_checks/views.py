@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixscore.sources.dictionary import PropertyDictionary
+
 # Solvent text of a part: entry p_partkey % 16; the empty text is a missing value.
 SOLVENT_TEXTS = (
     "Water", "Ethanol", "methanol", "DMF", "DMSO", "Acetone", "acetonitrile",
@@ -64,3 +66,27 @@ def gappy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.lit(float("nan"))).otherwise(F.col("l_tax")).alias("l_tax"),
         F.lit(0.1).alias("constant"),
     )
+
+
+# One key for each part, and a text for each line item that names its part in one of four ways.
+PART_KEY = "p_name || ' ' || p_partkey"
+LINE_TEXT = (
+    "CASE l_linenumber % 4 WHEN 0 THEN 'Lot of ' || upper(p_name) || ' ' || l_partkey "
+    "WHEN 1 THEN p_name || ' ' || l_partkey || '/spare/' || p_name || ' ' || (l_partkey - l_partkey % 10) "
+    "WHEN 2 THEN p_name || l_partkey ELSE p_name || ' ' || l_partkey || '0/' END"
+)
+
+
+def part_dictionary(spark: SparkSession, sf_dir: str) -> PropertyDictionary:
+    """A dictionary of as many keys as there are parts, in the order of their numbers."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS ord", f"{PART_KEY} AS key", "CAST(p_size AS DOUBLE) AS size", "p_retailprice AS price"
+    )
+    return PropertyDictionary.from_frame(rows, default_key=rows.orderBy("ord").first()["key"])
+
+
+def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, l_partkey, t): line items with a text that names their part."""
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_name")
+    joined = lines(spark, sf_dir).join(names, "l_partkey")
+    return joined.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{LINE_TEXT} AS t")

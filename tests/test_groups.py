@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
 import pytest
+from conftest import plan_text
 from pyspark.sql import functions as F
 
 from mixscore.operators.groups import group_ellipse, group_ordinals
+from mixscore.operators.ranks import row_numbers
 
 
 def numpy_ellipse(x, y):
@@ -102,3 +106,31 @@ def test_ordinals_follow_the_first_row_and_cycle(spark):
     order = list(dict.fromkeys(g for _, g in rows if g))
     assert [r["g"] for r in got] == order
     assert [r["colour"] for r in got] == [i % 12 for i in range(15)]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_row_numbers_by_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    values = rng.sample(range(-(2**60), 2**60), 500) + list(range(300)) + [2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(v, str(v)) for v in values], "v long, n string").repartition(6)
+    got = {r["v"]: (r["at"], r["n"]) for r in row_numbers(df, "v", "at", ranges).collect()}
+    assert got == {v: (i, str(v)) for i, v in enumerate(sorted(values))}
+
+
+def test_row_numbers_of_nothing_of_one_and_of_null(spark):
+    df = spark.createDataFrame([(5,)], "v int")
+    assert row_numbers(df, "v", "at").collect()[0]["at"] == 0
+    assert row_numbers(df.limit(0), "v", "at").collect() == []
+    with pytest.raises(ValueError, match="nulls"):
+        row_numbers(spark.createDataFrame([(1,), (None,)], "v int"), "v", "at")
+
+
+def test_ordinals_of_many_groups_have_no_single_window(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_partkey * 100000000 + l_orderkey * 10 + l_linenumber AS place"
+    )
+    ranked = group_ordinals(rows, "l_orderkey", "place")
+    assert "SinglePartition" not in plan_text(ranked)
+    few = group_ordinals(rows, "l_orderkey", "place", few_groups=True)
+    assert "SinglePartition" in plan_text(few)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, few.collect()))

@@ -1,6 +1,8 @@
 import random
+from dataclasses import replace
 
 import pytest
+from conftest import plan_text
 from pyspark.sql import functions as F
 
 from mixscore.functions.lookup import (
@@ -11,8 +13,9 @@ from mixscore.functions.lookup import (
     normalise_key,
     with_main_label,
 )
-from mixscore.plans import enrich
-from mixscore.sources.dictionary import SOLVENTS, PropertyDictionary
+from mixscore.plans import enrich, fit_profile_pca, score_rows
+from mixscore.sources import dictionary as dictionary_module
+from mixscore.sources.dictionary import FEATURES, SOLVENTS, PropertyDictionary
 
 
 def expected(text, dictionary):
@@ -153,3 +156,101 @@ def test_enrich_keeps_columns_and_rows(spark):
 def test_bad_dictionaries_are_refused(rows, default):
     with pytest.raises(ValueError):
         PropertyDictionary.from_rows(("p",), rows, default)
+
+
+def long_dictionary(rng, n, match="first"):
+    """Keys that contain, overlap and begin one another, in a random order."""
+    keys = set()
+    while len(keys) < n:
+        keys.add("".join(rng.choices("abA é", k=rng.randint(1, 7))).strip() or "a")
+    keys = rng.sample(sorted(keys), n)
+    rows = [(k, i, None if i % 97 == 0 else -i) for i, k in enumerate(keys)]
+    return PropertyDictionary.from_rows(("a", "b"), rows, keys[3], match)
+
+
+def odd_texts(rng, keys, n):
+    pick = lambda: rng.choice([*rng.sample(keys, 5), "".join(rng.choices("abcA é", k=rng.randint(0, 9)))])
+    return ["/".join(pick() for _ in range(rng.choice([1, 1, 2, 4]))) for _ in range(n)] + ["", None, "/", "//", "zz", "ab" * 5000]
+
+
+def test_the_automaton_gives_what_the_expressions_give(spark):
+    rng = random.Random(8)
+    d = long_dictionary(rng, 700)
+    texts = odd_texts(rng, d.keys, 300)
+    for text, (label, again, hits, profile) in zip(texts, lookup(spark, texts, d)):
+        want_label, want_hits, want_profile = expected(text, d)
+        assert (label, again, hits) == (want_label, want_label, want_hits), text
+        assert profile == pytest.approx(want_profile), text
+
+
+def test_one_pass_of_the_automaton_serves_label_and_parts(spark):
+    d = long_dictionary(random.Random(1), 400)
+    df = spark.createDataFrame([(1, "a/b")], "row_id long, Solvent string")
+    plan = plan_text(enrich(df, d))
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    assert "Python" not in plan_text(enrich(df))
+
+
+def longest_by_hand(text, dictionary):
+    """Leftmost-longest occurrences from left to right; of those the first key in dictionary order, part by part."""
+    index = {}
+    for i, k in enumerate(dictionary.keys):
+        index.setdefault(k.lower(), i)
+    found = []
+    for part in (text or "Unknown").lower().split("/"):
+        at, here = 0, []
+        while at < len(part):
+            fits = [k for k in index if part.startswith(k, at)]
+            if fits:
+                best = max(fits, key=len)
+                here.append(index[best])
+                at += len(best)
+            else:
+                at += 1
+        found += [min(here)] if here else []
+    return found
+
+
+@pytest.mark.parametrize("n", [8, 300])
+def test_longest_match_equals_a_scan_by_hand(spark, n):
+    rng = random.Random(n)
+    d = long_dictionary(rng, n, "longest")
+    texts = odd_texts(rng, d.keys, 200)
+    for text, (label, again, hits, _) in zip(texts, lookup(spark, texts, d)):
+        want = longest_by_hand(text, d)
+        assert hits == sorted(want), text
+        assert label == again == (d.keys[min(want)] if want else "Other"), text
+
+
+def test_methanol_under_the_option_only(spark):
+    longest = replace(SOLVENTS, match="longest")
+    assert [lookup(spark, [t], longest)[0][0] for t in ("methanol", "methanol, ethanol", "2-MeTHF")] == ["Methanol", "Ethanol", "THF"]
+    assert lookup(spark, ["methanol"], SOLVENTS)[0][0] == "Ethanol"
+    with pytest.raises(ValueError):
+        replace(SOLVENTS, match="shortest")
+
+
+def test_a_dictionary_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([(2, "b", 1.0, None), (1, "a", 2.0, 3.0)], "ord int, key string, p double, q double")
+    d = PropertyDictionary.from_frame(table, "b", match="longest")
+    assert (d.properties, d.keys, d.rows, d.match) == (("p", "q"), ("a", "b"), ((2.0, 3.0), (1.0, None)), "longest")
+    monkeypatch.setattr(dictionary_module, "MOST_KEYS", 1)
+    with pytest.raises(ValueError, match="at most 1 keys"):
+        PropertyDictionary.from_frame(table, "b")
+
+
+def test_a_long_dictionary_fits_and_scores(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_id", "p_name || p_partkey AS Solvent")
+    d = PropertyDictionary.from_rows(
+        FEATURES, [(f"k{i}" if i % 2 else f"g{i}", *((i * (j + 3)) % 17 + j for j in range(len(FEATURES)))) for i in range(300)], "g0"
+    )
+    texts = rows.selectExpr("row_id", "concat('k', row_id % 50 * 2 + 1, '/g', row_id % 30 * 2) AS Solvent")
+    model = fit_profile_pca(texts, d, search=False)
+    short = PropertyDictionary.from_rows(FEATURES, [(k, *r) for k, r in zip(d.keys[:200], d.rows)], "g0")
+    other = fit_profile_pca(texts, short, search=False)
+    assert model.fit.eigenvalues == pytest.approx(other.fit.eigenvalues)
+    got = {r["row_id"]: r["Solvent_PC1"] for r in score_rows(texts, model).collect()}
+    want = {r["row_id"]: r["Solvent_PC1"] for r in score_rows(texts, other).collect()}
+    assert got == pytest.approx(want)
+    model.release()
+    other.release()

@@ -86,6 +86,30 @@ def test_row_ids_of_split_files(spark, tmp_path):
     assert [r["Name"] for r in rows] == [f"a{i}" for i in range(2000)] + [f"b{i}" for i in range(3000)]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json", "orc"])
+def test_row_ids_are_gapless_however_files_are_split(spark, part_measurements, tmp_path, fmt):
+    rows = part_measurements.drop("row_id").withColumn("n", F.monotonically_increasing_id())
+    for i, (low, high) in enumerate(((0, 3), (3, 40), (40, 41), (41, 200))):
+        part = rows.where(F.col("n").between(low, high - 1)).drop("n").coalesce(1)
+        part.write.format(fmt).option("header", True).save(str(tmp_path / "parts" / str(i)))
+    names = sorted(p for p in (tmp_path / "parts").rglob("part-*"))
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for i, name in enumerate(names):
+        (folder / f"{i}.{fmt}").write_bytes(name.read_bytes())
+    found, size = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for limit in ("300", "2k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            scanned = scan_measurements(spark, str(folder), fmt=fmt, add_row_id=True)
+            found.append(sorted((r["row_id"], r["Name"]) for r in scanned.collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found[0] == found[1] == found[2]
+    assert [i for i, _ in found[0]] == list(range(200))
+    assert [n for _, n in found[0]] == [r["Name"] for r in rows.orderBy("n").collect()]
+
+
 def test_parquet_row_ids_are_gapless(spark, part_measurements, tmp_path):
     path = str(tmp_path / "m")
     part_measurements.drop("row_id").repartitionByRange(4, "Name").sortWithinPartitions("Name").write.parquet(path)
