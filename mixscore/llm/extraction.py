@@ -5,8 +5,8 @@ block elements, like siblings folded into one. The trees of a host are aligned
 by simple tree matching and merged into the host's wrapper, whose nodes are
 the slots that its pages fill. Over all its pages, a slot's texts tell what it is:
 
-* a text that nearly every different page repeats in the same slot is part of
-  the template,
+* a text outside of an article that nearly every different page repeats in the
+  same slot is part of the template,
 * a slot outside of an article that a few texts fill, nearly all of them on a
   good share of the host's pages, is filled by the template in turn (adverts,
   notices), and
@@ -32,31 +32,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import html_tree
-from mixscore.llm.common import checkpointed, column, ship, within_bound
+from mixscore.llm.common import checkpointed, column, ship
 
-#: Different pages of a host from which on recurring texts count as evidence.
-ENOUGH_PAGES = 10
+#: Share of a host's different pages that repeat a text of the template, at the lower bound of what so many pages tell.
+CONSTANT_SHARE = 0.75
 
-#: Share of a host's different pages that repeat a text of the template.
-CONSTANT_SHARE = 0.9
+#: Standard deviations of the bounds on shares.
+SURE = 1.64
 
 #: A text recurs if it is on this share of the host's different pages, and on so many at least, for small hosts.
 RECURS_SHARE = 0.1
 RECURS_ON = 5
 
-#: Share of recurring text that makes a slot the template's, and distinct texts a page that it has at most.
+#: Share of recurring text that makes a slot the template's, and distinct texts a page that it has at most,
+#: at the upper bound of what so many pages tell.
 RECURRING_SHARE = 0.9
 FEW_TEXTS = 0.5
 
 #: Buckets of a host's different trees that are merged on their own first.
 _BUCKETS = 64
 
-#: Rules (a few KB each) that may be broadcast.
-_BROADCAST_RULES = 5_000
+#: Bytes of all hosts' rules together that may be broadcast.
+_BROADCAST_BYTES = 32 << 20
 
 _PARSED = "host long, tree long, shape string, body long, nodes array<int>, texts array<long>, sizes array<int>"
 
 
+def share_bound(on: float, pages: float, upper: bool = False) -> float:
+    """The lower (or upper) Wilson bound of a share seen on ``on`` of ``pages``: few pages prove little."""
+    p, z = on / pages, SURE * SURE / pages
+    half = SURE * ((p * (1 - p) + z / 4) / pages) ** 0.5
+    return (p + z / 2 + (half if upper else -half)) / (1 + z)
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -120,30 +128,36 @@ def _decide(key, wrappers, slots):
     """The host's rules: its wrapper, the slots that hold content, and texts of the template among them."""
     shape = wrappers.column("shape")[0].as_py()
     stats = {r["slot"]: r for r in slots.to_pylist()}
-    rules = {"wrapper": json.loads(shape), "keep": keep_slots(html_tree.read(shape), stats)}
-    rules["constant"] = sorted({t for s in rules["keep"] if s in stats for t in stats[s]["constant"] or []})
+    wrapper = html_tree.read(shape)
+    rules = {"wrapper": json.loads(shape), "keep": keep_slots(wrapper, stats)}
+    outside = set(rules["keep"]) - inside_articles(wrapper)
+    # by slot: the article may repeat a text of the template
+    rules["constant"] = {s: sorted(stats[s]["constant"]) for s in sorted(outside) if s in stats and stats[s]["constant"]}
     return pa.table({"host": pa.array([key[0].as_py()], pa.int64()), "rules": pa.array([json.dumps(rules)])})
 
 
+def inside_articles(wrapper: html_tree.Node) -> set[int]:
+    """The slots in an article or main element."""
+    nodes = wrapper.preorder()
+    furniture = html_tree.spread_furniture(wrapper, len(nodes))
+    mains = [n for n in nodes if n.label.partition(" ")[0] in ("article", "main") and not furniture[n.number]]
+    return {k.number for n in mains for k in _below(n)}
+
+
 def keep_slots(wrapper: html_tree.Node, stats: dict[int, dict]) -> list[int]:
     """The slots of the main region that hold content."""
     nodes = wrapper.preorder()
     furniture = html_tree.spread_furniture(wrapper, len(nodes))
-    inside = {
-        k.number
-        for n in nodes
-        if n.label.partition(" ")[0] in ("article", "main") and not furniture[n.number]
-        for k in _below(n)
-    }
+    inside = inside_articles(wrapper)
     own = [0] * len(nodes)
     for n in range(len(nodes)):
         s = stats.get(n)
         if s and not furniture[n]:
             turning = (
                 n not in inside
-                and s["pages"] >= ENOUGH_PAGES
                 and s["recurring"] >= RECURRING_SHARE * s["chars"]
-                and s["kinds"] <= FEW_TEXTS * s["pages"]
+                and s["kinds"] <= s["pages"]
+                and share_bound(s["kinds"], s["pages"], upper=True) <= FEW_TEXTS
             )
             own[n] = -1 if turning else s["chars"]
     held = [max(0, c) for c in own]
@@ -196,7 +210,7 @@ def _extract(keep_columns: list[str]):
                 nodes = html_tree.fold(root).preorder()
                 found = [(e.found().number, t) for e, t in blocks]
                 if rules is None:
-                    keep, constant = set(_own_rules(root, found)), set()
+                    keep, constant = set(_own_rules(root, found)), {}
                 else:
                     if rules not in known:
                         if len(known) > 2000:
@@ -204,15 +218,16 @@ def _extract(keep_columns: list[str]):
                         told = json.loads(rules)
                         wrapper = html_tree.read(json.dumps(told["wrapper"]))
                         wrapper.preorder()
-                        known[rules] = wrapper, set(told["keep"]), set(told["constant"]), {}
-                    wrapper, slots, constant, seen = known[rules]
+                        known[rules] = wrapper, set(told["keep"]), {int(k): set(v) for k, v in told["constant"].items()}, {}
+                    wrapper, slots, fixed, seen = known[rules]
                     shape = root.text()
                     if shape not in seen:
                         at: dict[int, int] = {}
                         html_tree.place(wrapper, root, at)
-                        seen[shape] = {i for i in range(len(nodes)) if at.get(i, -1) in slots}
-                    keep = seen[shape]
-                texts.append(" ".join(t for n, t in found if n in keep and not (constant and _hash(t) in constant)))
+                        kept = {i for i in range(len(nodes)) if at.get(i, -1) in slots}
+                        seen[shape] = kept, {i: fixed[at[i]] for i in kept if at[i] in fixed}
+                    keep, constant = seen[shape]
+                texts.append(" ".join(t for n, t in found if n in keep and not (n in constant and _hash(t) in constant[n])))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep_columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*keep_columns, "text"])
 
@@ -259,7 +274,10 @@ def extract_main_text(
         .agg(F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"))
     )
     hosts = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    constant = (F.col("pages") >= ENOUGH_PAGES) & (F.col("on") >= CONSTANT_SHARE * F.col("pages"))
+    share = F.least("on", "pages") / F.col("pages")  # share_bound in SQL
+    z = F.lit(SURE * SURE) / F.col("pages")
+    half = SURE * F.sqrt((share * (1 - share) + z / 4) / F.col("pages"))
+    constant = (share + z / 2 - half) / (1 + z) >= CONSTANT_SHARE
     recurs = F.col("on") >= F.greatest(F.lit(RECURS_ON), RECURS_SHARE * F.col("pages"))
     slots = (
         counted.join(hosts, "host")
@@ -275,7 +293,8 @@ def extract_main_text(
     rules = checkpointed(
         wrappers.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(_decide, "host long, rules string")
     )
-    joined = rows.join(within_bound(rules, _BROADCAST_RULES), "host", "left").select("page_id", "url", "html", "rules")
+    size = rules.agg(F.sum(F.octet_length("rules") + 8)).first()[0] or 0
+    joined = rows.join(F.broadcast(rules) if size <= _BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "rules")
     fields = [f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
     texts = joined.mapInArrow(_extract(["page_id", "url"]), ", ".join([*fields, "text string"]))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -9,7 +9,7 @@ from collections import Counter
 
 # Fixed values of the HTML standard: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title template svg math object".split())
+RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title template svg object".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option optgroup p pre "
@@ -34,12 +34,23 @@ IMPLIED = {
 # Elements, and words in their class, id or role, that never hold a page's article.
 FURNITURE = frozenset("head nav header footer aside form button select fieldset dialog menu search label audio video canvas".split())
 FURNITURE_WORD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert[a-z]*|adsense|banner|sidebar|side|menu|nav[a-z]*|breadcrumbs?|cookies?|consent|gdpr|notices?|"
+    r"(?:^|[^a-z])(?:ads?|advert[a-z]*|adsense|banner|sidebar|side|menu|nav(?:bar|igation|list|menu|links?)?|breadcrumbs?|cookies?|consent|gdpr|notices?|"
     r"alerts?|popup|modal|overlay|promo[a-z]*|sponsor[a-z]*|comments?|commentlist|disqus|repl(?:y|ies)|respond|footer|header|"
     r"masthead|shar(?:e|ing)|social|related|recommend[a-z]*|newsletter|subscribe|signup|login|widgets?|toolbar|"
     r"pagination|pager|skip|copyright|complementary|contentinfo|search)(?:$|[^a-z])"
 )
 
+#: The same for whole class names inside an article, where other words may well be its subject, and for whole ids there.
+INSIDE_WORD = re.compile(
+    r"ads?|ad-(?:slot|unit|box|banner|container)|advert[a-z]*|adsense|sponsor(?:ed|s)?|promo(?:tion|ted)?|comments?|"
+    r"comment-?(?:list|section|area|form|thread)|disqus|respond|replies|breadcrumbs?|cookie-?(?:banner|notice|consent)|gdpr|"
+    r"sidebar|menu|nav|navbar|navigation|newsletter(?:-signup)?|subscribe|signup|login|share|sharing|social|"
+    r"(?:social|share)-?(?:share|links|media|buttons|bar)|related|related-?(?:posts|articles|links|stories)|recommended|"
+    r"pagination|pager|widget|toolbar|popup|modal|overlay"
+)
+INSIDE_ID = re.compile(r"comments?|disqus_thread|respond|sidebar|newsletter|cookie-?(?:banner|notice)|related-posts")
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 ARTICLE_WORD = re.compile(r"comments?|comment-(?:body|item|0)|repl(?:y|ies)|ads?|advert[a-z]*|promo|related|teaser")
 #: Names such as has-sidebar tell of a page's layout, not of the element.
 LAYOUT_WORD = re.compile(r"(?:has|no|with|without|hide|show|is)[-_]")
@@ -53,7 +64,7 @@ _TOKEN = re.compile(
     r"(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+(?=>|\Z)|[^>]*+)(?P<close>>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Node:
@@ -98,15 +109,27 @@ def read(text: str) -> Node:
     return node(json.loads(text))
 
 
-def is_furniture(label: str) -> bool:
-    """Whether an element of this tag and these names never holds a page's article."""
+def is_furniture(label: str, inside: bool = False) -> bool:
+    """Whether an element of this tag and these names never holds a page's article.
+
+    Ids, which begin with ``#``, are often made of a heading's own words: one
+    counts as a whole or by its last word. ``inside`` tells that the element lies in
+    an article or main element; there only whole names count. Headings are never
+    furniture by name.
+    """
     tag, _, names = label.partition(" ")
-    if tag in FURNITURE or not names or tag in ("html", "body", "main"):
+    if tag in FURNITURE or not names or tag in HEADING or tag in ("html", "body", "main"):
         return tag in FURNITURE
     words = [w for w in names.split() if not LAYOUT_WORD.match(w)]
     if tag == "article":
-        return any(ARTICLE_WORD.fullmatch(w) for w in words)
-    return any(FURNITURE_WORD.search(w) for w in words)
+        return any(ARTICLE_WORD.fullmatch(w.removeprefix("#")) for w in words)
+    if inside:
+        return any(INSIDE_ID.fullmatch(w[1:]) if w[0] == "#" else INSIDE_WORD.fullmatch(w) for w in words)
+    return any(_ends_as_furniture(w[1:]) if w[0] == "#" else FURNITURE_WORD.search(w) for w in words)
+
+
+def _ends_as_furniture(name: str) -> bool:
+    return any(m.end() == len(name) for m in FURNITURE_WORD.finditer(name))
 
 
 def spread_furniture(root: Node, nodes: int) -> list[bool]:
@@ -122,13 +145,14 @@ def spread_furniture(root: Node, nodes: int) -> list[bool]:
             for k in node.kids
         )
 
-    def spread(node: Node, inside: bool) -> None:
-        inside = inside or (is_furniture(node.label) and not holds_article(node))
-        out[node.number] = inside
+    def spread(node: Node, furniture: bool, inside: bool) -> None:
+        furniture = furniture or (is_furniture(node.label, inside) and not holds_article(node))
+        out[node.number] = furniture
+        inside = inside or (node.label.partition(" ")[0] in ("article", "main") and not furniture)
         for kid in node.kids:
-            spread(kid, inside)
+            spread(kid, furniture, inside)
 
-    spread(root, False)
+    spread(root, False, False)
     return out
 
 
@@ -181,9 +205,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         attrs = token["attrs"]
         names = ""
         if "=" in attrs and (found := _NAMES.findall(attrs)):
-            names = re.sub(r"[0-9]+", "0", " ".join(a or b or c for a, b, c in found)).lower()
+            words = (f"#{w}" if kind.lower() == "id" else w for kind, a, b, c in found for w in (a or b or c).split())
+            names = re.sub(r"[0-9]+", "0", " ".join(words)).lower()
         label = f"{tag} {' '.join(sorted(set(names.split())))}".strip()
-        if tag not in BLOCK and not (names and tag not in VOID and is_furniture(label)):
+        if tag not in BLOCK and not (names and tag not in VOID and is_furniture(label, opened["article"] + opened["main"] > 0)):
             continue
         flush()
         if tag in CLOSES_P:

@@ -4,7 +4,8 @@ import re
 import pytest
 
 from mixscore.llm import html_tree
-from mixscore.llm.extraction import extract_main_text
+from mixscore.llm.extraction import extract_main_text, share_bound
+from mixscore.llm.html_tree import is_furniture
 
 PAGES = "page_id long, url string, html string"
 
@@ -149,3 +150,38 @@ def test_merging_inserts_in_order():
     assert [n.found().label for n in other.preorder()] == ["a", "b", "c", "d", "e", "f"]
     root = html_tree.Node("r", [tree("p"), tree("p(x)"), tree("q"), tree("p")])
     assert html_tree.fold(root).text() == html_tree.Node("r", [tree("p(x)"), tree("q"), tree("p")]).text()
+
+
+PROBE = (
+    '<html><body><nav>Home News</nav><div class="cookie-banner">We use cookies</div><article><h1>Soup {i}</h1>'
+    '<h2>Ingredients</h2><ul><li>{i} onions</li></ul><h2 id="side-effects">Side effects</h2><h2 id="related-work">Related work</h2>'
+    '<h2 class="navy">Navy beans</h2><section id="social-history"><p>History of soup {i}</p></section>'
+    '<div class="box">Stir well.</div><p class="alert">Hot number {i}</p><p>Energy <math><mi>E</mi><mo>=</mo><mn>{i}</mn></math></p>'
+    '<div class="share">Tell friends</div><div id="comments"><p>Comment of reader {i}</p></div></article>'
+    '<div class="related-posts">More soups</div><footer>Imprint</footer></body></html>'
+)
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 400])
+def test_the_article_is_whole_on_hosts_of_any_size(spark, n):
+    rows = [(i, f"http://soup{n}.example/{i}", PROBE.replace("{i}", str(i))) for i in range(n)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        i = r["page_id"]
+        assert r["text"] == (
+            f"Soup {i} Ingredients {i} onions Side effects Related work Navy beans History of soup {i} Stir well. "
+            f"Hot number {i} Energy E={i}"
+        )
+
+
+def test_names_count_by_where_they_stand():
+    assert is_furniture("div related-posts") and is_furniture("div site-footer") and is_furniture("div #main-nav")
+    assert not is_furniture("section #social-history") and not is_furniture("h2 side") and not is_furniture("p navy")
+    assert is_furniture("div comments", inside=True) and is_furniture("div #comments", inside=True)
+    assert not is_furniture("p alert", inside=True) and not is_furniture("section #related-work", inside=True)
+
+
+def test_bounds_on_shares_tighten_with_pages():
+    low = [share_bound(n, n) for n in (1, 2, 5, 9, 10, 100, 5000)]
+    assert low == sorted(low) and low[0] < 0.5 and low[-1] > 0.99
+    assert share_bound(90, 100) > 0.8 and share_bound(3, 10, upper=True) > 0.5 > share_bound(30, 100, upper=True)
