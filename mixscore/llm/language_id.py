@@ -9,7 +9,8 @@ ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled documents
 (`SAMPLE_DOCS` in all, evenly over languages, chosen by a hash of the id),
-whole and as a snippet each, so short texts are learned too. The model has
+whole and as a snippet each, so short texts are learned too. Every language with
+a text to learn from has a codeword, whose bits grow with the logarithm of their number. The model has
 `FEATURES` weights for each bit; every text is read whole, once, where it lies.
 """
 
@@ -25,11 +26,9 @@ from pyspark.sql import functions as F
 from mixscore.llm import bytetext
 from mixscore.llm.common import column, ship
 
-#: Labelled documents that the classifiers are fitted on, at most.
+#: Labelled documents that the classifiers are fitted on, at most; with very many languages `LEAST_DOCS` of each.
 SAMPLE_DOCS = 1024
-
-#: Languages that get a codeword, at most; the most frequent ones where there are more.
-MOST_LANGUAGES = 128
+LEAST_DOCS = 4
 
 #: Hashed n-grams; bytes in the longest.
 FEATURES = 8192
@@ -52,7 +51,7 @@ def codewords(languages: int) -> np.ndarray:
     bits = int(np.ceil(12 * np.log2(languages)))
     random = np.random.default_rng(5)
     best, most = None, -1
-    for _ in range(200):
+    for _ in range(200 if languages <= 128 else 20):  # long random words are far apart anyway
         code = random.choice([-1.0, 1.0], (languages, bits))
         apart = (bits - code @ code.T) / 2
         nearest = apart[~np.eye(languages, dtype=bool)].min()
@@ -82,11 +81,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, signs: np.ndarray, steps: int = 200, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and intercepts of one logistic regression for each column of ``signs``."""
+    signs = signs.astype(np.float32)  # else every product would be made in double precision
     w = np.zeros((x.shape[1], signs.shape[1]), np.float32)
     b = np.zeros(signs.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
-        wrong = -signs / (1 + np.exp(np.clip(signs * (x @ w + b), -30, 30))) / len(x)
+        wrong = -signs / (1 + np.exp(np.clip(signs * (x @ w + b), -30, 30))) / np.float32(len(x))
         vw = 0.9 * vw - 4.0 * (x.T @ wrong + ridge * w)
         vb = 0.9 * vb - 4.0 * wrong.sum(0)
         w, b = (w + vw).astype(np.float32), (b + vb).astype(np.float32)
@@ -95,7 +95,9 @@ def fit(x: np.ndarray, signs: np.ndarray, steps: int = 200, ridge: float = 1e-5)
 
 def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Probabilities of the languages from the bits' margins: the smaller the summed loss, the likelier."""
-    loss = np.stack([np.logaddexp(0, -margins * word).sum(1) for word in code], axis=1)
+    margins = margins.astype(np.float64)
+    # of a bit's two losses, the one that the codeword has there
+    loss = np.logaddexp(0, -margins) @ (code > 0).T + np.logaddexp(0, margins) @ (code < 0).T
     p = np.exp(loss.min(1, keepdims=True) - loss)
     return p / p.sum(1, keepdims=True)
 
@@ -176,8 +178,7 @@ def identify_languages(
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
     )
     labelled = rows.where(~F.col("apart") & F.col("lang").isNotNull() & F.col("lettered") & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # names only
     if not languages:
         return rows.select(
             "doc_id", F.coalesce("apart", F.lit(False)).alias("held_out"), F.lit("und").alias("lang_pred"),
@@ -187,20 +188,20 @@ def identify_languages(
     chosen = (
         labelled.select("doc_id", "lang")
         .withColumn("rank", F.row_number().over(by_hash))
-        .where(F.col("rank") <= max(4, SAMPLE_DOCS // len(languages)))
+        .where(F.col("rank") <= max(LEAST_DOCS, SAMPLE_DOCS // len(languages)))
         .select("doc_id")
         .distinct()
     )
     sample = (
-        labelled.where(F.col("lang").isin(languages))
-        .join(F.broadcast(chosen), "doc_id", "left_semi")  # at most SAMPLE_DOCS rows
+        labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most SAMPLE_DOCS rows, or LEAST_DOCS a language
         .select("doc_id", "lang", "text")
         .dropDuplicates(["doc_id"])
         .mapInArrow(_sample_features, "lang string, x binary")
         .toArrow()
     )
     x = np.stack([np.frombuffer(v, np.float16) for v in sample.column("x").to_pylist()]).astype(np.float32)
-    label = np.array([languages.index(v) for v in sample.column("lang").to_pylist()])
+    place = {v: i for i, v in enumerate(languages)}
+    label = np.array([place[v] for v in sample.column("lang").to_pylist()])
     code = codewords(len(languages))
     weights, intercepts = fit(x, code[label])
     return rows.select(

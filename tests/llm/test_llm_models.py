@@ -213,6 +213,29 @@ def test_held_out_languages_are_found(spark, documents, sf_dir):
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in rows if r["held_out"]]) > 0.97
 
 
+def test_decoding_equals_the_loss_of_each_word_bit_by_bit():
+    rng = np.random.default_rng(3)
+    code = language_id.codewords(150)
+    margins = rng.normal(0, 3, (20, code.shape[1]))
+    for m, p in zip(margins, language_id.decode(margins, code)):
+        loss = [sum(math.log1p(math.exp(-x * c)) for x, c in zip(m, word)) for word in code]
+        weights = [math.exp(min(loss) - v) for v in loss]
+        assert p == pytest.approx([w / sum(weights) for w in weights], rel=1e-9)
+
+
+def test_two_hundred_languages_are_all_learned(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(200):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéñ", k=rng.randint(2, 7))) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=40)), f"l{k:03d}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify_languages(df, F.col("doc_id") % 6 == 5).collect()
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in got if r["held_out"]]
+    assert len(held) == 200 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.98
+
+
 def test_language_defined_cases(spark):
     rows = [(i, t * 20, lang, "x") for i, (t, lang) in enumerate([("the and of with ", "en"), ("der die und nicht ", "de")] * 10)]
     rows += [(50, None, "en", "x"), (51, "", None, "x"), (52, "123 !? ²", "en", "x"), (53, "the of and " * 30000, None, "x"), (None, "die und der", "fr", "x"), (54, "und die", None, "x"), (54, "und die", None, "x")]
