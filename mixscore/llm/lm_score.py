@@ -13,10 +13,13 @@ arcs are the add-0.1 unigrams, and one for all unknown words.
 
 The automaton grows with the corpus and is never in one place. Units of
 documents (see `exchange`) ask the shards for the counts of their own distinct
-n-grams, which gives each unit the part of the automaton its texts can reach.
-Then one left-to-right traversal of every text carries the state and adds the
-log-probabilities. What is shuffled: the texts once, six bytes for each
-distinct n-gram of a unit, and its count on the way back.
+n-grams, which gives each unit the part of the automaton its texts can reach
+(`Automaton`). Then one left-to-right traversal of every text carries the state and
+adds the weights of the arcs it follows. Texts go side by side, one token at a time;
+long ones in segments, each entered by the few tokens before it, which is
+all that a state remembers. What is shuffled: the texts once, six bytes for each
+distinct n-gram of a unit, and its count on the way back. There are as many
+units and shards as the texts' bytes need.
 """
 
 from __future__ import annotations
@@ -27,12 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import column, partitions, ship
+from mixscore.llm.common import column, ship
 from mixscore.llm.exchange import pack_keys, pack_numbers, range_bounds, unpack_keys, unpack_numbers
 
 #: Observations that the shorter history's distribution is worth.
 STRENGTH = 100.0
 
+#: Bytes of text in a unit on average; a shard holds as many keys as a unit.
+UNIT_BYTES = 8 << 20
+
+#: Tokens of a text that one lane of the traversal scores.
+SEGMENT = 1024
+
 _END = np.uint64(0x0DDC0FFEEBADF00D)
 _KIND = np.uint64(1)
 
@@ -64,6 +73,7 @@ class Tokens:
             grams = np.concatenate([tokens[:k], bytetext.combine([grams[:-1][k - 1 :], tokens[k:]])]) if len(tokens) > k else tokens
             keys.append(np.where(self.place >= k, grams | _KIND, keys[0]))
         self.keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        #: for each length less one and place, the n-gram that ends there
         self.where = inverse.reshape(order, -1)
 
     def train_counts(self) -> np.ndarray:
@@ -77,34 +87,98 @@ class Tokens:
         return np.add.reduceat(values, self.end - self.length) if len(values) else values
 
 
-def traverse(tokens: Tokens, counts: np.ndarray, total: int, types: int, strength: float) -> dict[str, np.ndarray]:
-    """Log10 probabilities of a unit's documents.
+class Automaton:
+    """The states and arcs that a unit's texts can reach.
 
-    The state before a token is the longest run of tokens before it that
-    training holds; it follows the token's arc, or failure arcs until a state
-    has one. All positions go one order at a time: ``p`` is the weight from
-    the state of the last ``k`` tokens.
+    State 0 is the root; every other one is a history, an n-gram of fewer than
+    ``order`` words seen in training. An arc belongs to a seen n-gram: it leaves
+    the state of all but its last word, carries the log probability of that and enters
+    the state of the longest history it ends with. Words that were never seen have an arc
+    from the root to itself.
     """
-    seen = counts[tokens.where[0]]
-    p = (seen + 0.1) / (total + 0.1 * (types + 1))
-    base = np.log10(p)
-    for k in range(1, len(tokens.where)):
-        state = np.zeros(len(p))
-        state[1:] = counts[tokens.where[k - 1]][:-1]  # observations of the state carried here
-        state[tokens.place < k] = 0
-        arc = np.where(tokens.place >= k, counts[tokens.where[k]], 0)
-        p = np.where(state > 0, (arc + strength * p) / (state + strength), p)
+
+    def __init__(self, tokens: Tokens, counts: np.ndarray, total: int, types: int, strength: float) -> None:
+        order, size = tokens.where.shape
+        grams = len(tokens.keys)
+        counts = counts.astype(np.float64)
+        self.seen = counts > 0
+        p = (counts + 0.1) / (total + 0.1 * (types + 1))  # of single words; longer n-grams follow
+        state = np.zeros(grams, np.int64)
+        self.enters = np.zeros(grams, np.int64)
+        self.depth, self.fails, self.fail_weight = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1)]
+        states = 1
+        for k, where in enumerate(tokens.where):
+            # one place where each n-gram of k + 1 words ends
+            places = np.flatnonzero(tokens.place >= k)
+            found, first = np.unique(where[places], return_index=True)
+            at = places[first]
+            at, found = at[self.seen[found]], found[self.seen[found]]
+            if k:
+                history, ending = tokens.where[k - 1][at - 1], tokens.where[k - 1][at]
+                p[found] = (counts[found] + strength * p[ending]) / (counts[history] + strength)
+            if k + 1 < order:
+                state[found] = np.arange(states, states + len(found))
+                states += len(found)
+                self.depth.append(np.full(len(found), k + 1))
+                self.fails.append(state[ending] if k else np.zeros(len(found), np.int64))
+                self.fail_weight.append(np.log10(strength / (counts[found] + strength)))
+                self.enters[found] = state[found]
+            elif k:
+                self.enters[found] = state[ending]
+        self.depth, self.fails, self.fail_weight = map(np.concatenate, (self.depth, self.fails, self.fail_weight))
+        self.weight = np.log10(p)
+
+
+def traverse(tokens: Tokens, automaton: Automaton) -> np.ndarray:
+    """The sum of the weights on the way of each document's tokens through the automaton."""
+    order = len(tokens.where)
+    begin = tokens.end - tokens.length
+    # lanes: segments of documents, longest first, each with the tokens that lead into it
+    pieces = -(-tokens.length // SEGMENT)
+    doc = np.repeat(np.arange(len(pieces)), pieces)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+    stop = np.minimum(start + SEGMENT, tokens.length[doc])
+    lead = np.minimum(start, order - 1)
+    length = stop - start + lead
+    lanes = np.argsort(-length, kind="stable")
+    doc, length, lead, at = doc[lanes], length[lanes], lead[lanes], (begin[doc] + start - lead)[lanes]
+    state, sums = np.zeros(len(doc), np.int64), np.zeros(len(doc))
+    active = len(doc)
+    for t in range(int(length.max(initial=0))):
+        active = int(np.searchsorted(-length[:active], -t, side="left"))  # lanes of more than t tokens
+        here, current = at[:active] + t, state[:active]
+        cost = np.zeros(active)
+        waiting = np.arange(active)
+        for _ in range(order):
+            s = current[waiting]
+            gram = tokens.where[automaton.depth[s], here[waiting]]
+            follows = automaton.seen[gram] | (s == 0)
+            goes, stays = waiting[follows], waiting[~follows]
+            cost[goes] += automaton.weight[gram[follows]]
+            current[goes] = automaton.enters[gram[follows]]
+            if not len(stays):
+                break
+            s = s[~follows]
+            cost[stays] += automaton.fail_weight[s]
+            current[stays] = automaton.fails[s]
+            waiting = stays
+        sums[:active] += np.where(t >= lead[:active], cost, 0.0)
+    return np.bincount(doc, weights=sums, minlength=len(tokens.length))
+
+
+def score_positions(tokens: Tokens, counts: np.ndarray, total: int, types: int) -> dict[str, np.ndarray]:
+    """What the unigram model tells of each document."""
+    seen = counts[tokens.where[0]].astype(np.float64)
     return {
         "n_known": tokens.per_document((seen > 0).astype(np.int64)),
-        "base_score": tokens.per_document(base),
-        "score": tokens.per_document(np.log10(p)),
+        "base_score": tokens.per_document(np.log10((seen + 0.1) / (total + 0.1 * (types + 1)))),
     }
 
 
 def _ask(order: int, shards: int):
     def run(key, table):
         tokens = Tokens(table, order)
-        counts = tokens.train_counts().astype("<u4")
+        counts = tokens.train_counts().astype("<u8")
         bounds = range_bounds(tokens.keys, shards)
         pieces = [(tokens.keys[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         return pa.table(
@@ -121,9 +195,10 @@ def _ask(order: int, shards: int):
 
 def _answer(key, table):
     asked = [unpack_keys(k) for k in table.column("keys").to_pylist()]
-    added = [unpack_numbers(c, "<u4") for c in table.column("counts").to_pylist()]
+    added = [unpack_numbers(c, "<u8") for c in table.column("counts").to_pylist()]
     keys, where = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.bincount(where, weights=np.concatenate(added), minlength=len(keys)).astype("<u4")
+    counts = np.zeros(len(keys), "<u8")
+    np.add.at(counts, where, np.concatenate(added))
     word = (keys & _KIND) == 0
     ends = np.cumsum([len(a) for a in asked])
     answers = [pack_numbers(counts[where[e - len(a) : e]]) for a, e in zip(asked, ends)]
@@ -133,7 +208,7 @@ def _answer(key, table):
             "unit": table.column("unit"),
             "shard": table.column("shard"),
             "counts": pa.array(answers, pa.binary()),
-            "tokens": pa.array([int(counts[word].sum(dtype=np.int64))] * n, pa.int64()),
+            "tokens": pa.array([int(counts[word].sum())] * n, pa.int64()),
             "types": pa.array([int((counts[word] > 0).sum())] * n, pa.int64()),
         }
     )
@@ -145,8 +220,9 @@ def _score(order: int, strength: float):
         answers = answers.sort_by("shard")
         total = sum(answers.column("tokens").to_pylist())
         types = sum(answers.column("types").to_pylist())
-        counts = np.concatenate([unpack_numbers(c, "<u4") for c in answers.column("counts").to_pylist()])
-        scored = traverse(tokens, counts.astype(np.float64), total, types, strength)
+        counts = np.concatenate([unpack_numbers(c, "<u8") for c in answers.column("counts").to_pylist()])
+        scored = score_positions(tokens, counts, total, types)
+        scored["score"] = traverse(tokens, Automaton(tokens, counts, total, types, strength))
         return pa.table(
             {
                 "doc_id": tokens.doc_id,
@@ -182,7 +258,8 @@ def score_texts(
     """
     spark = docs.sparkSession
     ship(spark)
-    units = shards = 2 * partitions(spark)
+    size = docs.select(F.sum(F.octet_length(column(text_col)) + 1)).first()[0] or 0
+    units = shards = max(1, -(-size // UNIT_BYTES))
     rows = docs.select(
         F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(units)).alias("unit"),
         column(id_col).cast("long").alias("doc_id"),

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mixscore.llm import exchange, language_id, license_scan, neighbours, quality
+from mixscore.llm import exchange, language_id, license_scan, lm_score, neighbours, quality
 from mixscore.llm.lm_score import score_texts
 from mixscore.llm.queries import QUERIES
 
@@ -63,6 +64,32 @@ def test_scores_equal_the_formula(spark, order):
     assert [tuple(r[1:]) for r in got] == scores_by_hand(rows, order, 5.0)
 
 
+def test_the_automaton_in_segments_equals_the_formula(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("a b c d e f g".split(), k=rng.randint(0, 60))) for _ in range(30)] + [None, "x y"]
+    held = [i % 4 == 0 for i in range(len(texts))]
+    table = pa.table({"doc_id": list(range(len(texts))), "held_out": held, "text": texts})
+    for order in (1, 2, 3, 4):
+        want = scores_by_hand(list(zip(held, texts)), order, 3.0)
+        tokens = lm_score.Tokens(table, order)
+        counts = tokens.train_counts()
+        words = (tokens.keys & lm_score._KIND) == 0
+        total, types = int(counts[words].sum()), int((counts[words] > 0).sum())
+        automaton = lm_score.Automaton(tokens, counts, total, types, 3.0)
+        assert (automaton.depth[automaton.fails[1:]] == automaton.depth[1:] - 1).all()
+        for segment in (1, 2, 7, 1000):
+            monkeypatch.setattr(lm_score, "SEGMENT", segment)
+            assert [w[5] for w in want] == lm_score.traverse(tokens, automaton).tolist()
+
+
+def test_counts_over_32_bits():
+    ask = {"shard": [0, 0], "unit": [1, 2], "keys": [exchange.pack_keys(np.array([2, 4], np.uint64))] * 2}
+    ask["counts"] = [exchange.pack_numbers(np.array([3_000_000_000, 5], "<u8"))] * 2
+    answer = lm_score._answer(None, pa.table(ask))
+    assert answer.column("tokens").to_pylist() == [6_000_000_010] * 2
+    assert exchange.unpack_numbers(answer.column("counts")[0].as_py(), "<u8").tolist() == [6_000_000_000, 10]
+
+
 def test_scores_of_null_ids_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], DOCS)
     got = score_texts(df, F.col("doc_id") == 5).collect()
