@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mixscore.operators import moments as moments_module
 from mixscore.operators.moments import correlation_frame, moments
 from mixscore.operators.prepare import (
     available_features,
@@ -103,3 +104,53 @@ def test_wide_standardising_agrees_with_numpy(spark):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "id int, " + ", ".join(f"{n} double" for n in names))
     got = np.array(standardise(df, names).orderBy("id").select(*names).collect())
     assert got == pytest.approx((data - data.mean(axis=0)) / data.std(axis=0), abs=1e-9)
+
+
+def moments_by_hand(columns, weights=None):
+    """Means over present values, covariance with gaps on the mean, in double-double by fractions."""
+    from fractions import Fraction
+
+    n = len(columns[0])
+    weights = weights or [1] * n
+    means, centred_columns = [], []
+    for column in columns:
+        held = [(Fraction(v), w) for v, w in zip(column, weights) if v is not None and v == v]
+        mean = sum(v * w for v, w in held) / sum(w for _, w in held)
+        means.append(float(mean))
+        centred_columns.append([Fraction(v) - mean if v is not None and v == v else Fraction(0) for v in column])
+    total = sum(weights)
+    cov = [[float(sum(a * b * w for a, b, w in zip(x, y, weights)) / total) for y in centred_columns] for x in centred_columns]
+    return means, cov
+
+
+@pytest.mark.parametrize("p", [3, 9])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_one_scan_is_exact_far_from_zero_and_with_gaps(spark, monkeypatch, p, weighted):
+    rng = np.random.default_rng(p)
+    columns = [(1e9 + rng.normal(0, 1, 3000)).tolist() for _ in range(p - 2)]
+    columns += [[0.1] * 3000, [None if i % 3 else float(v) if i % 2 else float("nan") for i, v in enumerate(rng.normal(5, 2, 3000))]]
+    weights = rng.integers(1, 6, 3000).tolist() if weighted else None
+    names = [f"f{i}" for i in range(p)]
+    rows = list(zip(*columns, weights or [1] * 3000))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", w int").repartition(4)
+    monkeypatch.setattr(moments_module, "_two_scans", None)  # not needed
+    m = moments(df, names, "w" if weighted else None)
+    means, cov = moments_by_hand(columns, weights)
+    assert m.mean == pytest.approx(means, rel=1e-15) and m.covariance == pytest.approx(np.array(cov), rel=1e-9, abs=1e-9)
+    assert m.sd[-2] == 0.0 and m.mean[-2] == 0.1 and (m.covariance[-2] == 0).all()
+    assert m.n == (sum(weights) if weighted else 3000)
+
+
+def test_a_guess_far_off_takes_two_scans(spark, monkeypatch):
+    monkeypatch.setattr(moments_module, "GUESSED_FROM", 1)
+    rows = [(-1e6, 1.0)] + [(1e9 + i % 7 / 8, float(i)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b double").coalesce(1)
+    m = moments(df, ["a", "b"])
+    means, cov = moments_by_hand([[r[0] for r in rows], [r[1] for r in rows]])
+    assert m.mean == pytest.approx(means) and m.covariance == pytest.approx(np.array(cov), rel=1e-9)
+    late = spark.createDataFrame([(None, 1.0), (2.0, 2.0), (4.0, 3.0)], "a double, b double").coalesce(1)
+    assert moments(late, ["a", "b"]).mean.tolist() == [3.0, 2.0]
+    with pytest.raises(ValueError, match="infinite"):
+        moments(spark.createDataFrame([(1.0,), (float("inf"),)], "a double").coalesce(1), ["a"])
+    with pytest.raises(ValueError, match="no values"):
+        moments(spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double"), ["a", "b"])
