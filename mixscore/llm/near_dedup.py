@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, tidy, within_bound
 from mixscore.llm.components import components
 
 #: Partial keys and MinHashes in each, for the two collections.
@@ -283,7 +283,7 @@ def near_duplicates(
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     signed = checkpointed(
         rows.mapInArrow(
-            _signatures(words), "doc_id long, n_shingles long, mark1 long, mark2 long, keys array<long>"
+            tidy(_signatures(words)), "doc_id long, n_shingles long, mark1 long, mark2 long, keys array<long>"
         )
     )
     same = ["mark1", "mark2", "n_shingles"]
@@ -324,7 +324,7 @@ def near_duplicates(
     sought = placed.select("node").unionByName(placed.select(F.col("hub").alias("node"))).distinct()
     full = checkpointed(
         rows.join(within_bound(checkpointed(sought)), F.col("doc_id") == F.col("node"), "left_semi")
-        .mapInArrow(_full_sets(words), "node long, shingles binary")
+        .mapInArrow(tidy(_full_sets(words)), "node long, shingles binary")
         .distinct()
     )
     own_block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -341,7 +341,7 @@ def near_duplicates(
         .select("hub", "block", "first", "node", "shingles")
         .repartition("hub", "block")
         .sortWithinPartitions("hub", "block", F.col("first").desc())
-        .mapInArrow(_compare_block(percent), "open boolean, a long, b long")
+        .mapInArrow(tidy(_compare_block(percent)), "open boolean, a long, b long")
     )
     links = found.where(~F.col("open")).select("a", "b")
 
@@ -360,7 +360,7 @@ def near_duplicates(
         .select("hub", "block", "first", "node", "shingles")
         .repartition("hub", "block")
         .sortWithinPartitions("hub", "block", F.col("first").desc())
-        .mapInArrow(_compare_across(percent), "open boolean, a long, b long")
+        .mapInArrow(tidy(_compare_across(percent)), "open boolean, a long, b long")
         .select("a", "b")
     )
     member = components(links.unionByName(across))

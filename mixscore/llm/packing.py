@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixscore.llm.common import column, ship
+from mixscore.llm.common import column, release_memory, ship, tidy
 
 #: Documents dealt into one group on average: enough for first-fit to waste little, a few MB of ids.
 DOCS_PER_GROUP = 4096
@@ -190,36 +191,35 @@ def _tokenise(path: str, end_id: int, remembered: int):
 
 
 def _pack_group(capacity: int):
-    width = 4 * capacity
-
     def run(key, table):  # without hints, which applyInArrow would have to know
         group = key[0].as_py()
-        rows = sorted(
-            zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist()),
-            key=lambda r: (r[0] is None, r[0] or 0, r[1]),
-        )
-        docs, starts, totals, pieces = [], [], [], []
-        for doc, ids in rows:
-            for at in range(0, len(ids), width):
-                docs.append(doc)
-                starts.append(at // 4)
-                totals.append(len(ids) // 4)
-                pieces.append(ids[at : at + width])
-        lengths = np.array([len(p) // 4 for p in pieces], np.int64)
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("ids", "ascending")], null_placement="at_end")
+        table = table.take(order).combine_chunks()
+        doc_id, ids = table.column("doc_id").chunk(0), table.column("ids").chunk(0)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        total = np.diff(ends) // 4
+        pieces = -(-total // capacity)
+        doc = np.repeat(np.arange(len(total)), pieces)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+        lengths = np.minimum(capacity, total[doc] - start)
         full = lengths == capacity
         which, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         which[full] = np.arange(full.sum())
         which[~full], offset[~full] = first_fit_decreasing(lengths[~full], capacity)
         which[~full] += full.sum()
+        # the pieces lie one after the other in the documents' own buffer
+        cuts = np.append(ends[doc] + 4 * start, ends[-1]).astype(np.int32)
+        piece_ids = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts), ids.buffers()[2]])
+        release_memory()
         return pa.table(
             {
-                "doc_id": pa.array(docs, pa.int64()),
-                "start": pa.array(starts, pa.int64()),
+                "doc_id": doc_id.take(pa.array(doc)),
+                "start": pa.array(start),
                 "length": pa.array(lengths),
-                "doc_tokens": pa.array(totals, pa.int64()),
+                "doc_tokens": pa.array(total[doc]),
                 "sequence_id": pa.array(which + (group << 32)),
                 "offset": pa.array(offset),
-                "ids": pa.array(pieces, pa.binary()),
+                "ids": piece_ids,
             }
         )
 
@@ -258,5 +258,5 @@ def pack_documents(
         F.pmod(F.xxhash64(column(id_col), column(text_col)), F.lit(groups)).alias("pack_group"),
     )
     ship(docs.sparkSession)
-    ids = rows.mapInArrow(_tokenise(tokenizer, end_id, remembered_chunks), "pack_group long, doc_id long, ids binary")
+    ids = rows.mapInArrow(tidy(_tokenise(tokenizer, end_id, remembered_chunks)), "pack_group long, doc_id long, ids binary")
     return ids.groupBy("pack_group").applyInArrow(_pack_group(capacity), PIECE)

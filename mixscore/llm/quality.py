@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, tidy, within_bound
 from mixscore.llm.exchange import pack_keys, unpack_keys
 
 #: Bytes in the longest n-gram; 7 at most, so that an n-gram is one number.
@@ -387,11 +387,11 @@ def judge_quality(
     )
     calibrating = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(CALIBRATION)) == 0
     learned = within_bound(checkpointed(trusted.where(~calibrating)))
-    counted = rows.join(learned, "doc_id", "left_semi").select("text").mapInArrow(_count(order, shards), _COUNTED)
+    counted = rows.join(learned, "doc_id", "left_semi").select("text").mapInArrow(tidy(_count(order, shards)), _COUNTED)
     merged = counted.groupBy("shard").applyInArrow(_merge, _GRAM)
     model = checkpointed(_kneser_ney(merged, order))
     if model.limit(broadcast_grams + 1).count() <= broadcast_grams:
-        scored = rows.mapInArrow(_score_here(order, spark.sparkContext.broadcast(_arrays(model.toArrow()))), _SCORE)
+        scored = rows.mapInArrow(tidy(_score_here(order, spark.sparkContext.broadcast(_arrays(model.toArrow())))), _SCORE)
     else:
         scored = _score_sharded(rows, model, order, shards)
 
