@@ -10,10 +10,12 @@
    table with probability 0.99995, a pair with 0.85 with 0.999997.
 4. In every table the classes of one key propose to the smallest of them, its
    hub: as many proposals as members, not all pairs.
-5. The members of a hub are compared on their full sets, in blocks of bounded
-   size: the hub with every member, and those that are not linked to it (few)
-   with all others, so no link between members of a table is lost. Only links
-   that join something new leave a block.
+5. The members of a hub are compared on their full sets, in blocks bounded in
+   shingles and members: the hub with every member, and those that are not linked
+   to it with the others that share one of their rarest shingles, which any
+   link needs (prefix filter). So no link between members of a table is lost, and
+   members that share frequent shingles alone are not compared. Only links that
+   join something new leave a block.
 6. Links become components by distributed star contraction.
 """
 
@@ -37,6 +39,9 @@ SECOND = (10, 2)
 #: Shingles (8 bytes each) of the members that one block compares at a time.
 BLOCK_SHINGLES = 1 << 21
 
+#: Members that one block compares at a time, on average.
+BLOCK_MEMBERS = 1 << 16
+
 _HASHES = FIRST[0] * FIRST[1] + SECOND[0] * SECOND[1]
 _FACTORS = bytetext.stream(11, _HASHES) | np.uint64(1)
 _TERMS = bytetext.stream(12, _HASHES)
@@ -188,6 +193,55 @@ def _members(rows: pa.RecordBatch) -> list[tuple[bool, int, np.ndarray]]:
     ]
 
 
+def _shared_prefixes(sets: list[np.ndarray], percent: int) -> Iterator[np.ndarray]:
+    """Groups of sets that share one of their rarest shingles: every link lies in one of them.
+
+    Sets linked at ``percent`` share at least that share of the larger one, so of the
+    first ``n - ceil(share) + 1`` shingles of each, in one order, one is common.
+    Sizes that differ too much never link; a group is sorted by size.
+    """
+    sizes = np.array([len(s) for s in sets])
+    everything = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, which, spread = np.unique(everything, return_inverse=True, return_counts=True)
+    alone = spread[which] == 1  # meets nothing, but counts as one of the rarest
+    order = np.lexsort((which, spread[which], owner))
+    begin = np.cumsum(sizes) - sizes
+    prefix = sizes - -(-percent * sizes // 100) + 1
+    rank = np.arange(len(order)) - begin[owner[order]]
+    chosen = order[(rank < prefix[owner[order]]) & ~alone[order]]
+    chosen = chosen[np.lexsort((sizes[owner[chosen]], which[chosen]))]
+    shingle, member = which[chosen], owner[chosen]
+    cuts = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
+    for group in np.split(member, cuts):
+        if len(group) > 1:
+            yield group
+
+
+def _link_rest(
+    nodes: list[int], sets: list[np.ndarray], probe: np.ndarray, own: np.ndarray, forest: _Forest, percent: int
+) -> list[tuple[bool, int, int]]:
+    """Links of ``probe`` sets with ``own`` ones that join what ``forest`` has apart."""
+    out = []
+    sizes = np.array([len(s) for s in sets])
+    for group in _shared_prefixes(sets, percent):
+        seeking = group[probe[group]]
+        for low in range(0, len(seeking), 256):
+            some = seeking[low : low + 256]
+            # sets of other sizes can't be linked with any of these
+            least, most = sizes[some].min() * percent, sizes[some].max() * 100
+            others = group[own[group] & (sizes[group] * 100 >= least) & (sizes[group] * percent <= most)]
+            roots = {forest.find(nodes[i]) for i in some}
+            others = np.array([j for j in others if len(roots) > 1 or forest.find(nodes[j]) not in roots], np.int64)
+            if not len(others):
+                continue
+            links = _linked(_common([sets[i] for i in some], [sets[j] for j in others]), sizes[some], sizes[others], percent)
+            for i, j in zip(*np.nonzero(links)):
+                if forest.join(nodes[some[i]], nodes[others[j]]):
+                    out.append((False, nodes[some[i]], nodes[others[j]]))
+    return out
+
+
 def _compare_block(percent: int):
     """Links inside one block of a hub's members, and the members not linked to the hub."""
 
@@ -203,14 +257,9 @@ def _compare_block(percent: int):
         for i in np.flatnonzero(near):
             if forest.join(hub, nodes[i]):
                 out.append((False, hub, nodes[i]))
-        rest = np.flatnonzero(~near)
-        out += [(True, hub, nodes[i]) for i in rest]
-        for low in range(0, len(rest), 512):
-            part = rest[low : low + 512]
-            links = _linked(_common([sets[i] for i in part], sets), sizes[part], sizes, percent)
-            for i, j in zip(*np.nonzero(links)):
-                if forest.join(nodes[part[i]], nodes[j]):
-                    out.append((False, nodes[part[i]], nodes[j]))
+        out += [(True, hub, nodes[i]) for i in np.flatnonzero(~near)]
+        if not near.all():
+            out += _link_rest(nodes, sets, ~near, np.ones(len(sets), bool), forest, percent)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,29 +280,34 @@ def _compare_block(percent: int):
 def _compare_across(percent: int):
     """Links of a hub's open members with one block's members; ``first`` marks the block's own."""
 
+    def compare(own: list, probes: list, forest: _Forest) -> list[tuple[bool, int, int]]:
+        members = own + probes
+        is_probe = np.arange(len(members)) >= len(own)
+        return _link_rest([n for _, n, _ in members], [x for _, _, x in members], is_probe, ~is_probe, forest, percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[bool, int, np.ndarray]] = []
-        forest = _Forest()
+        probes: list[tuple[bool, int, np.ndarray]] = []
+        forest, held = _Forest(), 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if own and probes and (out := compare(own, probes, forest)):
+                yield _found(out)
+
         for _, new, part in _groups(batches, ["hub", "block"]):
             if new:
-                own, forest = [], _Forest()
-            rows = _members(part)
-            own += [r for r in rows if r[0]]
-            probes = [r for r in rows if not r[0]]
-            out = []
-            for low in range(0, len(probes), 512):
-                some = probes[low : low + 512]
-                if not own:
-                    break
-                links = _linked(
-                    _common([s for _, _, s in some], [s for _, _, s in own]),
-                    np.array([len(s) for _, _, s in some]), np.array([len(s) for _, _, s in own]), percent,
-                )
-                for i, j in zip(*np.nonzero(links)):
-                    if forest.join(some[i][1], own[j][1]):
-                        out.append((False, some[i][1], own[j][1]))
-            if out:
-                yield _found(out)
+                yield from done()
+                own, probes, forest, held = [], [], _Forest(), 0
+            for row in _members(part):
+                if row[0]:
+                    own.append(row)
+                    continue
+                probes.append(row)
+                held += len(row[2])
+                if held > BLOCK_SHINGLES or len(probes) > BLOCK_MEMBERS:  # of any number of other blocks
+                    yield from done()
+                    probes, held = [], 0
+        yield from done()
 
     return run
 
@@ -311,14 +365,19 @@ def near_duplicates(
         .select("key", "hub")
     )
     proposals = checkpointed(
-        tables.join(hubs, "key").where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
+        tables.join(hubs, "key")
+        .where(F.col("node") != F.col("hub"))
+        .select("hub", F.col("node").alias("node"))  # a name of its own, as it is joined with the classes
+        .distinct()
     )
 
     sizes = classes.select("node", "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
     blocks = (
         proposals.join(sizes, "node")
         .groupBy("hub")
-        .agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        .agg(
+            F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks")
+        )
     )
     placed = checkpointed(proposals.join(blocks, "hub"))
     sought = placed.select("node").unionByName(placed.select(F.col("hub").alias("node"))).distinct()

@@ -176,3 +176,29 @@ def test_contamination_runs_no_python(spark, sf_dir):
 
     plan = op3_decontamination(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_prefixes_lose_no_link_between_sets():
+    rng = np.random.default_rng(4)
+    for percent in (80, 50):
+        base = [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype(np.uint64) for _ in range(60)]
+        sets = base + [np.unique(np.append(b[: max(1, len(b) - k % 3)], rng.integers(0, 90, k % 4)).astype(np.uint64)) for k, b in enumerate(base * 2)]
+        nodes = rng.permutation(len(sets)).tolist()
+        probe = rng.random(len(sets)) < 0.6
+        found = near_dedup._link_rest(nodes, sets, probe, np.ones(len(sets), bool), near_dedup._Forest(), percent)
+        got, want = near_dedup._Forest(), near_dedup._Forest()
+        for _, a, b in found:
+            got.join(a, b)
+        for i, j in combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (probe[i] or probe[j]) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want.join(nodes[i], nodes[j])
+        assert [got.find(n) for n in nodes] == [want.find(n) for n in nodes] and len(found) > 20
+
+
+def test_very_many_short_documents_that_share_a_shingle(spark):
+    df = spark.range(6000, numPartitions=8).selectExpr("id AS doc_id", "concat('same words w', id % 5000) AS text")
+    got = near_duplicates(df, words=2)
+    small = got.where("component_id <> doc_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in small) == [(5000 + i, i) for i in range(1000)]
+    assert got.where("n_shingles = 2").count() == 6000

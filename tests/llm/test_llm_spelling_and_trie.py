@@ -38,16 +38,15 @@ def near_by_hand(words):
     return out
 
 
-@pytest.mark.parametrize("rare", [0, 3, 10**9])
-@pytest.mark.parametrize("short_list", [1, 32])
+@pytest.mark.parametrize("rare, short_list", [(0, 32), (3, 1), (10**9, 32)])
 def test_near_words_equal_brute_force(spark, monkeypatch, rare, short_list):
     monkeypatch.setattr(spelling, "SHORT_LIST", short_list)
-    words = vocabulary(1500) + ["x" * 300, "x" * 301, "y" + "x" * 300, "zzzzzz", "zzzzzzz"]
+    words = vocabulary(600) + ["x" * 300, "x" * 301, "y" + "x" * 300, "zzzzzz", "zzzzzzz"]
     frame = checkpointed(spark.createDataFrame([(w,) for w in words], "word string"))
     got = {(r["a"], r["b"]) for r in near_words(frame, 6, rare).collect()}
     want = near_by_hand([w for w in words if len(w) < 100])
     want |= {("x" * 300, "x" * 301), ("x" * 300, "y" + "x" * 300), ("x" * 301, "y" + "x" * 300)}
-    assert len(want) > 500 and got == want
+    assert len(want) > 100 and got == want
 
 
 @pytest.mark.parametrize("rare", [0, 5, 50])
@@ -135,23 +134,23 @@ def rebuilt_by_hand(rows, block=5, most=9):
     return out
 
 
-def conversations(seed, n=160):
+def conversations(seed, n=60):
     rng = random.Random(seed)
     rows = []
     for c in rng.sample(range(2000), n):
         length = rng.choice([1, 1, 2, 3, 5, 8, 12, 25])
         text = (lambda t: "hello é") if rng.random() < 0.4 else (lambda t: rng.choice(["a", "bé", "ccc"]))
         rows += [(c, t, "user" if t % 2 else None, text(t)) for t in range(length)]
-    rows += [(5000, t, "user", f"x{t}" if t == 240 else "same") for t in range(250)]
-    rows += [(5000 + i, t, "user", f"y{i}" if t == 200 + i else "same") for i in (5, 10, 15) for t in range(230)]
-    rows += [(c, t, "user", "copy") for c in range(7000, 7400) for t in range(4)]
+    rows += [(5000, t, "user", f"x{t}" if t == 60 else "same") for t in range(70)]
+    rows += [(5000 + i, t, "user", f"y{i}" if t == 40 + i else "same") for i in (5, 10, 15) for t in range(60)]
+    rows += [(c, t, "user", "copy") for c in range(7000, 7200) for t in range(4)]
     rows += [(9000, None, "user", "first"), (9000, 3, None, None), (9000, 3, None, None), (9000, None, "a", None), (9003, 1, "", "")]
     rows += [(None, 1, "user", "nobody"), (9990, 0, "user", "w" * 200_000)]
     rng.shuffle(rows)
     return rows
 
 
-@pytest.mark.parametrize("container", [1, 40, 10**6])
+@pytest.mark.parametrize("container", [40, 10**6])
 def test_trie_equals_brute_force(spark, container):
     rows = conversations(6)
     frame = spark.createDataFrame([(*r, 1) for r in rows], TURNS + ", pos int").repartition(6)
