@@ -10,6 +10,7 @@ then computed once per row.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,26 @@ def normalise_key(name: Column) -> Column:
 
 def _match(subject: str, dictionary: PropertyDictionary) -> str:
     """SQL text of the index of the first key that ``subject`` contains; else null."""
+    if dictionary.match == "longest":
+        return _longest(subject, dictionary)
     cases = [f"WHEN contains({subject}, {string(k.lower())}) THEN {i}" for i, k in enumerate(dictionary.keys)]
     blocks = [f"CASE {' '.join(cases[i : i + CASE_KEYS])} END" for i in range(0, len(cases), CASE_KEYS)]
     return blocks[0] if len(blocks) == 1 else f"coalesce({', '.join(blocks)})"
 
 
+def _longest(subject: str, dictionary: PropertyDictionary) -> str:
+    """The same of the keys that leftmost-longest matching finds: an alternation tries the longest first."""
+    index: dict[str, int] = {}
+    for i, k in enumerate(dictionary.keys):
+        index.setdefault(k.lower(), i)
+    pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", k) for k in sorted(index, key=len, reverse=True))
+    cases = " ".join(f"WHEN {string(k)} THEN {i}" for k, i in index.items())
+    found = f"regexp_extract_all({subject}, {string(pattern)}, 0)"
+    return f"array_min(transform({found}, found -> CASE found {cases} END))"
+
+
 def _by_automaton(dictionary: PropertyDictionary) -> bool:
-    return dictionary.match == "longest" or len(dictionary.keys) > AUTOMATON_KEYS
+    return len(dictionary.keys) > AUTOMATON_KEYS
 
 
 def _literal(values: list, kind: str) -> str:
