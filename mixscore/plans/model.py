@@ -19,7 +19,8 @@ from mixscore.functions.text import quoted
 from mixscore.operators.decide import CANDIDATES, FLOOR, THRESHOLD, search_needed, used_weights
 from mixscore.operators.pca import PcaFit, fit_pca, project
 from mixscore.operators.prepare import available_features
-from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, PropertyDictionary
+from mixscore.plans.table_lookup import enrich_by_table
+from mixscore.sources.dictionary import FEATURES, INITIAL_WEIGHTS, SOLVENTS, DictionaryTable, PropertyDictionary
 from mixscore.sources.measurements import require_columns
 
 # Columns that exist between two selects only.
@@ -86,8 +87,12 @@ def _kept(df: DataFrame, produced) -> list[str]:
     return [quoted(c) for c in df.columns if c.lower() not in replaced]
 
 
-def enrich(df: DataFrame, dictionary: PropertyDictionary = SOLVENTS, solvent: str = "Solvent") -> DataFrame:
-    """Append the main label and the property profile of every row, row by row."""
+def enrich(
+    df: DataFrame, dictionary: PropertyDictionary | DictionaryTable = SOLVENTS, solvent: str = "Solvent"
+) -> DataFrame:
+    """Append the main label and the property profile of every row: row by row, or by joins with a dictionary table."""
+    if isinstance(dictionary, DictionaryTable):
+        return enrich_by_table(df, dictionary, solvent)
     matched = _with_match(df, normalise_key(F.col(quoted(solvent))), dictionary)
     own = _kept(df, ["Solvent_Main", *dictionary.properties])
     return _with_profile(matched, dictionary).selectExpr(*own, "Solvent_Main", *_properties(dictionary))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mixscore.sources.shared import small_frame
 
@@ -143,6 +144,57 @@ class PropertyDictionary:
         )
 
 
+#: Blank edges of a key, as `str.strip` knows them.
+_EDGES = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+@dataclass(frozen=True)
+class DictionaryTable:
+    """A dictionary of any number of keys that stays a table, with the rules of ``match="first"``.
+
+    ``frame`` holds the keys, a column of their order and a property in each other column.
+    """
+
+    frame: DataFrame
+    default_key: str
+    key: str = "key"
+    order: str = "ord"
+
+    @property
+    def properties(self) -> tuple[str, ...]:
+        return tuple(c for c in self.frame.columns if c not in (self.key, self.order))
+
+    def keyed(self) -> DataFrame:
+        """(ord, key, __mix_p0, __mix_p1, ...): missing values are null."""
+        named = {c: F.col("`" + c.replace("`", "``") + "`") for c in self.frame.columns}
+        null = F.lit(None).cast("double")
+        values = [F.nanvl(named[p].cast("double"), null).alias(f"__mix_p{i}") for i, p in enumerate(self.properties)]
+        return self.frame.select(named[self.order].alias("ord"), named[self.key].alias("key"), *values)
+
+    def check(self) -> None:
+        """Refuse the keys that `PropertyDictionary` refuses."""
+        key = F.col("key")
+        bad = key.isNull() | (key == "") | F.contains(key, F.lit("/")) | key.rlike(f"^{_EDGES}|{_EDGES}\\z")
+        keys = self.keyed().select("key")
+        for row in keys.where(bad).limit(1).collect():
+            raise ValueError(f"key {row[0]!r} is empty, has blank edges or contains '/'")
+        if keys.groupBy("key").count().where("count > 1").limit(1).count():
+            raise ValueError("dictionary needs one row per distinct key")
+
+    def default_row(self) -> tuple[float | None, ...]:
+        rows = self.keyed().where(F.col("key") == self.default_key).drop("ord", "key").limit(1).collect()
+        if not rows:
+            raise ValueError(f"default key {self.default_key!r} is not in the dictionary")
+        return tuple(rows[0])
+
+
+def dictionary_from(df: DataFrame, default_key: str, key: str = "key", order: str = "ord") -> PropertyDictionary | DictionaryTable:
+    """The dictionary of a table: collected up to `MOST_KEYS` keys, beyond them left as a table."""
+    if df.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        return DictionaryTable(df, default_key, key, order)
+    return PropertyDictionary.from_frame(df, default_key, key, order)
+
+
 SOLVENTS = PropertyDictionary.from_rows(_PROPERTIES, _ROWS, default_key="Water")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscore.sources.dictionary import PropertyDictionary
+from mixscore.sources.dictionary import DictionaryTable, PropertyDictionary, dictionary_from
 
 # Solvent text of a part: entry p_partkey % 16; the empty text is a missing value.
 SOLVENT_TEXTS = (
@@ -77,12 +77,12 @@ LINE_TEXT = (
 )
 
 
-def part_dictionary(spark: SparkSession, sf_dir: str) -> PropertyDictionary:
+def part_dictionary(spark: SparkSession, sf_dir: str) -> PropertyDictionary | DictionaryTable:
     """A dictionary of as many keys as there are parts, in the order of their numbers."""
     rows = table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS ord", f"{PART_KEY} AS key", "CAST(p_size AS DOUBLE) AS size", "p_retailprice AS price"
     )
-    return PropertyDictionary.from_frame(rows, default_key=rows.orderBy("ord").first()["key"])
+    return dictionary_from(rows, default_key=rows.orderBy("ord").first()["key"])
 
 
 def line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from mixscore.functions.lookup import (
 )
 from mixscore.plans import enrich, fit_profile_pca, score_rows
 from mixscore.sources import dictionary as dictionary_module
-from mixscore.sources.dictionary import FEATURES, SOLVENTS, PropertyDictionary
+from mixscore.sources.dictionary import FEATURES, SOLVENTS, DictionaryTable, PropertyDictionary, dictionary_from
 
 
 def expected(text, dictionary):
@@ -239,6 +239,41 @@ def test_a_dictionary_from_a_table(spark, monkeypatch):
         PropertyDictionary.from_frame(table, "b")
 
 
+@pytest.mark.parametrize("n", [5, 700])
+def test_a_dictionary_table_gives_what_the_expressions_give(spark, monkeypatch, n):
+    rng = random.Random(n)
+    d = long_dictionary(rng, n)
+    more = [("abé a long key of over thirty-two letters, and its end", 1.5, -2.5), ("B" * 300 + "a", 2.5, float("nan"))]
+    d = PropertyDictionary.from_rows(d.properties, [*((k, *r) for k, r in zip(d.keys, d.rows)), *more], d.default_key)
+    texts = [*odd_texts(rng, d.keys, 300), "x" * 250 + more[0][0].upper() + "/" + "b" * 700 + "A", "Unknown", more[1][0]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, Solvent string")
+    keys = [(i, k, *r) for i, (k, r) in enumerate(zip(d.keys, d.rows))]
+    table = spark.createDataFrame(keys, "ord int, key string, a double, b double")
+    want = {r["row_id"]: r for r in enrich(df, d).collect()}
+    monkeypatch.setattr(dictionary_module, "MOST_KEYS", 3)
+    beyond = dictionary_from(table, d.default_key)
+    assert isinstance(beyond, DictionaryTable)
+    got = enrich(df, beyond)
+    assert got.columns == ["row_id", "Solvent", "Solvent_Main", "a", "b"]
+    assert {r["row_id"]: r for r in got.collect()} == want
+
+
+def test_more_keys_than_are_collected_are_looked_up(spark, sf_dir, monkeypatch):
+    from mixscore_checks.queries import long_dictionary as query
+
+    want = sorted(query(spark, sf_dir).collect())
+    monkeypatch.setattr(dictionary_module, "MOST_KEYS", 199)
+    assert sorted(query(spark, sf_dir).collect()) == want
+
+
+@pytest.mark.parametrize("keys", [["a", "a"], ["a", "b/c"], ["a", " b"], ["a", "b\u2003"], ["a", ""], ["a", None], ["b", "c"]])
+def test_bad_dictionary_tables_are_refused(spark, keys):
+    table = spark.createDataFrame([(i, k, 1.0) for i, k in enumerate(keys)], "ord int, key string, p double")
+    df = spark.createDataFrame([("a",)], "Solvent string")
+    with pytest.raises(ValueError):
+        enrich(df, DictionaryTable(table, "a"))
+
+
 def test_a_long_dictionary_fits_and_scores(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS row_id", "p_name || p_partkey AS Solvent")
     d = PropertyDictionary.from_rows(
