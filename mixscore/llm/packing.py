@@ -43,15 +43,17 @@ class Encoder:
 
     The byte-level pre-tokeniser cuts before every blank and after every run of
     letters, and never joins what stands on both sides of a cut. So a text cut
-    there into chunks has the ids of its chunks put together. A text with
-    doubled or unusual white space, or with numerals that count as word
-    characters, is cut at white space only.
+    there into chunks has the ids of its chunks put together. A text is cut at
+    white space; a new chunk without unusual white space and without numerals that
+    count as word characters is put together from its runs of letters and what lies
+    between. A run of letters is one word to the tokeniser's model, which is asked directly.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS) -> None:
         import unicodedata
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
@@ -60,7 +62,18 @@ class Encoder:
         self._rare = re.compile("[\t\x0b\x0c\r]")
         self._unusual = re.compile(f"[{rare}{numerals}]")
         self._far = re.compile("[\U00010000-\U0010ffff]")
-        self._plain = re.compile(r" ?[^\W\d_]+|\n| ?[^ \n]+")
+        self._plain = re.compile(r" ?[^\W\d_]+| ?[^ ]+")
+        # scripts whose letters have long been letters to every version of Unicode
+        self._letters = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0400-\u0481\u4e00-\u9fa5]+").fullmatch
+        cut = self._tokenizer.pre_tokenizer
+        self._direct = (
+            self._tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        )
+        # the letters that the byte-level vocabulary writes for bytes: the byte's own if it prints, else one from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self._letter_of = np.arange(256, dtype="<u2")
+        self._letter_of[hidden] = 256 + np.arange(len(hidden))
         self._any = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
@@ -73,24 +86,70 @@ class Encoder:
         else:
             unusual = self._unusual.search(text) or self._far.search(text)
         doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ")
-        return (self._any if doubled or unusual else self._plain).findall(text)
-
-    def _learn(self, chunks: list[str]) -> None:
+        if doubled or unusual or "\0" in text:
+            return self._any.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
+        data, start = ids.tobytes(), 0
+        for c, end in zip(chunks, ends, strict=True):
+            self._known[c] = data[4 * start : 4 * end]
+            start = end + gap
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Remember the ids of runs of letters, each a word of the model."""
+        tokenize = self._tokenizer.model.tokenize
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            written = self._letter_of[np.frombuffer("\n".join(part).encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids: list[int] = []
+            ends = []
+            for w in written.split(chr(self._letter_of[ord("\n")])):
+                ids += [t.id for t in tokenize(w)]
+                ends.append(len(ids))
+            self._keep(part, np.array(ids, "<u4"), ends, 0)
+
+    def _learn_whole(self, chunks: list[str]) -> None:
         """Remember the ids of chunks; many at a time as the lines of one text, which is cut at its newlines."""
         lines = [c for c in chunks if c[-1] not in _SPACES]
         for i in range(0, len(lines), 5_000):
             part = lines[i : i + 5_000]
             text = self._tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
             ids = np.array(text.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self._newline).tolist(), len(ids)]
-            data, start = ids.tobytes(), 0
-            for c, end in zip(part, ends, strict=True):
-                self._known[c] = data[4 * start : 4 * end]
-                start = end + 1
+            self._keep(part, ids, [*np.flatnonzero(ids == self._newline).tolist(), len(ids)], 1)
         for c in chunks:
             if c[-1] in _SPACES:
                 self._known[c] = np.array(self._tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks."""
+        known, before, letters = self._known, self._before, self._letters if self._direct else lambda c: None
+        words, whole, mixed = set(), set(), []
+        for c in chunks:
+            if not c:
+                known[c] = b""
+            elif letters(c):
+                words.add(c)
+            elif c[-1] in _SPACES or self._unusual.search(c) or self._far.search(c):
+                whole.add(c)
+            else:
+                parts = self._plain.findall(c)
+                if len(parts) == 1:
+                    whole.add(c)
+                else:
+                    mixed.append((c, parts))
+        for _, parts in mixed:
+            for p in parts:
+                if p not in known:
+                    if p in before:
+                        known[p] = before[p]
+                    else:
+                        (words if letters(p) else whole).add(p)
+        self._learn_words(list(words))
+        self._learn_whole(list(whole))
+        for c, parts in mixed:
+            known[c] = b"".join(map(known.__getitem__, parts))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         chunks = [self._split(t) if t else [] for t in texts]
@@ -100,7 +159,7 @@ class Encoder:
         new = set().union(*chunks).difference(known)
         again = new.intersection(before)
         known.update(zip(again, map(before.__getitem__, again)))
-        self._learn(list(new - again))
+        self._learn(new - again)
         return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 

@@ -116,3 +116,17 @@ def test_packing_repeated_rows_ties_and_nothing(spark):
     assert sorted(r["offset"] for r in rows) == [0, 4, 8, 12] and len({r["sequence_id"] for r in rows}) == 1
     assert pack_documents(df.limit(0), byte_bpe()).collect() == []
     assert not re.search("long", str(dict(df.dtypes)["ids"]))
+
+
+def test_chunks_with_marks_are_put_together_from_runs_of_letters():
+    from mixscore.llm.packing import Encoder
+    from mixscore.llm.queries import byte_bpe
+
+    encoder = Encoder(byte_bpe(), 4)  # forgets at once
+    whole = []
+    learn = encoder._learn_whole
+    encoder._learn_whole = lambda chunks: (whole.extend(chunks), learn(chunks))
+    texts = ["one, two; (three) ñandú.\nÉté", "one two. three, don't!", "", "a\0b \0", "x² one,", "ﬁn one. \U0001f600, Жук: 漢字"] * 3
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(encoder._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert not {"one", " two", " three", " ñandú", "Été"} & set(whole)
