@@ -119,3 +119,48 @@ def test_thresholds_by_language_lean_on_all_texts():
     assert cuts[None] == pytest.approx(0.5) and cuts["en"] == pytest.approx(0.5)
     assert abs(cuts["fr"] - 0.5) < 0.02
     assert toxicity.best_threshold(scores, 0 * toxic, 0.3) == 0.3
+
+
+def test_every_labelled_text_is_learned_from(spark, monkeypatch):
+    """More labelled texts than an earlier sample took, texts of over 16 KB among them."""
+    rows, labels = corpus(9000, seed=5)
+    rows[13] = (13, rows[13][1] + " lengthword" * 3000, "en")
+    rows[17] = (17, "lengthword " * 3000, "en")
+    rows[21] = (21, "lengthword " * 3000, "en")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *more: seen.append((texts, more)) or fit(texts, *more))
+    docs, marks = spark.createDataFrame(rows, DOCS).repartition(5), spark.createDataFrame(labels, LABELS)
+    got = score_toxicity(docs, marks, F.col("doc_id") % 4 == 2).collect()
+    ((texts, (toxic, clean, size, shards)),) = seen
+    assert texts.count() == toxic + clean and shards == 2 and texts.rdd.getNumPartitions() == 2
+    apart = spark.range(9000).where("id % 4 <> 2").where(F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(4)) != 0)
+    assert toxic + clean == apart.count() > 2 * 2000  # what an earlier sample took at most
+    assert size == sum(len(rows[r[0]][1]) for r in apart.collect())
+    truth = {i: y for i, y, _ in labels}
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["predicted"] for r in held if truth[r["doc_id"]]]) > 0.9
+    assert np.mean([r["predicted"] for r in held if not truth[r["doc_id"]]]) < 0.05
+
+
+def test_shards_weights_are_averaged_where_they_were_touched():
+    net, memory = toxicity.fresh(np.arange(5))
+    every = toxicity._rows_of(net, memory)
+    assert every.shape[1] == 2 * toxicity.DIMENSIONS
+    table = pa.table({
+        "part": [1, 1, 1], "row": [3, 1, 3], "shard": [0, 0, 1],
+        "weights": [np.full(32, v, "<f4").tobytes() for v in (1.0, 7.0, 2.0)],
+    })
+    mean = toxicity._mean(table).to_pydict()
+    assert mean["row"] == [1, 3] and [np.frombuffer(w, "<f4")[0] for w in mean["weights"]] == [7.0, 1.5]
+    out = net.out.copy()
+    toxicity._put_rows(net, memory, np.array(mean["row"]), np.array([np.frombuffer(w, "<f4") for w in mean["weights"]]))
+    assert (net.embedding[3] == 1.5).all() and (memory[0][1] == 7.0).all() and (net.out == out).all()
+    assert np.allclose(toxicity._rows_of(net, memory)[[0, 2]], every[[0, 2]])
+
+
+def test_thresholds_of_counted_cells():
+    low = np.array([0.25, 0.5, 0.75])
+    n, toxic = np.array([100, 10, 50]), np.array([0, 10, 50])
+    assert toxicity.best_threshold(low, toxic, 0.3, n, 0.25) == 0.5
+    assert toxicity.thresholds(low, toxic, ["a"] * 3, 0.3, n, 0.25) == {None: 0.5, "a": 0.5}
