@@ -23,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixscore.llm.bytetext import slices, utf8
 from mixscore.llm.common import column, release_memory, ship, tidy
 
 #: Documents dealt into one group on average: enough for first-fit to waste little, a few MB of ids.
 DOCS_PER_GROUP = 4096
 
-#: Distinct chunks of text whose ids a worker remembers of late, and as many from before
+#: Distinct pieces of text whose ids a worker remembers of late, and as many from before
 #: that are forgotten if they don't come again (about 200 bytes each).
 REMEMBERED_CHUNKS = 500_000
 
@@ -38,31 +39,67 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+# Bytes that end a piece or may: ASCII white space, other ASCII that is no letter, ASCII letters.
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = ~_BLANK & ~_LETTER & (np.arange(256) < 128)
+
+# First bytes of letters of two and three bytes: of scripts whose letters have long been letters to every version of
+# Unicode, and where (nearly) all that begins so is one.
+_TWO = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
+_THREE = np.isin(np.arange(256), range(0xE5, 0xE9))
+
+
+def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks bytes of texts before which the byte-level pre-tokeniser always cuts, every text's first one among them.
+
+    Of a run of ASCII white space it takes the last blank to the word that follows, and a
+    last character that is no blank stands alone; at the end of a text a run stays whole. Further
+    cuts are those between a known letter and another ASCII character, but not after an
+    apostrophe. Nothing is cut beside other characters.
+    """
+    n = len(data)
+    blank = _BLANK[data]
+    before = np.zeros(n, bool)  # blank, and in the same text
+    before[1:] = blank[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    before[first] = False
+    cut = blank & ~before
+    cut[first] = True
+    ended = np.flatnonzero(before & ~blank)  # behind runs that words follow
+    cut[ended - 1] = True
+    cut[ended[data[ended - 1] != 32]] = True
+    # letter, then mark
+    at = np.flatnonzero(_MARK[data[1:]] & ~_MARK[data[:-1]] & ~blank[:-1]) + 1
+    last, second, third = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    follows = last >= 0x80
+    two = follows & _TWO[second] & ~((second == 0xC3) & ((last == 0x97) | (last == 0xB7)))  # the signs of products
+    cut[at[_LETTER[last] | two | (follows & (second >= 0x80) & _THREE[third])]] = True
+    # mark, then letter
+    at = np.flatnonzero(_MARK[data[:-1]] & (data[:-1] != 39) & ~_MARK[data[1:]] & ~blank[1:]) + 1
+    lead, second = data[at], data[np.minimum(at + 1, n - 1)]
+    two = _TWO[lead] & ~((lead == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+    cut[at[_LETTER[lead] | two | _THREE[lead]]] = True
+    return cut
+
+
 class Encoder:
-    """Token ids of texts, remembering the ids of their chunks.
-
-    The byte-level pre-tokeniser cuts before every blank and after every run of
-    letters, and never joins what stands on both sides of a cut. So a text cut
-    there into chunks has the ids of its chunks put together. A text is cut at
-    white space; a new chunk without unusual white space and without numerals that
-    count as word characters is put together from its runs of letters and what lies
-    between. A run of letters is one word to the tokeniser's model, which is asked directly.
+    """Token ids of texts, remembering the ids of their pieces.
+
+    The byte-level pre-tokeniser cuts before every blank and between letters and
+    others, and never joins what stands on both sides of a cut. So a text cut
+    there into pieces has the ids of its pieces put together. Pieces are cut and
+    told apart as whole Arrow columns, so Python handles the distinct ones of a slice alone. A text with
+    unusual white space is cut at white space only. A run of letters is one word to the tokeniser's model, which is
+    asked directly.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS) -> None:
-        import unicodedata
-
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        rare = _SPACES.replace("\n", "").replace(" ", "", 1)
-        numerals = "".join(chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Nl", "No"))
-        self._rare = re.compile("[\t\x0b\x0c\r]")
-        self._unusual = re.compile(f"[{rare}{numerals}]")
-        self._far = re.compile("[\U00010000-\U0010ffff]")
-        self._plain = re.compile(r" ?[^\W\d_]+| ?[^ ]+")
         # scripts whose letters have long been letters to every version of Unicode
         self._letters = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af\u0400-\u0481\u4e00-\u9fa5]+").fullmatch
         cut = self._tokenizer.pre_tokenizer
@@ -74,26 +111,17 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self._letter_of = np.arange(256, dtype="<u2")
         self._letter_of[hidden] = 256 + np.arange(len(hidden))
+        self._rare = re.compile("|".join(c for c in _SPACES if c > "\x7f").encode())
         self._any = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
         self._remembered = remembered
-        self._known: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
+        self._before: dict[bytes, bytes] = {}
         self._newline = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
-    def _split(self, text: str) -> list[str]:
-        if text.isascii():
-            unusual = self._rare.search(text)
-        else:
-            unusual = self._unusual.search(text) or self._far.search(text)
-        doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text.endswith(" ")
-        if doubled or unusual or "\0" in text:
-            return self._any.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _keep(self, chunks: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
+    def _keep(self, pieces: list[str], ids: np.ndarray, ends: list[int], gap: int) -> None:
         data, start = ids.tobytes(), 0
-        for c, end in zip(chunks, ends, strict=True):
-            self._known[c] = data[4 * start : 4 * end]
+        for p, end in zip(pieces, ends, strict=True):
+            self._known[p.encode()] = data[4 * start : 4 * end]
             start = end + gap
 
     def _learn_words(self, words: list[str]) -> None:
@@ -109,58 +137,80 @@ class Encoder:
                 ends.append(len(ids))
             self._keep(part, np.array(ids, "<u4"), ends, 0)
 
-    def _learn_whole(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks; many at a time as the lines of one text, which is cut at its newlines."""
-        lines = [c for c in chunks if c[-1] not in _SPACES]
+    def _learn_whole(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces; many at a time as the lines of one text, which is cut at its newlines."""
+        lines = [p for p in pieces if p[-1] not in _SPACES]
         for i in range(0, len(lines), 5_000):
             part = lines[i : i + 5_000]
             text = self._tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0]
             ids = np.array(text.ids, "<u4")
             self._keep(part, ids, [*np.flatnonzero(ids == self._newline).tolist(), len(ids)], 1)
-        for c in chunks:
-            if c[-1] in _SPACES:
-                self._known[c] = np.array(self._tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember the ids of chunks."""
-        known, before, letters = self._known, self._before, self._letters if self._direct else lambda c: None
-        words, whole, mixed = set(), set(), []
-        for c in chunks:
-            if not c:
-                known[c] = b""
-            elif letters(c):
-                words.add(c)
-            elif c[-1] in _SPACES or self._unusual.search(c) or self._far.search(c):
-                whole.add(c)
-            else:
-                parts = self._plain.findall(c)
-                if len(parts) == 1:
-                    whole.add(c)
+        for p in pieces:
+            if p[-1] in _SPACES:
+                ids = np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, "<u4")
+                self._keep([p], ids, [len(ids)], 0)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remember the ids of pieces."""
+        letters = self._letters if self._direct else lambda p: None
+        words: list[str] = []
+        whole: list[str] = []
+        for p in map(bytes.decode, pieces):
+            (words if letters(p) else whole).append(p)
+        self._learn_words(words)
+        self._learn_whole(whole)
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self._known) > self._remembered:
+            self._before, self._known = self._known, {}
+        known, before = self._known, self._before
+        ids = list(map(known.get, pieces))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            unknown = []
+            for i in new:
+                p = pieces[i]
+                if p in before:
+                    known[p] = before[p]
                 else:
-                    mixed.append((c, parts))
-        for _, parts in mixed:
-            for p in parts:
-                if p not in known:
-                    if p in before:
-                        known[p] = before[p]
-                    else:
-                        (words if letters(p) else whole).add(p)
-        self._learn_words(list(words))
-        self._learn_whole(list(whole))
-        for c, parts in mixed:
-            known[c] = b"".join(map(known.__getitem__, parts))
+                    unknown.append(p)
+            self._learn(unknown)
+            for i in new:
+                ids[i] = known[pieces[i]]
+        return ids
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """For each text its ids as little-endian unsigned 32-bit numbers, then ``end``; null counts as empty."""
+        data, offsets = utf8(texts)
+        starts = offsets[:0]
+        if len(data):
+            cut = _piece_starts(data, offsets)
+            if self._rare.search(data):
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    if self._rare.search(data[a:b]):
+                        lengths = [len(p.encode()) for p in self._any.findall(data[a:b].tobytes().decode())]
+                        cut[a:b] = False
+                        cut[a + np.cumsum([0, *lengths[:-1]])] = True
+            starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        column_ = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
+        ).dictionary_encode()
+        distinct = column_.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array([*self._ids(distinct), end], pa.large_binary())
+        begin = np.searchsorted(starts, offsets)
+        # every text's pieces, then the end
+        order = np.insert(column_.indices.to_numpy().astype(np.int64), begin[1:], len(distinct))
+        taken = ids.take(pa.array(order))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        bounds = np.ascontiguousarray(ends[begin + np.arange(len(begin))])
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), taken.buffers()[2]])
+        return out.cast(pa.binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        chunks = [self._split(t) if t else [] for t in texts]
-        if len(self._known) > self._remembered:
-            self._before, self._known = self._known, {}
-        known, before = self._known, self._before
-        new = set().union(*chunks).difference(known)
-        again = new.intersection(before)
-        known.update(zip(again, map(before.__getitem__, again)))
-        self._learn(new - again)
-        return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -234,15 +284,12 @@ def _tokenise(path: str, end_id: int, remembered: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from mixscore.llm.bytetext import slices
-
         encoder = _encoder(path, remembered)
         for batch in batches:
             for part in slices(batch, "text", 3 << 18):
-                texts = part.column("text").to_pylist()
-                ids = [x + end for x in encoder.encode(texts)]
+                ids = encoder.encode_column(part.column("text"), end)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("pack_group"), part.column("doc_id"), pa.array(ids, pa.binary())],
+                    [part.column("pack_group"), part.column("doc_id"), ids],
                     ["pack_group", "doc_id", "ids"],
                 )
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,29 @@ def test_chunks_with_marks_are_put_together_from_runs_of_letters():
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids == np.array(encoder._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
     assert not {"one", " two", " three", " ñandú", "Été"} & set(whole)
+
+
+def test_letters_between_marks_are_runs_of_their_own():
+    encoder = Encoder(byte_bpe())
+    whole = []
+    learn = encoder._learn_whole
+    encoder._learn_whole = lambda pieces: (whole.extend(pieces), learn(pieces))
+    texts = ["(one) two-three 4five6 «seven»", "(zwölf) Жук! (漢字)  x\t(y)", "don't 'tis x×(y)÷z α(β)γ é́(a)", "\n(a)\n\n(b) ", "x²y (ß)"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(encoder._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert {"-", "(", "!"} <= set(whole)
+    assert not [p for p in whole if re.search("one|two|three|five|zwölf|Жук|漢字", p)]
+
+
+def test_columns_of_any_code_points_have_the_ids_of_the_whole_texts():
+    random.seed(4)
+    encoder = Encoder(byte_bpe(), 50)
+    kinds = [(32, 128), (0x80, 0x300), (0x300, 0x2100), (0x3000, 0xD800), (0xE000, 0x11000), (0x4DB0, 0x4E10), (0x9FA0, 0x9FFF)]
+    one = lambda: random.choice(["a", " ", "'", "\n", "(", chr(random.randrange(*random.choice(kinds)))])
+    texts = ["".join(one() for _ in range(random.randint(0, 15))) for _ in range(20_000)]
+    texts[5:8] = [None, "", " "]
+    end = np.array([7], "<u4").tobytes()
+    got = encoder.encode_column(pa.array(texts, pa.string()).slice(3), end).to_pylist()
+    want = encoder._tokenizer.encode_batch([t or "" for t in texts[3:]], add_special_tokens=False)
+    assert got == [np.array([*e.ids, 7], "<u4").tobytes() for e in want]
+    assert encoder.encode([]) == []
