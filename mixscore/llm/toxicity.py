@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, ship, within_bound
+from mixscore.llm.common import checkpointed, column, shuffles_deleted, ship, within_bound
 
 #: Labelled rows of a shard on average, until there are `MOST_SHARDS`; then shards grow, which are read as a stream.
 SHARD_DOCS = 4096
@@ -437,6 +437,45 @@ def _outputs(net: Network, texts: pa.Array) -> np.ndarray:
     return net.outputs(net.known(buckets), *padded(tokens, begin))
 
 
+def _learned(
+    rows: DataFrame, labels: DataFrame, held_out: Column, threshold: float, id_col: str, label_col: str
+) -> tuple[Network | None, dict[str | None, float], float]:
+    """The calibrated network and the thresholds of languages; None and the share of toxic labels if there is nothing to learn."""
+    spark = rows.sparkSession
+    marks = (
+        labels.where(column(id_col).isNotNull() & column(label_col).isin(0, 1) & ~held_out)
+        .groupBy(column(id_col).cast("long").alias("doc_id"))
+        .agg(F.min(column(label_col)).alias("toxic"), F.max(column(label_col)).alias("most"))
+        .where("toxic = most")
+    )
+    calibrating = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
+    marks = checkpointed(marks.select("doc_id", F.col("toxic").cast("int").alias("toxic"), calibrating.alias("apart")))
+    shards = min(MOST_SHARDS, max(1, -(-marks.where("NOT apart").count() // SHARD_DOCS)))
+    texts = rows.join(within_bound(marks), "doc_id").where("text IS NOT NULL")
+    texts = texts.select("doc_id", "toxic", "apart", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    texts = texts.repartition(shards, "shard").dropDuplicates(["shard", "doc_id"])
+    texts = checkpointed(texts.sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id"))
+    counted = texts.groupBy("apart", "toxic").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).collect()
+    number = {(apart, toxic): n for apart, toxic, n, _ in counted}
+    toxic, clean = number.get((False, 1), 0), number.get((False, 0), 0)
+    if not toxic or not clean:
+        share = marks.agg(F.avg("toxic")).first()[0] or 0.0
+        return None, {None: threshold}, float(share)
+    size = sum(size or 0 for apart, _, _, size in counted if not apart)
+    net = fit(texts.where("NOT apart").select("text", "toxic"), toxic, clean, size, shards)
+    both = (True, 0) in number and (True, 1) in number  # else calibrate by all there is
+    held = texts.where("apart") if both else texts
+    network = spark.sparkContext.broadcast(net)
+    held = checkpointed(held.select("toxic", "lang", "text").mapInArrow(_output(network), "toxic int, lang string, output double"))
+    network.destroy()
+    calibrate(net, held)
+    cell = F.floor(_probability(net.scale, net.shift) * CELLS).cast("int").alias("cell")
+    cells = held.groupBy("lang", cell).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    low, of, n = (cells.column(c).to_numpy() for c in ("cell", "toxic", "n"))
+    cuts = thresholds(low / CELLS, of, cells.column("lang").to_pylist(), threshold, n, 1 / CELLS)
+    return net, cuts, 0.0
+
+
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -470,39 +509,11 @@ def score_toxicity(
         column(lang_col).cast("string").alias("lang"),
         column(text_col).cast("string").alias("text"),
     )
-    marks = (
-        labels.where(column(id_col).isNotNull() & column(label_col).isin(0, 1) & ~held_out)
-        .groupBy(column(id_col).cast("long").alias("doc_id"))
-        .agg(F.min(column(label_col)).alias("toxic"), F.max(column(label_col)).alias("most"))
-        .where("toxic = most")
-    )
-    calibrating = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0
-    marks = checkpointed(marks.select("doc_id", F.col("toxic").cast("int").alias("toxic"), calibrating.alias("apart")))
-    shards = min(MOST_SHARDS, max(1, -(-marks.where("NOT apart").count() // SHARD_DOCS)))
-    texts = rows.join(within_bound(marks), "doc_id").where("text IS NOT NULL")
-    texts = texts.select("doc_id", "toxic", "apart", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    texts = texts.repartition(shards, "shard").dropDuplicates(["shard", "doc_id"])
-    texts = checkpointed(texts.sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id"))
-    counted = texts.groupBy("apart", "toxic").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).collect()
-    number = {(apart, toxic): n for apart, toxic, n, _ in counted}
-    toxic, clean = number.get((False, 1), 0), number.get((False, 0), 0)
-    if not toxic or not clean:
-        share = marks.agg(F.avg("toxic")).first()[0] or 0.0
-        scored = rows.select("doc_id", "held_out", "lang", F.lit(float(share)).alias("score"))
-        cuts: dict[str | None, float] = {None: threshold}
+    with shuffles_deleted(spark):
+        net, cuts, share = _learned(rows, labels, held_out, threshold, id_col, label_col)
+    if net is None:
+        scored = rows.select("doc_id", "held_out", "lang", F.lit(share).alias("score"))
     else:
-        size = sum(size or 0 for apart, _, _, size in counted if not apart)
-        net = fit(texts.where("NOT apart").select("text", "toxic"), toxic, clean, size, shards)
-        both = (True, 0) in number and (True, 1) in number  # else calibrate by all there is
-        held = texts.where("apart") if both else texts
-        network = spark.sparkContext.broadcast(net)
-        held = checkpointed(held.select("toxic", "lang", "text").mapInArrow(_output(network), "toxic int, lang string, output double"))
-        network.destroy()
-        calibrate(net, held)
-        cell = F.floor(_probability(net.scale, net.shift) * CELLS).cast("int").alias("cell")
-        cells = held.groupBy("lang", cell).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).toArrow()
-        low, of, n = (cells.column(c).to_numpy() for c in ("cell", "toxic", "n"))
-        cuts = thresholds(low / CELLS, of, cells.column("lang").to_pylist(), threshold, n, 1 / CELLS)
         scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(net)), _RESULT)
     overall = cuts.pop(None)
     own = spark.createDataFrame(sorted(cuts.items()), "lang string, own double")

@@ -1,4 +1,7 @@
+import glob
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -164,3 +167,24 @@ def test_thresholds_of_counted_cells():
     n, toxic = np.array([100, 10, 50]), np.array([0, 10, 50])
     assert toxicity.best_threshold(low, toxic, 0.3, n, 0.25) == 0.5
     assert toxicity.thresholds(low, toxic, ["a"] * 3, 0.3, n, 0.25) == {None: 0.5, "a": 0.5}
+
+
+def test_learning_leaves_no_shuffle_files(spark):
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = lambda: set(glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True))
+    before = files()
+    assert spark.range(1000).repartition(3).groupBy().sum().first()[0] == 499500
+    mine = {os.path.dirname(os.path.dirname(f)) for f in files() - before}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert len(mine) == 1 and spark.conf.get(setting) == "false"
+    before = files()
+    rows, labels = corpus(400)
+    got = score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), F.col("doc_id") % 4 == 2)
+    assert spark.conf.get(setting) == "false"
+    left = lambda: {f for f in files() - before if os.path.dirname(os.path.dirname(f)) in mine}
+    for _ in range(100):  # they are deleted in the background
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left()
+    assert got.count() == 400
