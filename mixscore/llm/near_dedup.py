@@ -17,6 +17,9 @@
    members that share frequent shingles alone are not compared. Only links that
    join something new leave a block.
 6. Links become components by distributed star contraction.
+
+A query's shuffle files go when it ends, as its result is kept: tables are dealt out
+twice, and their files would be most of the disk at once.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixscore.llm import bytetext
-from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, tidy, within_bound
+from mixscore.llm.common import checkpointed, column, fresh_name, partitions, ship, shuffles_deleted, tidy, within_bound
 from mixscore.llm.components import components
 
 #: Partial keys and MinHashes in each, for the two collections.
@@ -42,6 +45,9 @@ BLOCK_SHINGLES = 1 << 21
 #: Members that one block compares at a time, on average.
 BLOCK_MEMBERS = 1 << 16
 
+#: Columns in which the rows of one class agree.
+_SAME = ["mark1", "mark2", "n_shingles"]
+
 _HASHES = FIRST[0] * FIRST[1] + SECOND[0] * SECOND[1]
 _FACTORS = bytetext.stream(11, _HASHES) | np.uint64(1)
 _TERMS = bytetext.stream(12, _HASHES)
@@ -312,44 +318,22 @@ def _compare_across(percent: int):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = 5,
-    percent: int = 80,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``.
-
-    A document's set holds its distinct shingles of ``words`` words, A to Z in
-    lower case, words being runs without ASCII white space; with fewer words it
-    holds the whole sequence as one. Documents whose sets' Jaccard similarity is
-    at least ``percent`` percent are linked; ``component_id`` is the smallest id
-    reachable over links, and ``kept`` marks the document with that id.
-
-    Defined cases: a text without words, empty or null has an empty set, is
-    linked with nothing and kept. Rows that repeat an id are one node, linked by
-    any of their texts. A row with a null id takes the component of rows with an
-    equal set, else null, and is kept in that case only. An empty table gives an
-    empty result; other columns are ignored.
-    """
-    ship(docs.sparkSession)
-    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+def _resolved(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' signatures, their classes of equal sets, and the component of every linked class."""
     signed = checkpointed(
         rows.mapInArrow(
             tidy(_signatures(words)), "doc_id long, n_shingles long, mark1 long, mark2 long, keys array<long>"
         )
     )
-    same = ["mark1", "mark2", "n_shingles"]
     classes = (
         signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy(*same)
+        .groupBy(*_SAME)
         .agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     )
 
     # A class becomes many rows here: in small partitions their first aggregation stays in memory.
     tables = (
-        classes.repartition(4 * partitions(docs.sparkSession), "node").select(
+        classes.repartition(4 * partitions(rows.sparkSession), "node").select(
             "node",
             F.posexplode(F.slice("keys", 1, FIRST[0])).alias("i", "one"),
             F.slice("keys", FIRST[0] + 1, SECOND[0]).alias("others"),
@@ -422,16 +406,43 @@ def near_duplicates(
         .mapInArrow(tidy(_compare_across(percent)), "open boolean, a long, b long")
         .select("a", "b")
     )
-    member = components(links.unionByName(across))
+    return signed, classes, components(links.unionByName(across))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``.
+
+    A document's set holds its distinct shingles of ``words`` words, A to Z in
+    lower case, words being runs without ASCII white space; with fewer words it
+    holds the whole sequence as one. Documents whose sets' Jaccard similarity is
+    at least ``percent`` percent are linked; ``component_id`` is the smallest id
+    reachable over links, and ``kept`` marks the document with that id.
+
+    Defined cases: a text without words, empty or null has an empty set, is
+    linked with nothing and kept. Rows that repeat an id are one node, linked by
+    any of their texts. A row with a null id takes the component of rows with an
+    equal set, else null, and is kept in that case only. An empty table gives an
+    empty result; other columns are ignored.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    with shuffles_deleted(docs.sparkSession):
+        signed, classes, member = _resolved(rows, words, percent)
     named = (
-        classes.select(*same, F.col("node").alias("own"))
+        classes.select(*_SAME, F.col("node").alias("own"))
         .join(member, F.col("own") == F.col("node"), "left")
-        .select(*same, F.coalesce("component", "own").alias("component"))
+        .select(*_SAME, F.coalesce("component", "own").alias("component"))
     )
     component = F.coalesce("component", "doc_id")
     return (
-        signed.select("doc_id", *same)
-        .join(named, same, "left")
+        signed.select("doc_id", *_SAME)
+        .join(named, _SAME, "left")
         .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
     )
 

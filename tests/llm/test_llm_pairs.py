@@ -1,5 +1,8 @@
+import glob
+import os
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -99,6 +102,27 @@ def test_near_rows_without_id_repeats_and_nothing(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    folder = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = lambda: set(glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True))
+    before = files()
+    assert spark.range(1000).repartition(3).groupBy().sum().first()[0] == 499500
+    mine = {os.path.dirname(os.path.dirname(f)) for f in files() - before}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert len(mine) == 1 and spark.conf.get(setting) == "false"
+    before, rows = files(), corpus(4)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)
+    assert spark.conf.get(setting) == "false"
+    left = lambda: {f for f in files() - before if os.path.dirname(os.path.dirname(f)) in mine}
+    for _ in range(100):  # they are deleted in the background
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left()
+    for _ in range(2):  # what is returned can be run again
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == components_by_hand(rows, 2)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 140)]
